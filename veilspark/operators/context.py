@@ -468,11 +468,16 @@ def add_context_entities(df, text_col: str, out_col: str, stages=None):
     rels = F.when(text.contains("'"), _rel_struct(text)).otherwise(F.array().cast(T.ArrayType(REL_STRUCT)))
     df = df.withColumn(lt_col, F.lower(text)).withColumn(rels_col, rels).withColumn(acc_col, empty_entities())
     lt = F.col(lt_col)
+    from veilspark.operators.detect import cached_expr
+
     for name, gate, build in stages or CONTEXT_STAGES:
-        stage = build(text, F.col(acc_col), F.col(rels_col), lt)
-        if gate is not None:
-            stage = F.when(gate(text, lt), stage).otherwise(empty_entities())
-        df = df.withColumn(acc_col, F.concat(F.col(acc_col), stage))
+        def make(build=build, gate=gate):
+            stage = build(text, F.col(acc_col), F.col(rels_col), lt)
+            if gate is not None:
+                stage = F.when(gate(text, lt), stage).otherwise(empty_entities())
+            return F.concat(F.col(acc_col), stage)
+
+        df = df.withColumn(acc_col, cached_expr(df, ("ctx", name, id(build), text_col), make))
     nonempty = F.coalesce(F.length(text), F.lit(0)) > 0
     return df.withColumn(out_col, F.when(nonempty, F.col(acc_col)).otherwise(empty_entities())).drop(
         rels_col, acc_col, lt_col

@@ -29,6 +29,19 @@ from veilspark.functions.spans import SPAN_TYPE, gated_spans, let, spans
 
 SPAN_ELEM = SPAN_TYPE.elementType
 
+# Built column expressions per (session, key): building a detector costs thousands of
+# JVM round trips, while the resulting unresolved expression can be reused by any
+# DataFrame of the same session that has the same text column name.
+_EXPR_CACHE: dict = {}
+
+
+def cached_expr(df: DataFrame, key: tuple, build: Callable[[], Column]) -> Column:
+    sess = id(df.sparkSession._jsparkSession)
+    k = (sess,) + key
+    if k not in _EXPR_CACHE:
+        _EXPR_CACHE[k] = build()
+    return _EXPR_CACHE[k]
+
 
 def _char_at(text: Column, pos0: Column) -> Column:
     """Character at 0-based offset (empty string outside the text)."""
@@ -220,7 +233,9 @@ class DetectorSet:
             if det.df_fn is not None:
                 df = det.df_fn(df, text_col, col)
             else:
-                df = df.withColumn(col, F.coalesce(det.fn(text), empty_entities()))
+                expr = cached_expr(df, ("det", det.name, id(det.fn), text_col),
+                                   lambda: F.coalesce(det.fn(text), empty_entities()))
+                df = df.withColumn(col, expr)
             tmp.append((rank, det, col))
         parts = []
         for rank, det, col in tmp:
