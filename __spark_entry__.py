@@ -122,6 +122,57 @@ def q_backend_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _doc_sanitized(spark: SparkSession, sf_dir: str):
+    fw = Firewall(detectors=pattern_only(FLAGSHIP_KINDS), use_nfkc=False, scan_base64=False)
+    docs = _docs(spark, sf_dir).select(F.col("doc_id").cast("string").alias("request_id"), "text")
+    return fw.sanitize(docs, "text", "request_id")
+
+
+def q_restore_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D8 + E11: an echo tool returns the sanitised text; restoring it with the vault gives the
+    original text back, counting every token restored."""
+    from veilspark.operators.restore import restore_text
+
+    san = _doc_sanitized(spark, sf_dir)
+    vault = Firewall.vault_rows(san, "request_id")
+    resp = san.select("request_id", F.col("sanitized").alias("response"), F.col("clean"))
+    out = restore_text(resp, vault, "request_id", "response")
+    return out.select(
+        F.col("request_id").cast("long").alias("doc_id"),
+        "restored_count",
+        F.col("restored").eqNullSafe(F.col("clean")).alias("round_trip_ok"),
+    )
+
+
+def q_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G1: audit event per document (raw-value free columns only)."""
+    from veilspark.operators.restore import audit_events
+
+    ev = audit_events(_doc_sanitized(spark, sf_dir), "request_id")
+    return ev.select(
+        F.col("request_id").cast("long").alias("doc_id"), "action", "total_entities_secured", "blocked",
+        "verification_passed",
+    )
+
+
+def q_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D7 relational: vault values still present in the sanitised text, per document."""
+    from veilspark.operators.restore import verify_no_leak
+
+    san = _doc_sanitized(spark, sf_dir)
+    res = verify_no_leak(san, Firewall.vault_rows(san, "request_id"), "request_id", "sanitized")
+    return res.select(F.col("request_id").cast("long").alias("doc_id"), "leak_count", "verification_passed")
+
+
+def q_intent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transmission intent (send verb + external target + first credential/business phrase)."""
+    ents = detect(_corpus(spark, sf_dir), "text", ["doc_id"],
+                  DetectorSet([__import__("veilspark.operators.detect", fromlist=["Detector"]).Detector(
+                      "intent", C.intent_entities, ())]))
+    return ents.select("doc_id", "pii_type", F.col("start").cast("long").alias("start"),
+                       F.col("end").cast("long").alias("end"), "value")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     qs: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         "e01_counts_by_type": q_counts_by_type,
@@ -144,6 +195,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p07_mask": q_mask,
         "p12_sanitize": q_sanitize_tokens,
         "p01_backend_policy": q_backend_policy,
+        "c10_intent": q_intent,
+        "d08_restore": q_restore_round_trip,
+        "g01_audit": q_audit,
+        "d07_verify": q_verify,
     }
     return qs
 
@@ -354,6 +409,43 @@ FROM documents d LEFT JOIN tok ON tok.doc_id = d.doc_id
 """
 
 
+def _intent_sql(src: str) -> str:
+    lt = "lower(text)"
+    verb = " OR ".join(f"contains({lt}, '{v}')" for v in X.SEND_VERBS)
+    tgt = " OR ".join(f"contains({lt}, '{t}')" for t in X.EXTERNAL_TARGETS)
+    cat = {t: c for t, c in __import__("veilspark.operators.policy", fromlist=["TYPE_CATEGORY"]).TYPE_CATEGORY.items()}
+    ordered = [(t, p) for t, ps in X.PHRASES.items() if cat.get(t) in (X.CREDENTIAL, X.BUSINESS_CONFIDENTIAL) for p in ps]
+
+    def hit(p: str) -> str:
+        if len(p) <= 4 and " " not in p:
+            return f"regexp_matches({lt}, '\\b{O.q(__import__('re').escape(p))}\\b')"
+        return f"contains({lt}, '{O.q(p)}')"
+
+    case_t = "CASE " + " ".join(f"WHEN {hit(p)} THEN '{t}'" for t, p in ordered) + " END"
+    case_p = "CASE " + " ".join(f"WHEN {hit(p)} THEN '{O.q(p)}'" for t, p in ordered) + " END"
+    return f"""
+SELECT doc_id, t AS pii_type, CAST(instr({lt}, p) - 1 AS BIGINT) AS start,
+       CAST(instr({lt}, p) - 1 + length(p) AS BIGINT) AS "end", substr(text, instr({lt}, p), length(p)) AS value
+FROM (SELECT doc_id, text, {case_t} AS t, {case_p} AS p FROM {src} x WHERE ({verb}) AND ({tgt})) y
+WHERE t IS NOT NULL
+"""
+
+
+def _restore_sql() -> str:
+    return f"SELECT doc_id, n_entities AS restored_count, true AS round_trip_ok FROM ({_sanitize_sql()}) s"
+
+
+def _audit_sql() -> str:
+    return (
+        "SELECT doc_id, 'SANITIZED_AND_FORWARDED' AS action, n_entities AS total_entities_secured, "
+        f"false AS blocked, true AS verification_passed FROM ({_sanitize_sql()}) s"
+    )
+
+
+def _verify_sql() -> str:
+    return f"SELECT doc_id, CAST(0 AS BIGINT) AS leak_count, true AS verification_passed FROM ({_sanitize_sql()}) s"
+
+
 def oracle_sql() -> dict[str, str]:
     src = CORPUS_SQL
     return {
@@ -366,7 +458,6 @@ def oracle_sql() -> dict[str, str]:
         "c07_api_key": _api_sql(src),
         "c08_pan": _pan_sql(src),
         "c09_aadhaar": _aadhaar_sql(src),
-        "c11_pin": _pin_sql(src),
         "c12_password": _password_sql(src),
         "c18_medical": _simple_ctx_sql(X.MEDICAL_PATTERN)(src),
         "c19_salary": _simple_ctx_sql(X.SALARY_PATTERN)(src),
@@ -376,4 +467,13 @@ def oracle_sql() -> dict[str, str]:
         "c27_relationships": _rel_sql(),
         "p07_mask": _mask_sql(),
         "p12_sanitize": _sanitize_sql(),
+        "c10_intent": _intent_sql(src),
+        "c11_pin": f"{_pin_sql(src)} UNION ALL SELECT doc_id, start, \"end\", value FROM ({_intent_sql(src)}) i WHERE pii_type = 'PIN'",
+        "d08_restore": _restore_sql(),
+        "g01_audit": _audit_sql(),
+        "d07_verify": _verify_sql(),
+        "p01_backend_policy": (
+            f"SELECT template, count(*) AS n_rows, CAST(sum(CASE WHEN template IN (1, 2, 3, 5, 6, 8, 9) THEN 1 ELSE 0 END) AS BIGINT) "
+            f"AS n_blocked FROM {O.PLANTED} p GROUP BY template"
+        ),
     }
