@@ -173,6 +173,28 @@ def q_intent(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.col("end").cast("long").alias("end"), "value")
 
 
+def q_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B1: string leaves of JSON tool-call payloads built from ``conversations``."""
+    from veilspark.sources.requests import conversation_requests, explode_leaves
+
+    leaves, _ = explode_leaves(conversation_requests(spark, sf_dir), "request_id", "payload", 6)
+    return leaves.groupBy("request_id").agg(F.count(F.lit(1)).alias("n_leaves"))
+
+
+CUSTOM_DL = r"\bDL-\d{8}\b"
+
+
+def q_custom_regex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user pattern with a Column validator and context words."""
+    from veilspark.operators.custom import regex_detector
+
+    det = regex_detector("DRIVERS_LICENSE", CUSTOM_DL, 0.9, validator=lambda v: ~v.endswith("0"),
+                         context_words=["license"])
+    ents = detect(_corpus(spark, sf_dir), "text", ["doc_id"], DetectorSet([det]))
+    return ents.select("doc_id", F.col("start").cast("long").alias("start"),
+                       F.col("end").cast("long").alias("end"), "value")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     qs: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         "e01_counts_by_type": q_counts_by_type,
@@ -199,6 +221,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "d08_restore": q_restore_round_trip,
         "g01_audit": q_audit,
         "d07_verify": q_verify,
+        "b01_leaves": q_leaves,
+        "c28_custom_regex": q_custom_regex,
     }
     return qs
 
@@ -446,6 +470,23 @@ def _verify_sql() -> str:
     return f"SELECT doc_id, CAST(0 AS BIGINT) AS leak_count, true AS verification_passed FROM ({_sanitize_sql()}) s"
 
 
+def _leaves_sql() -> str:
+    tool = "CASE WHEN turn % 3 = 0 THEN 'send_email' WHEN turn % 3 = 1 THEN 'search_web' ELSE 'internal_kms' END"
+    return f"""
+SELECT request_id, count(*) AS n_leaves FROM (
+  SELECT concat(conv_id, ':', turn) AS request_id,
+         json_object('tool', {tool}, 'arguments',
+                     json_object('message', text, 'role', role, 'turn', turn, 'tags', json_array(role, 'x'))) AS j
+  FROM conversations) c, json_tree(c.j) t
+WHERE t.type = 'VARCHAR' GROUP BY request_id
+"""
+
+
+def _custom_sql(src: str) -> str:
+    sp = O.spans_sql(src, "doc_id", "text", CUSTOM_DL)
+    return _sel(sp, "NOT ends_with(value, '0') AND contains(lower(txt), 'license')")
+
+
 def oracle_sql() -> dict[str, str]:
     src = CORPUS_SQL
     return {
@@ -472,6 +513,8 @@ def oracle_sql() -> dict[str, str]:
         "d08_restore": _restore_sql(),
         "g01_audit": _audit_sql(),
         "d07_verify": _verify_sql(),
+        "b01_leaves": _leaves_sql(),
+        "c28_custom_regex": _custom_sql(src),
         "p01_backend_policy": (
             f"SELECT template, count(*) AS n_rows, CAST(sum(CASE WHEN template IN (1, 2, 3, 5, 6, 8, 9) THEN 1 ELSE 0 END) AS BIGINT) "
             f"AS n_blocked FROM {O.PLANTED} p GROUP BY template"
