@@ -122,10 +122,17 @@ def q_backend_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _doc_sanitized(spark: SparkSession, sf_dir: str):
+def _doc_sanitized(spark: SparkSession, sf_dir: str, cut: bool = False):
     fw = Firewall(detectors=pattern_only(FLAGSHIP_KINDS), use_nfkc=False, scan_base64=False)
     docs = _docs(spark, sf_dir).select(F.col("doc_id").cast("string").alias("request_id"), "text")
-    return fw.sanitize(docs, "text", "request_id")
+    out = fw.sanitize(docs, "text", "request_id")
+    if cut:
+        # used twice (vault + responses): materialise once in the shared checkpoint folder
+        from veilspark.session import ensure_checkpoint_dir
+
+        ensure_checkpoint_dir(spark)
+        out = out.select("request_id", "text", "clean", "sanitized", "vault", "blocked").checkpoint()
+    return out
 
 
 def q_restore_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,7 +140,7 @@ def q_restore_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     original text back, counting every token restored."""
     from veilspark.operators.restore import restore_text
 
-    san = _doc_sanitized(spark, sf_dir)
+    san = _doc_sanitized(spark, sf_dir, cut=True)
     vault = Firewall.vault_rows(san, "request_id")
     resp = san.select("request_id", F.col("sanitized").alias("response"), F.col("clean"))
     out = restore_text(resp, vault, "request_id", "response")
@@ -159,7 +166,7 @@ def q_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D7 relational: vault values still present in the sanitised text, per document."""
     from veilspark.operators.restore import verify_no_leak
 
-    san = _doc_sanitized(spark, sf_dir)
+    san = _doc_sanitized(spark, sf_dir, cut=True)
     res = verify_no_leak(san, Firewall.vault_rows(san, "request_id"), "request_id", "sanitized")
     return res.select(F.col("request_id").cast("long").alias("doc_id"), "leak_count", "verification_passed")
 

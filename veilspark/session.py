@@ -42,7 +42,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if conf_dir:
         spark.sparkContext.setCheckpointDir(conf_dir)
         return conf_dir
+    current = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if current.isDefined():
+        return current.get()
     local = tempfile.mkdtemp(prefix="veilspark-ckpt-", dir=os.environ.get("VEILSPARK_SCRATCH", "/tmp"))
-    spark.conf.set("spark.checkpoint.dir", local)
+    try:
+        spark.conf.set("spark.checkpoint.dir", local)
+    except Exception:  # a static conf on some deployments; the context setting below suffices
+        pass
     spark.sparkContext.setCheckpointDir(local)
     return local
