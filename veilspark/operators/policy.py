@@ -195,10 +195,6 @@ class Policy:
         has_tool_rule = tool.isin(*self.rules.keys()) if self.rules else F.lit(False)
         has_star = "*" in self.rules
 
-        def per_rule(getter, fallback_star):
-            """Literal-map lookup of the effective rule's property."""
-            return getter, fallback_star
-
         # effective rule key: tool if it has a rule, else '*' if present, else null
         rule_key = F.when(has_tool_rule, tool)
         if has_star:
