@@ -25,6 +25,20 @@ from veilspark.plans import oracles as O
 from veilspark.plans.sanitize import Firewall
 from veilspark.sources.fixtures import planted
 
+# The training-data package and its pipeline can be removed as a whole; only their own absence is passed over.
+try:
+    from veilspark.llm import queries as training_data
+except ModuleNotFoundError as gone:
+    if not (gone.name or "").startswith("veilspark.llm"):
+        raise
+    training_data = None
+try:
+    import corpus_pipeline
+except ModuleNotFoundError as gone:
+    if gone.name != "corpus_pipeline" and not (gone.name or "").startswith("veilspark.llm"):
+        raise
+    corpus_pipeline = None
+
 FLAGSHIP_KINDS = ["EMAIL", "PHONE", "CREDIT_CARD", "IP_ADDRESS"]
 
 
@@ -231,6 +245,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "b01_leaves": q_leaves,
         "c28_custom_regex": q_custom_regex,
     }
+    if training_data is not None:
+        qs |= training_data.queries()
+    if corpus_pipeline is not None:
+        qs["pipeline"] = corpus_pipeline.run
     return qs
 
 
@@ -496,7 +514,10 @@ def _custom_sql(src: str) -> str:
 
 def oracle_sql() -> dict[str, str]:
     src = CORPUS_SQL
-    return {
+    sql = training_data.oracle_sql() if training_data is not None else {}
+    if corpus_pipeline is not None and corpus_pipeline.ORACLE_SQL:
+        sql = sql | {"pipeline": corpus_pipeline.ORACLE_SQL}
+    return sql | {
         "e01_counts_by_type": _flagship_sql(),
         "c01_email": _email_sql(src),
         "c03_phone": _phone_sql(src),
