@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from veilspark.llm import decontaminate as D
 from veilspark.llm.common import table
 from veilspark.llm.packing import pack
 from veilspark.llm.sharding import shard_rows
@@ -21,12 +23,21 @@ def op8_minimum_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op10_prefix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = D.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    digest = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
+    return found.select("doc_id", "n_words", "n_hit", "n_items", digest, "contaminated")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_feistel_shards": op4_feistel_shards,
         "op8_minimum_slack_packing": op8_minimum_slack_packing,
+        "op10_prefix_decontamination": op10_prefix_decontamination,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op10_prefix_decontamination": D.oracle_sql(),
+    }
