@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from veilspark.llm import decontaminate as D
 from veilspark.llm.common import table
+from veilspark.llm.simhash import near_duplicates
 from veilspark.llm.packing import pack
 from veilspark.llm.sharding import shard_rows
 
@@ -29,11 +30,17 @@ def op10_prefix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", digest, "contaminated")
 
 
+def op7_pigeonring_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_feistel_shards": op4_feistel_shards,
         "op8_minimum_slack_packing": op8_minimum_slack_packing,
         "op10_prefix_decontamination": op10_prefix_decontamination,
+        "op7_pigeonring_simhash": op7_pigeonring_simhash,
     }
 
 
