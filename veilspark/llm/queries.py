@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from veilspark.llm import decontaminate as D
 from veilspark.llm.common import table
+from veilspark.llm import langid
 from veilspark.llm.simhash import near_duplicates
 from veilspark.llm.packing import pack
 from veilspark.llm.sharding import shard_rows
@@ -35,12 +36,20 @@ def op7_pigeonring_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op3_hyperdimensional_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs)
+    found = langid.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", langid.held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_feistel_shards": op4_feistel_shards,
         "op8_minimum_slack_packing": op8_minimum_slack_packing,
         "op10_prefix_decontamination": op10_prefix_decontamination,
         "op7_pigeonring_simhash": op7_pigeonring_simhash,
+        "op3_hyperdimensional_langid": op3_hyperdimensional_langid,
     }
 
 
