@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from veilspark.llm import decontaminate as D
 from veilspark.llm.common import table
+from veilspark.llm import urlfilter
+from veilspark.llm import quality
 from veilspark.llm import langid
 from veilspark.llm.simhash import near_duplicates
 from veilspark.llm.packing import pack
@@ -43,6 +45,17 @@ def op3_hyperdimensional_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
+def op1_isolation_forest_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", *quality.COUNTS, "base_failed", "kept", "score")
+
+
+def op5_bloom_cascade_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listed = lambda host, path: urlfilter.has_word(host, urlfilter.LISTED_WORDS)
+    found = urlfilter.filter_urls(table(spark, sf_dir, "pages"), listed)
+    return found.select("page_id", "host", "path", "rule", "verdict")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_feistel_shards": op4_feistel_shards,
@@ -50,10 +63,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_prefix_decontamination": op10_prefix_decontamination,
         "op7_pigeonring_simhash": op7_pigeonring_simhash,
         "op3_hyperdimensional_langid": op3_hyperdimensional_langid,
+        "op1_isolation_forest_quality": op1_isolation_forest_quality,
+        "op5_bloom_cascade_urls": op5_bloom_cascade_urls,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op5_bloom_cascade_urls": urlfilter.oracle_sql(),
         "op10_prefix_decontamination": D.oracle_sql(),
     }
