@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from veilspark.llm import decontaminate as D
 from veilspark.llm.common import table
+from veilspark.llm.wrapper import main_text
 from veilspark.llm import urlfilter
 from veilspark.llm import quality
 from veilspark.llm import langid
@@ -56,6 +57,11 @@ def op5_bloom_cascade_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op2_wrapper_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = main_text(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_feistel_shards": op4_feistel_shards,
@@ -65,6 +71,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_hyperdimensional_langid": op3_hyperdimensional_langid,
         "op1_isolation_forest_quality": op1_isolation_forest_quality,
         "op5_bloom_cascade_urls": op5_bloom_cascade_urls,
+        "op2_wrapper_main_text": op2_wrapper_main_text,
     }
 
 
