@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from veilspark.llm import decontaminate as D
 from veilspark.llm.common import table
+from veilspark.llm import personal
 from veilspark.llm.wrapper import main_text
 from veilspark.llm import urlfilter
 from veilspark.llm import quality
@@ -62,6 +63,12 @@ def op2_wrapper_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op9_boosted_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal.find_personal(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [F.expr(f"cast(size(filter(base, x -> x.kind = {k})) as bigint)").alias(f"n_{name}") for k, name in enumerate(personal.KINDS)]
+    return found.select("row.doc_id", *counts, F.sha2(personal.listed("base"), 256).alias("base_sha256"), personal.listed("spans").alias("spans"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_feistel_shards": op4_feistel_shards,
@@ -72,6 +79,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_isolation_forest_quality": op1_isolation_forest_quality,
         "op5_bloom_cascade_urls": op5_bloom_cascade_urls,
         "op2_wrapper_main_text": op2_wrapper_main_text,
+        "op9_boosted_personal_data": op9_boosted_personal_data,
     }
 
 
