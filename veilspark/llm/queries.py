@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from veilspark.llm import decontaminate as D
 from veilspark.llm.common import table
+from veilspark.llm.repeats import remove_repeats
 from veilspark.llm import personal
 from veilspark.llm.wrapper import main_text
 from veilspark.llm import urlfilter
@@ -69,6 +70,11 @@ def op9_boosted_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", *counts, F.sha2(personal.listed("base"), 256).alias("base_sha256"), personal.listed("spans").alias("spans"))
 
 
+def op6_merged_bwt_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_feistel_shards": op4_feistel_shards,
@@ -80,6 +86,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_bloom_cascade_urls": op5_bloom_cascade_urls,
         "op2_wrapper_main_text": op2_wrapper_main_text,
         "op9_boosted_personal_data": op9_boosted_personal_data,
+        "op6_merged_bwt_repeats": op6_merged_bwt_repeats,
     }
 
 
