@@ -126,7 +126,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str = "text") -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score`` added."""
+    """Per row of ``docs``: row (all its columns), lang_pred, score."""
     names, protos = model
     protos = protos.T.astype("f4")
 
@@ -153,7 +153,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(n) for n in rest), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*rest, "lang_pred", "score"])
 
-    # the operator's text goes in under its own name; all columns of docs ride along in a struct
+    # all columns of docs ride along in a struct, so their names can't clash
     packed = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col(text_col).alias("text"))
     schema = T.StructType([packed.schema["row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return packed.mapInArrow(whole, schema).select("row.*", "lang_pred", "score")
+    return packed.mapInArrow(whole, schema)

@@ -45,7 +45,7 @@ def op3_hyperdimensional_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.train(docs)
     found = langid.identify(docs.select("doc_id", "text"), model)
-    return found.select("doc_id", langid.held_out("doc_id").alias("held_out"), "lang_pred", "score")
+    return found.select("row.doc_id", langid.held_out("row.doc_id").alias("held_out"), "lang_pred", "score")
 
 
 def op1_isolation_forest_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
