@@ -174,7 +174,7 @@ def _predict(tree, x: np.ndarray) -> np.ndarray:
 
 
 def fit(x: np.ndarray, y: np.ndarray, held: np.ndarray) -> tuple[list, list[float | None]]:
-    """Boosted trees for the logistic loss, and the lowest margin per kind with PRECISION (None: no row of the kind)."""
+    """Boosted trees for the logistic loss, and per kind the margin from which PRECISION holds (None: no row of the kind)."""
     trees, margin = [], np.zeros(len(x))
     learn = ~held
     for _ in range(TREES if learn.any() else 0):
@@ -186,8 +186,11 @@ def fit(x: np.ndarray, y: np.ndarray, held: np.ndarray) -> tuple[list, list[floa
     for kind in range(len(KINDS)):
         of = held & (x[:, 0] == kind)
         m, truth = margin[of], y[of]
-        good = [c for c in np.unique(m) if truth[m >= c].mean() >= PRECISION]
-        limits.append(max(0.0, float(good[0])) if good else None)
+        levels = np.unique(m)
+        good = [k for k, c in enumerate(levels) if truth[m >= c].mean() >= PRECISION]
+        # half way to the next lower margin seen, so that rounding can't part equal rows
+        below = levels[good[0] - 1] if good and good[0] else -1.0
+        limits.append(max(0.0, float(levels[good[0]] + below) / 2) if good else None)
     return trees, limits
 
 
