@@ -36,7 +36,7 @@ from veilspark.llm.common import cut
 
 WINDOW = 10
 SHINGLE = 3
-FILTER_BITS = 1 << 27
+FILTER_BITS = 1 << 26
 BLOCK_BYTES = 2_000_000
 
 #: Byte -> lower-cased byte of a word, or 0 for a byte between words.
@@ -132,11 +132,12 @@ def item_windows(items: DataFrame, id_col: str, text_col: str, size: int) -> Dat
 
 
 def bit_table(hashes: DataFrame, col: str) -> np.ndarray:
-    """Bits of the hashes, 16 for each but FILTER_BITS at most; more hashes only let more places pass."""
+    """Two bits of each hash in 256 bits a hash, FILTER_BITS at most; a fuller table only lets more places pass."""
     n = hashes.count()
-    bits = min(FILTER_BITS, 1 << max(10, (16 * n).bit_length()))
-    place = F.col(col).bitwiseAND(F.lit(bits - 1))
-    words = hashes.select(F.shiftright(place, 6).cast("int").alias("word"), F.expr(f"shiftleft(1L, cast({col} & 63L as int))").alias("bit"))
+    bits = min(FILTER_BITS, 1 << max(10, (256 * n).bit_length()))
+    low, high = F.col(col).bitwiseAND(F.lit(bits - 1)), F.shiftrightunsigned(F.col(col), 32).bitwiseAND(F.lit(bits - 1))
+    places = hashes.select(F.explode(F.array(low, high)).alias("place"))
+    words = places.select(F.shiftright("place", 6).cast("int").alias("word"), F.expr("shiftleft(1L, cast(place & 63L as int))").alias("bit"))
     table = np.zeros(bits // 64, "u8")
     for word, value in words.groupBy("word").agg(F.bit_or("bit")).collect():  # bits / 64 rows at most
         table[word] = value & 0xFFFFFFFFFFFFFFFF
@@ -144,8 +145,13 @@ def bit_table(hashes: DataFrame, col: str) -> np.ndarray:
 
 
 def _in_table(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    word = (hashes & np.uint64(len(table) * 64 - 1)) >> np.uint64(6)
-    return (table[word] >> (hashes & np.uint64(63))) & np.uint64(1) != 0
+    def bit(place: np.ndarray) -> np.ndarray:
+        place = place & np.uint64(len(table) * 64 - 1)
+        return (table[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) != 0
+
+    found = bit(hashes)
+    found[found] = bit(hashes[found] >> np.uint64(32))
+    return found
 
 
 def shingle_counts(docs: DataFrame, text_col: str, table, lengths: list[int]) -> DataFrame:
