@@ -39,6 +39,8 @@ except ModuleNotFoundError as gone:
         raise
     corpus_pipeline = None
 
+#: Fixed so that DuckDB can compute the same tokens; a job takes its secret from its own configuration.
+SECRET = "correctness run"
 FLAGSHIP_KINDS = ["EMAIL", "PHONE", "CREDIT_CARD", "IP_ADDRESS"]
 
 
@@ -103,7 +105,7 @@ def q_relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_sanitize_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P12 on documents with the default policy: per document the sanitised text's length,
     number of tokens and entity count (tokens themselves depend on the job secret)."""
-    fw = Firewall(detectors=pattern_only(FLAGSHIP_KINDS), use_nfkc=False, scan_base64=False)
+    fw = Firewall(SECRET, detectors=pattern_only(FLAGSHIP_KINDS), use_nfkc=False, scan_base64=False)
     out = fw.sanitize(_docs(spark, sf_dir).select("doc_id", "text"), "text", "doc_id")
     return out.select(
         "doc_id",
@@ -127,7 +129,7 @@ def q_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_backend_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P1 + P10: block decision and action counts per planted template under the backend policy."""
-    fw = Firewall(policy=Policy.default_backend(), use_nfkc=False, scan_base64=False)
+    fw = Firewall(SECRET, policy=Policy.default_backend(), use_nfkc=False, scan_base64=False)
     p = planted(spark, sf_dir).select("doc_id", "template", "text")
     out = fw.sanitize(p, "text", "doc_id")
     return out.groupBy("template").agg(
@@ -137,7 +139,7 @@ def q_backend_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _doc_sanitized(spark: SparkSession, sf_dir: str, cut: bool = False):
-    fw = Firewall(detectors=pattern_only(FLAGSHIP_KINDS), use_nfkc=False, scan_base64=False)
+    fw = Firewall(SECRET, detectors=pattern_only(FLAGSHIP_KINDS), use_nfkc=False, scan_base64=False)
     docs = _docs(spark, sf_dir).select(F.col("doc_id").cast("string").alias("request_id"), "text")
     out = fw.sanitize(docs, "text", "request_id")
     if cut:
@@ -198,8 +200,8 @@ def q_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
     """B1: string leaves of JSON tool-call payloads built from ``conversations``."""
     from veilspark.sources.requests import conversation_requests, explode_leaves
 
-    leaves, _ = explode_leaves(conversation_requests(spark, sf_dir), "request_id", "payload", 6)
-    return leaves.groupBy("request_id").agg(F.count(F.lit(1)).alias("n_leaves"))
+    leaves = explode_leaves(conversation_requests(spark, sf_dir), "request_id", "payload")
+    return leaves.select("request_id", "path", "field", "text")
 
 
 CUSTOM_DL = r"\bDL-\d{8}\b"
@@ -216,6 +218,50 @@ def q_custom_regex(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.col("end").cast("long").alias("end"), "value")
 
 
+def _email_vault(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vault of the e-mail addresses in ``documents``: one request per document, some bound to a client."""
+    fw = Firewall(SECRET, detectors=pattern_only(["EMAIL"]), use_nfkc=False, scan_base64=False)
+    docs = _docs(spark, sf_dir).select(F.col("doc_id").cast("string").alias("request_id"), "text", F.expr(CLIENT_OF).alias("client"))
+    return Firewall.vault_rows(fw.sanitize(docs, "text", "request_id"), "request_id", "client")
+
+
+CLIENT_OF = "CASE doc_id % 3 WHEN 1 THEN 'Acme' WHEN 2 THEN 'beta' END"
+CALLER_OF = "CASE doc_id % 4 WHEN 1 THEN 'ACME' WHEN 2 THEN 'other' WHEN 3 THEN 'beta' END"
+
+
+def q_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The token text of every address under a fixed secret."""
+    return _email_vault(spark, sf_dir).select(F.col("request_id").cast("long").alias("doc_id"), "value", "token")
+
+
+def q_restore_clients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two responses per request (own tokens twice; a foreign and an own token), with
+    unbound vaults, matching, other and null callers."""
+    from veilspark.operators.restore import restore_text
+
+    vault = _email_vault(spark, sf_dir)
+    first = vault.groupBy("request_id").agg(F.min("token").alias("t")).withColumn("doc_id", F.col("request_id").cast("long"))
+    caller = F.expr(CALLER_OF).alias("caller")
+    own = first.select("request_id", "doc_id", F.lit(1).alias("n"), F.concat(F.lit("x "), "t", F.lit(" y "), "t").alias("response"), caller)
+    other = first.select((F.col("doc_id") + 1).alias("doc_id"), F.col("t").alias("foreign"))
+    mixed = first.join(other, "doc_id", "left").select(
+        "request_id", "doc_id", F.lit(2).alias("n"), F.concat(F.coalesce("foreign", F.lit("none")), F.lit(" w "), "t").alias("response"), caller)
+    unknown = first.select((-F.col("doc_id") - 1).cast("string").alias("request_id"), (-F.col("doc_id") - 1).alias("doc_id"), F.lit(3).alias("n"),
+                           F.col("t").alias("response"), caller)
+    done = restore_text(own.unionByName(mixed).unionByName(unknown), vault, client_col="caller")
+    return done.select("doc_id", F.col("n").cast("long").alias("n"), "restored", "restored_count")
+
+
+def q_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D7 on what would be sent if every third document went out unsanitised: leaks are found there only."""
+    from veilspark.operators.restore import verify_no_leak
+
+    vault = _email_vault(spark, sf_dir)
+    sent = _docs(spark, sf_dir).select(
+        F.col("doc_id").cast("string").alias("request_id"), F.expr("CASE WHEN doc_id % 3 = 0 THEN text ELSE 'nothing' END").alias("sanitized"))
+    return verify_no_leak(sent, vault).select(F.col("request_id").cast("long").alias("doc_id"), "leak_count", "verification_passed")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     qs: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         "e01_counts_by_type": q_counts_by_type,
@@ -244,6 +290,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "d07_verify": q_verify,
         "b01_leaves": q_leaves,
         "c28_custom_regex": q_custom_regex,
+        "p04_tokens": q_tokens,
+        "d11_restore_clients": q_restore_clients,
+        "d07_leaks": q_leaks,
     }
     if training_data is not None:
         qs |= training_data.queries()
@@ -498,12 +547,12 @@ def _verify_sql() -> str:
 def _leaves_sql() -> str:
     tool = "CASE WHEN turn % 3 = 0 THEN 'send_email' WHEN turn % 3 = 1 THEN 'search_web' ELSE 'internal_kms' END"
     return f"""
-SELECT request_id, count(*) AS n_leaves FROM (
+SELECT request_id, t.fullkey AS path, regexp_extract(t.fullkey, '\\.([^.\\[]+)(\\[[0-9]+\\])*$', 1) AS field, t.atom->>'$' AS text FROM (
   SELECT concat(conv_id, ':', turn) AS request_id,
          json_object('tool', {tool}, 'arguments',
                      json_object('message', text, 'role', role, 'turn', turn, 'tags', json_array(role, 'x'))) AS j
   FROM conversations) c, json_tree(c.j) t
-WHERE t.type = 'VARCHAR' GROUP BY request_id
+WHERE t.type = 'VARCHAR'
 """
 
 
@@ -512,6 +561,33 @@ def _custom_sql(src: str) -> str:
     return _sel(sp, "NOT ends_with(value, '0') AND contains(lower(txt), 'license')")
 
 
+def _tokens_sql() -> str:
+    salt = "unhex(substr(sha256(encode('correctness run' || chr(0) || doc_id)), 1, 32))"
+    h = f"substr(sha256({salt} || encode('EMAIL:' || value)), 1, 8)"
+    return f"""SELECT DISTINCT doc_id, value, '{X.TOKEN_PREFIX}EMAIL_' || {h} || '{X.TOKEN_SUFFIX}' AS token
+FROM ({_email_sql("documents")}) e"""
+
+
+def _restore_clients_sql() -> str:
+    return f"""
+WITH v AS (SELECT t.*, {CLIENT_OF} AS client FROM ({_tokens_sql()}) t),
+f AS (SELECT doc_id, min(token) AS t, arg_min(value, token) AS v, any_value(client) AS client, {CALLER_OF} AS caller FROM v GROUP BY doc_id),
+g AS (SELECT *, coalesce(client IS NULL OR lower(client) = lower(caller), false) AS ok FROM f)
+SELECT doc_id, CAST(1 AS BIGINT) AS n, CASE WHEN ok THEN 'x ' || v || ' y ' || v ELSE 'x ' || t || ' y ' || t END AS restored,
+       CAST(CASE WHEN ok THEN 2 ELSE 0 END AS BIGINT) AS restored_count FROM g
+UNION ALL
+SELECT g.doc_id, 2, coalesce(o.t, 'none') || ' w ' || CASE WHEN g.ok THEN g.v ELSE g.t END, CASE WHEN g.ok THEN 1 ELSE 0 END
+FROM g LEFT JOIN f o ON o.doc_id = g.doc_id - 1
+UNION ALL
+SELECT -doc_id - 1, 3, t, 0 FROM g"""
+
+
+def _leaks_sql() -> str:
+    return f"""SELECT d.doc_id, count(DISTINCT t.value) FILTER (d.doc_id % 3 = 0) AS leak_count,
+       count(DISTINCT t.value) FILTER (d.doc_id % 3 = 0) = 0 AS verification_passed
+FROM documents d LEFT JOIN ({_tokens_sql()}) t ON t.doc_id = d.doc_id GROUP BY d.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
     src = CORPUS_SQL
     sql = training_data.oracle_sql() if training_data is not None else {}
@@ -543,6 +619,9 @@ def oracle_sql() -> dict[str, str]:
         "d07_verify": _verify_sql(),
         "b01_leaves": _leaves_sql(),
         "c28_custom_regex": _custom_sql(src),
+        "p04_tokens": _tokens_sql(),
+        "d11_restore_clients": _restore_clients_sql(),
+        "d07_leaks": _leaks_sql(),
         "p01_backend_policy": (
             f"SELECT template, count(*) AS n_rows, CAST(sum(CASE WHEN template IN (1, 2, 3, 5, 6, 8, 9) THEN 1 ELSE 0 END) AS BIGINT) "
             f"AS n_blocked FROM {O.PLANTED} p GROUP BY template"

@@ -30,7 +30,7 @@ def jobs(spark, sf_dir, parts):
     # Text lengths are skewed (1 to 20,000 words); spread rows before the CPU-heavy work.
     docs = docs.repartition(parts)
     det_all = default_detectors()
-    fw = Firewall()
+    fw = Firewall("bench")
 
     def flagship():
         ents = detect(docs, "text", ["doc_id", "source"], pattern_only(FLAGSHIP))

@@ -14,7 +14,7 @@ ROWS = [
 
 def test_sanitize_restore_round_trip(spark):
     df = spark.createDataFrame(ROWS, "request_id string, text string")
-    fw = Firewall(detectors=default_detectors(enable_context=True))
+    fw = Firewall("test secret", detectors=default_detectors(enable_context=True))
     out = fw.sanitize(df, "text", "request_id").select("request_id", "text", "clean", "sanitized", "blocked", "vault").cache()
     res = {r.request_id: r for r in out.collect()}
     # same value twice in one request -> one token; same value in two requests -> two tokens

@@ -47,7 +47,6 @@ EMAIL_OBFUSCATED_PATTERN = (
     r"(?i)\b([a-z0-9._%+-]+(?:\s*\[at\]\s*|\s*\(at\)\s*|\s+at\s+)[a-z0-9.-]+"
     r"(?:\s*\[dot\]\s*|\s*\(dot\)\s*|\s+dot\s+|\.)[a-z]{2,})\b"
 )
-EMAIL_TRAILING_PUNCT = ".,;:!?)"
 
 PHONE_PATTERNS = [
     r"(?:^|(?<=[^\w]))\+\d{1,3}[-.\s]?(?:\(?\d{2,4}\)?[-.\s]?)?\d{3,5}[-.\s]?\d{4,6}\b",
@@ -55,7 +54,6 @@ PHONE_PATTERNS = [
     r"(?:^|(?<=[^\w]))(?:\+91[-.\s]?|0)?[6-9]\d{4}[-.\s]?\d{5}\b",
     r"(?:^|(?<=[^\w]))(?:\+91\s*|0\s*)?[6-9]\s*\d(?:\s*\d){8}\b",
 ]
-PHONE_STRIP_CHARS = " ,;:!?'\""
 PHONE_DATE_SHAPE = r"^\d{4}[-/.]\d{2}[-/.]\d{2}$"
 
 SSN_PATTERN = r"\b(\d{3})[- ](\d{2})[- ](\d{4})\b"
@@ -324,7 +322,7 @@ SALARY_PATTERN = (
     r"([$€£₹]?\s*[\d,]+(?:\.\d+)?(?:\s*(?:k|lac|lakh|usd|inr|per annum|per month))?)"
 )
 DOB_PATTERN = (
-    r"(?i:(?:DOB|birth\s*date|date\s*of\s*birth|born\s*on|born|birthday|birthdate)\s*(?:is|was|:|=|->|\s)\s*)"
+    r"(?i)(?:(?:DOB|birth\s*date|date\s*of\s*birth|born\s*on|born|birthday|birthdate)\s*(?:is|was|:|=|->|\s)\s*)"
     r"(\d{4}[-/.]\d{1,2}[-/.]\d{1,2}|\d{1,2}[-/.]\d{1,2}[-/.]\d{2,4}|(?:Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|Jun(?:e)?|Jul(?:y)?|Aug(?:ust)?|Sep(?:tember)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?)\s+\d{1,2},?\s+\d{4})"
 )
 LICENCE_PATTERN = (

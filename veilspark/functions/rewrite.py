@@ -111,24 +111,28 @@ def redact_col(pii_type: Column, entity_category: Column, simple: bool = False)
 def derived_salt(request_id: Column, secret: str, client_id: Column | None = None) -> Column:
     """16-byte salt derived from a job secret and the request id (deterministic under retries).
 
-    With a client id the salt is bound to it: first 16 bytes of SHA-256(salt || client).
+    Secret and id are parted by a zero character. With a client id the salt is bound to it: first
+    16 bytes of SHA-256(salt || client).
     """
-    salt = F.unhex(F.substring(F.sha2(F.concat(F.lit(secret), request_id.cast("string")), 256), 1, 32))
+    salt = F.unhex(F.substring(F.sha2(F.concat(F.lit(secret + "\u0000"), request_id.cast("string")), 256), 1, 32))
     if client_id is not None:
         bound = F.unhex(F.substring(F.sha2(F.concat(salt, F.encode(client_id, "UTF-8")), 256), 1, 32))
         salt = F.when(client_id.isNotNull(), bound).otherwise(salt)
     return salt
 
 
-def token_hash(salt: Column, pii_type: Column, value: Column) -> Column:
+HASH_LENGTH = 8
+
+
+def token_hash(salt: Column, pii_type: Column, value: Column, length: int = HASH_LENGTH) -> Column:
     """First 8 hex of SHA-256(salt || "TYPE:value")."""
     key = F.encode(F.concat(pii_type, F.lit(":"), value), "UTF-8")
-    return F.substring(F.sha2(F.concat(salt, key), 256), 1, 8)
+    return F.substring(F.sha2(F.concat(salt, key), 256), 1, length)
 
 
-def rehash(h: Column, counter: int) -> Column:
-    """P5: collision fallback, first 8 hex of SHA-256("<h>_<counter>")."""
-    return F.substring(F.sha2(F.concat(h, F.lit(f"_{counter}")), 256), 1, 8)
+def rehash(h: Column, counter: Column, length: int = HASH_LENGTH) -> Column:
+    """P5: collision fallback, first 8 hex of SHA-256("<h>_<counter>"), h being the first hash."""
+    return F.substring(F.sha2(F.concat(h, F.lit("_"), counter.cast("string")), 256), 1, length)
 
 
 def make_token(pii_type: Column, h: Column, prefix: str = X.TOKEN_PREFIX, suffix: str = X.TOKEN_SUFFIX) -> Column:
@@ -158,23 +162,25 @@ VAULT_ENTRY = T.StructType(
 )
 
 
-def assign_tokens(pairs: Column, salt: Column, prefix: str = X.TOKEN_PREFIX, suffix: str = X.TOKEN_SUFFIX) -> Column:
+def assign_tokens(pairs: Column, salt: Column, prefix: str = X.TOKEN_PREFIX, suffix: str = X.TOKEN_SUFFIX,
+                  length: int = HASH_LENGTH) -> Column:
     """F1 + P4 + P5 inside one row: distinct (type, value) pairs in first-seen order ->
-    array<struct<pii_type, value, token>>; a token already taken by a different value is
-    re-hashed with a counter (two levels; a third collision of 32-bit hashes is not reachable
-    in practice)."""
+    array<struct<pii_type, value, token>>. A token already held by a different value is re-hashed
+    from the first hash with counters 1, 2, ... until one is free; there are more counters than
+    tokens held, and should all of their short hashes be taken, the whole hash is used."""
     init = F.array().cast(T.ArrayType(VAULT_ENTRY))
 
     def taken(acc: Column, tok: Column, value: Column) -> Column:
         return F.exists(acc, lambda x: (x["token"] == tok) & (x["value"] != value))
 
     def step(acc: Column, p: Column) -> Column:
-        h0 = token_hash(salt, p["pii_type"], p["value"])
+        h0 = token_hash(salt, p["pii_type"], p["value"], length)
         t0 = make_token(p["pii_type"], h0, prefix, suffix)
-        h1 = rehash(h0, 1)
-        t1 = make_token(p["pii_type"], h1, prefix, suffix)
-        t2 = make_token(p["pii_type"], rehash(h1, 2), prefix, suffix)
-        tok = F.when(~taken(acc, t0, p["value"]), t0).when(~taken(acc, t1, p["value"]), t1).otherwise(t2)
+        tries = F.transform(
+            F.sequence(F.lit(1), F.size(acc) + 1), lambda k: make_token(p["pii_type"], rehash(h0, k, length), prefix, suffix))
+        free = F.get(F.filter(tries, lambda t: ~taken(acc, t, p["value"])), 0)
+        whole = make_token(p["pii_type"], token_hash(salt, p["pii_type"], p["value"], 64), prefix, suffix)
+        tok = F.when(~taken(acc, t0, p["value"]), t0).otherwise(F.coalesce(free, whole))
         entry = F.struct(p["pii_type"].alias("pii_type"), p["value"].alias("value"), tok.alias("token"))
         return F.when(
             F.exists(acc, lambda x: (x["pii_type"] == p["pii_type"]) & (x["value"] == p["value"])), acc

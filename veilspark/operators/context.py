@@ -136,10 +136,6 @@ def _ent(t, s, conf, evidence, related=None):
     return make_entity(t, s["start"], s["end"], s["value"], conf, CATEGORY_OF.get(t, X.PERSONAL_INFO), evidence, related)
 
 
-def _then(acc: Column, new: Column) -> Column:
-    return F.concat(acc, new)
-
-
 # ---------------------------------------------------------------------------
 # C10 transmission intent
 # ---------------------------------------------------------------------------
@@ -399,15 +395,6 @@ def pan_context_entities(text: Column, acc: Column) -> Column:
 # ---------------------------------------------------------------------------
 # The whole chain
 # ---------------------------------------------------------------------------
-def _gate(text: Column, pattern: str, stage: Column) -> Column:
-    """Run a stage only on texts holding one of its cue words (one cheap case-insensitive scan)."""
-    return F.when(text.rlike("(?i)" + pattern), stage).otherwise(empty_entities())
-
-
-def _phrase_gate(text: Column, pii_type: str) -> str:
-    return phrase_regex(X.PHRASES[pii_type])
-
-
 # Literal gates: every phrase / cue of a stage contains at least one of these (checked
 # below), so "no literal in the lower-cased text" proves the stage has nothing to find.
 GATE_LITERALS = {
@@ -477,18 +464,8 @@ def add_context_entities(df, text_col: str, out_col: str, stages=None):
                 stage = F.when(gate(text, lt), stage).otherwise(empty_entities())
             return F.concat(F.col(acc_col), stage)
 
-        df = df.withColumn(acc_col, cached_expr(df, ("ctx", name, id(build), text_col), make))
+        df = df.withColumn(acc_col, cached_expr(df, build, text_col, make))
     nonempty = F.coalesce(F.length(text), F.lit(0)) > 0
     return df.withColumn(out_col, F.when(nonempty, F.col(acc_col)).otherwise(empty_entities())).drop(
         rels_col, acc_col, lt_col
     )
-
-
-def detect_intent(text: Column) -> Column:
-    """C10 on its own (boolean, type, phrase) as a struct column."""
-    arr = intent_entities(text)
-    return F.struct(
-        (F.size(arr) > 0).alias("has_intent"),
-        F.get(arr, 0)["pii_type"].alias("pii_type"),
-        F.get(arr, 0)["value"].alias("phrase"),
-    )

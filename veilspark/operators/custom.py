@@ -23,35 +23,36 @@ from pyspark.sql import types as T
 
 from veilspark.functions import fixed as X
 from veilspark.functions.entity import empty_entities, make_entity
-from veilspark.functions.spans import spans
+from veilspark.functions.spans import _starts, spans
 from veilspark.operators.detect import Detector
+from veilspark.operators.policy import category_col
 
 
 def regex_detector(
     pii_type: str,
     pattern: str,
     confidence: float = 1.0,
-    validator: Callable | None = None,
+    validator: Callable[[Column], Column] | None = None,
     context_words: list[str] | None = None,
     flags: str = "",
     name: str | None = None,
+    python_validator: Callable[[str], bool] | None = None,
 ) -> Detector:
-    """C28. ``flags`` are Java inline flags, e.g. ``"i"``."""
+    """C28. ``flags`` are Java inline flags, e.g. ``"i"``. ``validator`` maps the value's column to a
+    boolean column; ``python_validator`` takes one value and runs in an Arrow function."""
     pat = (f"(?{flags})" if flags else "") + pattern
 
     def fn(text: Column) -> Column:
         s = F.coalesce(spans(text, pat), F.array().cast("array<struct<start:int,end:int,value:string,match:string>>"))
         s = F.filter(s, lambda m: F.length(m["value"]) > 0)
         if validator is not None:
-            probe = validator(F.lit("x")) if _is_column_fn(validator) else None
-            if isinstance(probe, Column):
-                s = F.filter(s, lambda m: F.coalesce(validator(m["value"]), F.lit(False)))
-            else:
-                ok = _py_validator(validator)(F.transform(s, lambda m: m["value"]))
-                s = F.transform(
-                    F.filter(F.arrays_zip(s.alias("s"), ok.alias("ok")), lambda z: F.coalesce(z["ok"], F.lit(False))),
-                    lambda z: z["s"],
-                )
+            s = F.filter(s, lambda m: F.coalesce(validator(m["value"]), F.lit(False)))
+        if python_validator is not None:
+            ok = _py_validator(python_validator)(F.transform(s, lambda m: m["value"]))
+            s = F.transform(
+                F.filter(F.arrays_zip(s.alias("s"), ok.alias("ok")), lambda z: F.coalesce(z["ok"], F.lit(False))),
+                lambda z: z["s"],
+            )
         out = F.transform(s, lambda m: make_entity(pii_type, m["start"], m["end"], m["value"], confidence))
         if context_words:
             lt = F.lower(text)
@@ -64,13 +65,6 @@ def regex_detector(
     return Detector(name or f"custom_regex_{pii_type}", fn, (pii_type,))
 
 
-def _is_column_fn(fn: Callable) -> bool:
-    try:
-        return isinstance(fn(F.lit("x")), Column)
-    except Exception:
-        return False
-
-
 def _py_validator(fn: Callable):
     @F.pandas_udf(T.ArrayType(T.BooleanType()))
     def check(values: pd.Series) -> pd.Series:
@@ -105,27 +99,33 @@ FOUND = T.ArrayType(
 def function_detector(pii_type: str, detector: Callable, confidence: float = 1.0, name: str | None = None) -> Detector:
     """Per-text Python callback (Arrow batches), normalised to entity spans."""
 
-    def normalise(text: str):
-        if not text:
-            return []
+    def from_parts(text: str, item) -> list[tuple]:
+        start, end, *rest = item
+        value = str(rest[0]) if rest else text[int(start) : int(end)]
+        return [(int(start), int(end), value, float(rest[1]) if len(rest) > 1 else confidence)]
+
+    def from_fields(text: str, item) -> list[tuple]:
+        start, end = int(item["start"]), int(item["end"])
+        return [(start, end, str(item.get("value", text[start:end])), float(item.get("confidence", confidence)))]
+
+    def from_word(text: str, item) -> list[tuple]:
+        return [(m.start(), m.end(), item, confidence) for m in re.finditer(re.escape(item), text)] if item else []
+
+    shapes = {tuple: from_parts, list: from_parts, dict: from_fields, str: from_word}
+
+    def normalise(text: str) -> list[tuple]:
+        """Spans of whatever the callable returned; an item that can't be read is left out."""
         try:
-            raw = detector(text)
+            items = list(detector(text) or []) if text else []
         except Exception:
             return []
         out = []
-        for item in raw or []:
-            if isinstance(item, (tuple, list)):
-                if len(item) >= 2:
-                    s, e = int(item[0]), int(item[1])
-                    v = str(item[2]) if len(item) >= 3 else text[s:e]
-                    c = float(item[3]) if len(item) >= 4 else confidence
-                    out.append((s, e, v, c))
-            elif isinstance(item, dict):
-                s, e = int(item["start"]), int(item["end"])
-                out.append((s, e, str(item.get("value", text[s:e])), float(item.get("confidence", confidence))))
-            elif isinstance(item, str) and item:
-                for m in re.finditer(re.escape(item), text):
-                    out.append((m.start(), m.end(), item, confidence))
+        for item in items:
+            read = next((f for kind, f in shapes.items() if isinstance(item, kind)), None)
+            try:
+                out += read(text, item) if read else []
+            except (KeyError, TypeError, ValueError):
+                continue
         return out
 
     @F.pandas_udf(FOUND)
@@ -160,34 +160,27 @@ def read_annotations(df: DataFrame, key_col: str, json_col: str) -> DataFrame:
 
 
 def locate_annotations(texts: DataFrame, annotations: DataFrame, key_col: str, text_col: str = "text") -> DataFrame:
-    """Every occurrence of each annotated value in its text (exact case; if the value does
-    not occur with its own case, case-insensitive). Unknown types map to EMAIL."""
+    """Where each annotated value occurs in its text: all occurrences in the value's own case,
+    then, after the last of them, those in any case. Unknown types map to EMAIL; the type's category
+    and the annotation's context (as evidence) are kept."""
     alias = F.create_map(*[x for k, v in X.ANNOTATION_TYPE_ALIASES.items() for x in (F.lit(k), F.lit(v))])
     a = annotations.select(
         key_col,
         F.trim(F.col("value")).alias("__v"),
         F.coalesce(F.element_at(alias, F.upper(F.trim(F.coalesce(F.col("type"), F.lit("EMAIL"))))), F.lit("EMAIL")).alias("pii_type"),
         F.coalesce(F.col("confidence"), F.lit(0.95)).alias("confidence"),
-        F.col("context"),
+        F.col("context").alias("evidence"),
     ).filter(F.length("__v") > 0)
-    j = texts.select(key_col, text_col).join(a, key_col)
-    # pattern per row: \Q...\E quoted literal (a literal \E inside the value is split out)
+    j = texts.select(key_col, F.col(text_col).alias("__t")).join(a, key_col)
+    # pattern per row: a quoted literal (an end-of-quote inside the value is split out)
     quoted = F.concat(F.lit("\\Q"), F.replace(F.col("__v"), F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
-    exact = F.regexp_extract_all(F.col(text_col), quoted, F.lit(0))
-    ci = F.regexp_extract_all(F.col(text_col), F.concat(F.lit("(?i)"), quoted), F.lit(0))
-    j = j.withColumn("__pat", F.when(F.size(exact) > 0, quoted).otherwise(F.concat(F.lit("(?i)"), quoted)))
-    j = j.withColumn("__m", F.regexp_extract_all(F.col(text_col), F.col("__pat"), F.lit(0)))
-    j = j.withColumn("__g", F.split(F.col(text_col), F.col("__pat"), -1))
-    from veilspark.functions.spans import _starts
-
-    j = j.withColumn("__st", _starts(F.col("__m"), F.col("__g")))
-    return j.select(
-        key_col,
-        "pii_type",
-        F.posexplode(F.col("__m")).alias("i", "value"),
-        "confidence",
-        "__st",
-    ).select(
-        key_col, "pii_type", F.col("__st")[F.col("i")].alias("start"),
-        (F.col("__st")[F.col("i")] + F.length("value")).alias("end"), "value", "confidence",
-    ).drop("ci")
+    j = j.withColumn("__exact", quoted).withColumn("__any", F.concat(F.lit("(?iu)"), quoted))
+    j = j.withColumn("__gaps", F.split("__t", F.col("__exact"), -1)).withColumn("__rest", F.element_at("__gaps", -1))
+    first = _starts(F.regexp_extract_all("__t", F.col("__exact"), F.lit(0)), F.col("__gaps"))
+    offset = F.length("__t") - F.length("__rest")
+    then = _starts(F.regexp_extract_all("__rest", F.col("__any"), F.lit(0)), F.split("__rest", F.col("__any"), -1))
+    j = j.withColumn("__st", F.concat(first, F.transform(then, lambda s: s + offset)))
+    return j.select(key_col, "pii_type", F.explode("__st").alias("start"), "confidence", "evidence", "__v", "__t").select(
+        key_col, "pii_type", "start", (F.col("start") + F.length("__v")).alias("end"),
+        F.expr("substring(__t, start + 1, length(__v))").alias("value"), "confidence",
+        category_col(F.col("pii_type")).alias("category"), "evidence")

@@ -7,7 +7,9 @@ text is read once per pattern, inside whole-stage pipelines, with no shuffle.
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from dataclasses import dataclass, field
+from functools import reduce
 from typing import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -29,18 +31,22 @@ from veilspark.functions.spans import SPAN_TYPE, gated_spans, let, spans
 
 SPAN_ELEM = SPAN_TYPE.elementType
 
-# Built column expressions per (session, key): building a detector costs thousands of
-# JVM round trips, while the resulting unresolved expression can be reused by any
-# DataFrame of the same session that has the same text column name.
-_EXPR_CACHE: dict = {}
+# Built column expressions: building a detector costs thousands of JVM round trips, while the
+# resulting unresolved expression can be reused by any DataFrame of the same session that has the
+# same text column name. The key holds the builder function itself, so it can't be taken for
+# another one; the least recently used expressions go first.
+_EXPR_CACHE: OrderedDict = OrderedDict()
+_EXPR_CACHE_SIZE = 128
 
 
-def cached_expr(df: DataFrame, key: tuple, build: Callable[[], Column]) -> Column:
-    sess = id(df.sparkSession._jsparkSession)
-    k = (sess,) + key
-    if k not in _EXPR_CACHE:
-        _EXPR_CACHE[k] = build()
-    return _EXPR_CACHE[k]
+def cached_expr(df: DataFrame, maker: Callable, text_col: str, build: Callable[[], Column]) -> Column:
+    key = (df.sparkSession, maker, text_col)
+    if key not in _EXPR_CACHE:
+        _EXPR_CACHE[key] = build()
+        while len(_EXPR_CACHE) > _EXPR_CACHE_SIZE:
+            _EXPR_CACHE.popitem(last=False)
+    _EXPR_CACHE.move_to_end(key)
+    return _EXPR_CACHE[key]
 
 
 def _char_at(text: Column, pos0: Column) -> Column:
@@ -97,7 +103,12 @@ def detect_phone_expr(text: Column) -> Column:
     )
     kept = sort_by_start(keep_not_contained(cands, SPAN_ELEM))
     out = F.transform(kept, lambda s: make_entity("PHONE", s["start"], s["end"], s["value"], X.CONFIDENCE["PHONE"]))
-    return F.when(text.rlike(r"[0-9]{3}"), out).otherwise(empty_entities())
+    return F.when(ten_digits(text), out).otherwise(empty_entities())
+
+
+def ten_digits(text: Column) -> Column:
+    """Necessary for a phone number: ten digits anywhere, with any separators."""
+    return text.rlike("[0-9]") & (F.regexp_count(text, F.lit("[0-9]")) >= 10)
 
 
 # ---------------------------------------------------------------------------
@@ -233,8 +244,7 @@ class DetectorSet:
             if det.df_fn is not None:
                 df = det.df_fn(df, text_col, col)
             else:
-                expr = cached_expr(df, ("det", det.name, id(det.fn), text_col),
-                                   lambda: F.coalesce(det.fn(text), empty_entities()))
+                expr = cached_expr(df, det.fn, text_col, lambda: F.coalesce(det.fn(text), empty_entities()))
                 df = df.withColumn(col, expr)
             tmp.append((rank, det, col))
         parts = []
@@ -326,7 +336,6 @@ def prefilter(df: DataFrame, text_col: str, kinds) -> DataFrame:
     """Keep rows that can hold a match of any chosen kind (cheap necessary patterns)."""
     cheap = {
         "EMAIL": "@|(?i)\\bat\\b|\\[at\\]|\\(at\\)",
-        "PHONE": "[0-9]{3}",
         "SSN": "[0-9]{3}[- ][0-9]{2}[- ][0-9]{4}",
         "CREDIT_CARD": "[0-9]{4}",
         "IP_ADDRESS": "[0-9]\\.[0-9]",
@@ -334,5 +343,5 @@ def prefilter(df: DataFrame, text_col: str, kinds) -> DataFrame:
         "PAN_CARD": "[A-Z]{5}[0-9]{4}[A-Z]",
         "AADHAAR": "[2-9][0-9]{3}[ -]?[0-9]{4}[ -]?[0-9]{4}",
     }
-    pat = "|".join(f"(?:{cheap[k]})" for k in kinds)
-    return df.filter(F.col(text_col).rlike(pat))
+    conds = [ten_digits(F.col(text_col)) if k == "PHONE" else F.col(text_col).rlike(cheap[k]) for k in kinds]
+    return df.filter(reduce(lambda a, b: a | b, conds, F.lit(False)))

@@ -1,12 +1,9 @@
 """Policy tables and the per-entity decision.
 
-A policy is small configuration: rules per tool, destination allowlists per category
-and a default action. It is held as Python dicts (or read from bounded tables with a
-checked size) and compiled into one ``CASE WHEN`` over literal maps, so deciding an
-action never needs a join or a shuffle of the (large) entity data.
-
-The relational form (``decide_actions_df``) does the same with broadcast joins of the
-policy tables, for callers that keep policy as tables; both forms agree.
+A policy written in code (rules per tool, destination allowlists per category, a default
+action) is compiled into one ``CASE WHEN`` over literal maps, so deciding an action needs
+neither a join nor a shuffle of the (large) entity data. ``decide_actions_joined`` takes
+the policy as tables of any size and decides by equi-joins; a test holds both to agree.
 """
 
 from __future__ import annotations
@@ -27,9 +24,6 @@ TYPE_CATEGORY = {t: X.CREDENTIAL for t in X.CREDENTIAL_TYPES}
 TYPE_CATEGORY.update({t: X.BUSINESS_CONFIDENTIAL for t in X.BUSINESS_TYPES})
 TYPE_CATEGORY.update({t: X.PERSONAL_INFO for t in X.PERSONAL_TYPES})
 
-MAX_POLICY_ROWS = 100_000  # policy is configuration; refuse to inline anything bigger
-
-
 def normalize_action(action: str) -> str:
     """P2 (Python side, for building policies)."""
     clean = str(action).strip().upper()
@@ -143,35 +137,6 @@ class Policy:
             {"PII_RULES": X.DEFAULT_RULES}, tool
         )
 
-    @classmethod
-    def from_tables(
-        cls,
-        policy_rules: DataFrame | None = None,
-        tool_rules: DataFrame | None = None,
-        allowlist: DataFrame | None = None,
-        default_action: str = TOKENIZE,
-        simple_redaction: bool = False,
-    ) -> "Policy":
-        """Build from bounded configuration tables (size checked before collecting)."""
-        pol = cls(default_action=default_action, simple_redaction=simple_redaction)
-        for df in (policy_rules, tool_rules, allowlist):
-            if df is not None and df.limit(MAX_POLICY_ROWS + 1).count() > MAX_POLICY_ROWS:
-                raise ValueError("policy table too large to inline; keep policy as configuration")
-        if allowlist is not None:
-            pol.allowlists = {}
-            for r in allowlist.collect():
-                pol.allowlists.setdefault(r["category"], set()).add(r["destination"])
-        if tool_rules is not None:
-            for r in tool_rules.collect():
-                rule = pol.rules.setdefault(r["tool"], ToolRule(r["tool"]))
-                rule.blocked |= {normalize_type(x) for x in (r["blocked"] or [])}
-                rule.whitelisted_fields |= set(r["whitelisted_fields"] or [])
-                rule.credential_exceptions |= {normalize_type(x) for x in (r["credential_exceptions"] or [])}
-        if policy_rules is not None:
-            for r in policy_rules.collect():
-                pol.set_rule(r["type_name"], r["action"], r["tool"])
-        return pol
-
     # ---- decision (P1) ----
     def authorized_col(self, category: str, tool: Column) -> Column:
         allowed = sorted(self.allowlists.get(category, set()))
@@ -228,15 +193,6 @@ class Policy:
             .otherwise(F.coalesce(rule_action, default))
         )
 
-    # ---- relational views of the policy (bounded, for joins and reports) ----
-    def rules_df(self, spark: SparkSession) -> DataFrame:
-        rows = [(t, ty, a) for t, r in self.rules.items() for ty, a in r.actions.items()]
-        return spark.createDataFrame(rows, "tool string, type_name string, action string")
-
-    def allowlist_df(self, spark: SparkSession) -> DataFrame:
-        rows = [(c, d) for c, ds in self.allowlists.items() for d in sorted(ds)]
-        return spark.createDataFrame(rows, "category string, destination string")
-
 
 def dim_type(spark: SparkSession) -> DataFrame:
     """Dimension table ``dim_type(pii_type, category, strict)`` (46 rows)."""
@@ -263,3 +219,55 @@ def decide_actions_df(entities: DataFrame, tool_col: str, policy: Policy, field_
     return entities.withColumn(
         "category", category_col(F.col("pii_type"), F.col("category"))
     ).withColumn("action", policy.action_col(F.col(tool_col), F.col("pii_type"), fc, F.col("category")))
+
+
+def decide_actions_joined(
+    entities: DataFrame,
+    tool_col: str,
+    policy_rules: DataFrame,
+    tool_rules: DataFrame,
+    allowlist: DataFrame,
+    field_col: str | None = None,
+    default_action: str = TOKENIZE,
+) -> DataFrame:
+    """P1 with the policy as tables of any size: equi-joins only, on the rule that holds (D2), the
+    rule's action, blocked types, whitelisted fields, credential exceptions (D5) and the allowlist (D4).
+
+    ``policy_rules``: tool, type_name, action. ``tool_rules``: tool, blocked, whitelisted_fields,
+    credential_exceptions (arrays). ``allowlist``: category, destination. Agrees with ``Policy``.
+    """
+    named = lambda c: normalize_type_col(F.col(c))
+    rules = policy_rules.select("tool", named("type_name").alias("t"), normalize_action_col(F.col("action")).alias("__action"))
+    rules = rules.dropDuplicates(["tool", "t"])
+    tools = rules.select("tool").unionByName(tool_rules.select("tool")).distinct()
+
+    def members(column: str, alias: str, types: bool) -> DataFrame:
+        m = tool_rules.select("tool", F.explode(column).alias("m"))
+        return m.select("tool", (named("m") if types else F.col("m")).alias("m")).distinct().withColumn(alias, F.lit(True))
+
+    tool, kind = F.col(tool_col), F.col("pii_type")
+    e = entities.withColumn("category", category_col(kind, F.col("category"))).withColumn("__tool", tool)
+    e = e.withColumn("__field", F.col(field_col) if field_col else F.lit(None).cast("string"))
+    e = e.join(tools.select(F.col("tool").alias("__tool"), F.lit(True).alias("__own")), "__tool", "left")
+    star = tools.filter("tool = '*'").agg((F.count(F.lit(1)) > 0).alias("__star"))
+    e = e.withColumn("__one", F.lit(1)).join(star.withColumn("__one", F.lit(1)), "__one", "left").drop("__one")
+    e = e.withColumn("__rule", F.when(F.col("__own"), F.col("__tool")).when(F.col("__star"), F.lit("*")))
+    e = e.join(rules.select(F.col("tool").alias("__rule"), F.col("t").alias("pii_type"), "__action"), ["__rule", "pii_type"], "left")
+    for column, alias, key in (("blocked", "__blocked", "pii_type"), ("credential_exceptions", "__exception", "pii_type"), ("whitelisted_fields", "__white", "__field")):
+        m = members(column, alias, key == "pii_type").select(F.col("tool").alias("__rule"), F.col("m").alias(key), alias)
+        e = e.join(m, ["__rule", key], "left")
+    allowed = allowlist.select("category", F.col("destination").alias("__to")).distinct()
+    any_tool = allowed.filter("__to = '*'").select("category", F.lit(True).alias("__all"))
+    e = e.join(any_tool, "category", "left").join(allowed.select("category", F.col("__to").alias("__tool"), F.lit(True).alias("__named")), ["category", "__tool"], "left")
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    authorised, default = yes("__all") | yes("__named"), F.lit(default_action)
+    cred, biz, act = F.col("category") == X.CREDENTIAL, F.col("category") == X.BUSINESS_CONFIDENTIAL, F.col("__action")
+    decided = (
+        F.when(yes("__white"), F.lit(PASS)).when(yes("__blocked"), F.lit(BLOCK))
+        .when(cred & yes("__exception"), F.coalesce(act, F.lit(REDACT)))
+        .when(cred & authorised, F.coalesce(act, default))
+        .when(cred & (is_strict(kind) | ((F.col("__tool") != "*") & act.isNull())), F.lit(BLOCK))
+        .when(biz & ~authorised, F.lit(BLOCK))
+        .otherwise(F.coalesce(act, default))
+    )
+    return e.withColumn("action", decided).select(*dict.fromkeys([*entities.columns, "category"]), "action")

@@ -1,18 +1,52 @@
 """Verify, restore, purge and audit jobs.
 
-Restore is relational: tokens found in a response are exploded to rows, joined to the
-vault on ``(request_id, token)``, and the replacements are regrouped per response. The
-vault is never collected; AQE picks a broadcast only when the runtime size of a side is
-under Spark's threshold, and splits skewed join partitions otherwise.
+A vault is summed up to one row per request (token -> value and client), which is bounded by one
+request, and joined once by request id; everything else happens inside the response's row, so a
+response keeps its own text however many responses and leaves a request has. The same join works
+for a stream of responses against a vault table.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.functions import fixed as X
 from veilspark.functions.rewrite import token_pattern
+from veilspark.functions.spans import let
+
+
+def vault_maps(vault: DataFrame, key_col: str = "request_id") -> DataFrame:
+    """One row per request: ``__vault``, token -> (value, client). A token listed for several leaves counts once."""
+    held = vault.groupBy(F.col("request_id").alias(key_col), "token").agg(F.min(F.struct("value", "client_id")).alias("v"))
+    entry = F.struct("token", F.struct(F.col("v.value").alias("value"), F.col("v.client_id").alias("client")).alias("v"))
+    return held.filter(F.col("token").isNotNull()).groupBy(key_col).agg(F.map_from_entries(F.collect_list(entry)).alias("__vault"))
+
+
+def replaced(text: Column, vault: Column, pattern: str, client: Column | None) -> Column:
+    """(restored, restored_count) of one text: known tokens of this client become their values."""
+
+    def known(token: Column) -> Column:
+        entry = F.element_at(vault, token)
+        if client is None:
+            return entry["value"]
+        bound = entry["client"].isNull() | F.coalesce(F.lower(entry["client"]) == F.lower(client), F.lit(False))
+        return F.when(bound, entry["value"])
+
+    def rebuild(b: Column) -> Column:
+        pieces = F.transform(b["tokens"], lambda t, i: F.concat(b["gaps"][i], F.coalesce(b["values"][i], t)))
+        return F.struct(
+            F.concat(F.array_join(pieces, ""), F.element_at(b["gaps"], -1)).alias("restored"),
+            F.size(F.filter(b["values"], lambda v: v.isNotNull())).cast("long").alias("restored_count"))
+
+    def look_up(b: Column) -> Column:
+        values = F.transform(b["tokens"], known)
+        return let(F.struct(b["tokens"].alias("tokens"), b["gaps"].alias("gaps"), values.alias("values")), rebuild)
+
+    tokens = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    same = F.struct(text.alias("restored"), F.lit(0).cast("long").alias("restored_count"))
+    found = let(F.struct(tokens.alias("tokens"), F.split(text, pattern, -1).alias("gaps")), look_up)
+    return F.when(vault.isNotNull() & text.rlike(pattern), found).otherwise(same)
 
 
 def restore_text(
@@ -27,62 +61,61 @@ def restore_text(
 ) -> DataFrame:
     """responses(key, text[, client]) + vault -> (..., restored, restored_count).
 
-    Unknown or foreign tokens stay as they are; a response whose request has no vault is
-    returned unchanged with zero restored. With a client column, a vault row bound to a
-    client restores only for the same client (case-insensitive).
+    Every response row is restored by itself. Unknown or foreign tokens stay as they are; a
+    response whose request has no vault is returned unchanged with zero restored. With a client
+    column, a value bound to a client is given to the same client only (case ignored; not to a null
+    one), an unbound value to all.
     """
     if not allow_restoration:
         return responses.withColumn("restored", F.col(text_col)).withColumn("restored_count", F.lit(0).cast("long"))
-    tp = token_pattern(prefix, suffix)
-    cols = [key_col] + ([client_col] if client_col else [])
-    toks = (
-        responses.filter(F.col(text_col).rlike(tp))
-        .select(*cols, F.posexplode(F.regexp_extract_all(F.col(text_col), F.lit(tp), F.lit(0))).alias("pos", "token"))
-    )
-    v = vault.select(
-        F.col("request_id").alias(key_col), "token", "value", F.col("client_id").alias("__vclient")
-    )
-    j = toks.join(v, [key_col, "token"], "left")
-    if client_col:
-        bound_ok = F.col("__vclient").isNull() | (F.lower(F.col("__vclient")) == F.lower(F.col(client_col)))
-        j = j.withColumn("value", F.when(bound_ok, F.col("value")))
-    reps = j.groupBy(*cols).agg(
-        F.array_sort(F.collect_list(F.struct("pos", F.coalesce("value", "token").alias("rep")))).alias("__reps"),
-        F.count("value").alias("restored_count"),
-    )
-    out = responses.join(reps, cols, "left").withColumn("__parts", F.split(F.col(text_col), tp, -1))
-    parts = F.col("__parts")
-    rebuilt = F.concat(
-        F.array_join(F.transform(F.col("__reps"), lambda r, i: F.concat(parts[i], r["rep"])), ""),
-        F.element_at(parts, -1),
-    )
-    return (
-        out.withColumn("restored", F.when(F.col("__reps").isNull(), F.col(text_col)).otherwise(rebuilt))
-        .withColumn("restored_count", F.coalesce(F.col("restored_count"), F.lit(0)).cast("long"))
-        .drop("__reps", "__parts")
-    )
+    client = F.col(client_col) if client_col else None
+    out = responses.join(vault_maps(vault, key_col), key_col, "left")
+    out = out.withColumn("__r", replaced(F.col(text_col), F.col("__vault"), token_pattern(prefix, suffix), client))
+    return out.withColumn("restored", F.col("__r.restored")).withColumn("restored_count", F.col("__r.restored_count")).drop("__r", "__vault")
+
+
+def restore_batch(responses: DataFrame, vault: DataFrame, key_col: str = "request_id", text_col: str = "response",
+                  client_col: str | None = None, purge: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Restored responses, and the vault without the requests that were answered."""
+    restored = restore_text(responses, vault, key_col, text_col, client_col)
+    return restored, purge_vault(vault, responses.select(key_col), key_col) if purge else vault
 
 
 def verify_no_leak(sanitized: DataFrame, vault: DataFrame, key_col: str = "request_id", text_col: str = "sanitized") -> DataFrame:
-    """D7 (relational form): per request, how many vault values still occur in the sanitised
-    text, and their lengths only — never the values."""
-    v = vault.select(F.col("request_id").alias(key_col), "value")
-    j = sanitized.select(key_col, text_col).join(v, key_col, "left")
-    hit = F.col("value").isNotNull() & (F.length("value") > 0) & F.col(text_col).contains(F.col("value"))
-    return j.groupBy(key_col).agg(
-        F.count_if(hit).alias("leak_count"),
-        F.sort_array(F.collect_list(F.when(hit, F.length("value")))).alias("leak_value_lengths"),
-    ).withColumn("verification_passed", F.col("leak_count") == 0)
-
-
-def audit_wire(sent: DataFrame, secrets: DataFrame, text_col: str = "payload", secret_col: str = "secret") -> DataFrame:
-    """Does any forbidden string occur in any sent payload (secret list must be small:
-    size is checked before it is broadcast)."""
-    n = secrets.limit(100_001).count()
-    if n > 100_000:
-        raise ValueError("secret list too large to broadcast; use verify_no_leak with a key")
-    j = sent.join(F.broadcast(secrets.select(F.col(secret_col).alias("__s"))), F.col(text_col).contains(F.col("__s")), "left_semi")
-    return j
+    """Per sanitised row, how many of its request's vault values still occur in it, and their
+    lengths only, never the values."""
+    values = vault.groupBy(F.col("request_id").alias(key_col)).agg(F.array_sort(F.collect_set("value")).alias("__values"))
+    out = sanitized.select(key_col, text_col).join(values, key_col, "left")
+    found = F.filter(F.coalesce("__values", F.array().cast("array<string>")),
+                     lambda v: (F.length(v) > 0) & F.coalesce(F.col(text_col).contains(v), F.lit(False)))
+    return out.withColumn("__found", found).select(
+        key_col, F.size("__found").cast("long").alias("leak_count"),
+        F.sort_array(F.transform("__found", lambda v: F.length(v))).alias("leak_value_lengths"),
+        (F.size("__found") == 0).alias("verification_passed"))
+
+
+def audit_wire(sent: DataFrame, secrets: DataFrame, text_col: str = "payload", secret_col: str = "secret", gram: int = 8) -> DataFrame:
+    """Sent rows that hold any of the secrets.
+
+    Each secret is looked up by its first ``gram`` characters (all of a shorter one): the payload's
+    different pieces of these lengths meet the secrets in an equi-join, then the whole secret is
+    checked, so neither side must be small.
+    """
+    keyed = secrets.select(F.col(secret_col).alias("__s")).filter(F.length("__s") > 0).distinct().withColumn("__g", F.substring("__s", 1, gram))
+    lengths = sorted(r[0] for r in keyed.select(F.length("__g").alias("n")).distinct().collect())  # gram rows at most
+    rows = sent.withColumn("__row", F.xxhash64(*sent.columns))
+    if not lengths:
+        return sent.limit(0)
+    text = F.col(text_col)
+    grams = F.array_distinct(F.concat(*[_pieces(text, n) for n in lengths]))
+    hit = rows.select("__row", text.alias("__t"), F.explode(grams).alias("__g")).join(keyed, "__g").filter(F.col("__t").contains(F.col("__s")))
+    return rows.join(hit.select("__row").distinct(), "__row", "left_semi").drop("__row")
+
+
+def _pieces(text: Column, n: int) -> Column:
+    """All pieces of ``n`` characters."""
+    some = F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: F.substring(text, i, F.lit(n)))
+    return F.when(F.length(text) >= n, some).otherwise(F.array().cast("array<string>"))
 
 
 def purge_vault(vault: DataFrame, purged_ids: DataFrame, key_col: str = "request_id") -> DataFrame:
@@ -113,16 +146,16 @@ def audit_events(sanitized: DataFrame, key_col: str, tool_col: str = "tool") ->
 
 
 def batch_summary(sanitized: DataFrame, restored: DataFrame | None = None) -> DataFrame:
-    """Items, succeeded, failed, detected (one global aggregation, partial + final)."""
-    s = sanitized.agg(
-        F.count(F.lit(1)).alias("total_items"),
-        F.count_if(~F.col("blocked")).alias("succeeded"),
-        F.count_if(F.col("blocked")).alias("failed"),
-        F.sum("total_detected").alias("total_detected"),
-    )
+    """Items, succeeded, failed, detected and restored, one global aggregation over both tables."""
+    zero = F.lit(0).cast("long")
+    rows = sanitized.select(F.lit(1).cast("long").alias("i"), "blocked", "total_detected", zero.alias("r"))
     if restored is not None:
-        s = s.crossJoin(restored.agg(F.sum("restored_count").alias("total_restored")))
-    return s
+        rows = rows.unionByName(restored.select(zero.alias("i"), F.lit(None).cast("boolean").alias("blocked"), zero.alias("total_detected"),
+                                                F.col("restored_count").alias("r")))
+    out = rows.agg(
+        F.sum("i").alias("total_items"), F.count_if(~F.col("blocked")).alias("succeeded"), F.count_if("blocked").alias("failed"),
+        F.sum("total_detected").alias("total_detected"), F.sum("r").alias("total_restored"))
+    return out if restored is not None else out.drop("total_restored")
 
 
 def audit_totals(audit: DataFrame) -> DataFrame:
@@ -144,13 +177,13 @@ def recent_events(audit: DataFrame, n: int = 50) -> DataFrame:
     return audit.orderBy(F.col("ts").desc(), F.col("request_id").desc()).limit(n).orderBy("ts", "request_id")
 
 
-def latency_stats(df: DataFrame, col: str) -> DataFrame:
-    """Min / max / mean / median / p95 / p99 (exact percentiles)."""
+def latency_stats(df: DataFrame, col: str, accuracy: int = 10_000) -> DataFrame:
+    """Min / max / mean, and approximate median / p95 / p99 (rank error at most 1 / accuracy),
+    whose sketches are merged instead of all values meeting in one task."""
     c = F.col(col)
     return df.agg(
-        F.min(c).alias("min"), F.max(c).alias("max"), F.avg(c).alias("mean"), F.median(c).alias("median"),
-        F.percentile(c, 0.95).alias("p95"), F.percentile(c, 0.99).alias("p99"),
-    )
+        F.min(c).alias("min"), F.max(c).alias("max"), F.avg(c).alias("mean"),
+        *[F.percentile_approx(c, p, accuracy).alias(name) for name, p in (("median", 0.5), ("p95", 0.95), ("p99", 0.99))])
 
 
 def round_trip_accuracy(original: DataFrame, restored: DataFrame, key_col: str, orig_col: str, rest_col: str) -> DataFrame:

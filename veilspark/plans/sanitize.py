@@ -5,15 +5,16 @@ decide actions (P1) -> tokens / vault (P4, P5, F1) -> replacements (P6, P7) -> s
 -> block decision (P10) -> leak check (D7) -> counts (E1, E2).
 
 For a table of texts (one request per row) nothing here shuffles: every step is a
-projection over the row, pipelined by whole-stage codegen. Only callers that regroup
-many leaves into one request (``plans.requests``) add one shuffle by request id.
+projection over the row, in one stage (the array functions inside run interpreted). Two cases
+add a shuffle: requests of several rows (``plans.requests``) share one by request id, and rows with
+base64 carriers, and only those, are dealt by row to scan each carrier by itself.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,6 +22,7 @@ from veilspark.functions import fixed as X
 from veilspark.functions.entity import ENTITY_STRUCT, empty_entities
 from veilspark.functions.normalize import escape_delimiters, normalize_unicode
 from veilspark.functions.rewrite import (
+    HASH_LENGTH,
     assign_tokens,
     by_start,
     derived_salt,
@@ -32,8 +34,6 @@ from veilspark.functions.rewrite import (
 from veilspark.operators.detect import DetectorSet, default_detectors
 from veilspark.operators.policy import BLOCK, MASK, PASS, REDACT, TOKENIZE, Policy, category_col
 
-B64_SEP = "\n;\n"
-
 KEPT_STRUCT = T.StructType(
     ENTITY_STRUCT.fields
     + [
@@ -48,15 +48,15 @@ B64_STRUCT = T.StructType(KEPT_STRUCT.fields + [T.StructField("carrier", T.Strin
 class Firewall:
     """Configuration of a sanitise job (FirewallConfig + policy + detectors)."""
 
+    secret: str = field(repr=False)  # salts are derived from it: keep it out of logs and code
     policy: Policy = field(default_factory=Policy)
     detectors: DetectorSet = field(default_factory=default_detectors)
-    secret: str = "veilspark-job-secret"
     prefix: str = X.TOKEN_PREFIX
     suffix: str = X.TOKEN_SUFFIX
     strict: bool = True  # fail_safe_strict: a leak blocks the request
     leak_scope: str = "all"  # "all" non-passed values (our fix of Q10) or "tokenized" (as the reference)
     scan_base64: bool = True
-    b64_mode: str = "tokenize"  # "tokenize" (as the reference, Q8) or "policy"
+    hash_length: int = HASH_LENGTH
     use_nfkc: bool = True
 
     # ------------------------------------------------------------------
@@ -68,9 +68,13 @@ class Firewall:
         tool: Column | str = "*",
         field_col: str | None = None,
         client_col: str | None = None,
+        order_col: str | None = None,
     ) -> DataFrame:
         """Add sanitisation columns to ``df`` (one row = one text of one request).
 
+        With ``order_col`` a request may have several rows, in this order: they share one vault (so
+        a value has one token and two values never share one), and every row carries it.
+
         Output columns: ``tool, clean, kept, vault, sanitized, blocked, block_reason, action,
         counts, total_detected, leaks, verification_passed``.
         """
@@ -84,12 +88,14 @@ class Firewall:
         df = df.withColumn("clean", escape_delimiters(normalize_unicode(text, self.use_nfkc), self.prefix, self.suffix))
         df = df.withColumn("__salt", derived_salt(F.col(key_col), self.secret, client_c))
 
-        # C32 base64 carriers: decode, keep valid UTF-8, scan the decoded texts together.
+        # C32 base64 carriers: decode, keep valid UTF-8, scan each decoded text by itself.
+        df = df.withColumn("__field", field_c)
         if self.scan_base64:
             df = self._base64_stage(df)
         else:
             df = df.withColumn("__b64", F.array().cast(T.ArrayType(B64_STRUCT)))
-            df = df.withColumn("__scan", F.col("clean"))
+        df = df.withColumn("__scan", self._hide_carriers())
+        field_c = F.col("__field")
 
         # C33 + D6
         df = self.detectors.apply(df, "__scan", "__found")
@@ -115,7 +121,12 @@ class Firewall:
             F.transform(F.col("__b64"), lambda b: F.struct(b["pii_type"].alias("pii_type"), b["value"].alias("value"))),
             F.transform(main_tok, lambda e: F.struct(e["pii_type"].alias("pii_type"), e["value"].alias("value"))),
         )
-        df = df.withColumn("vault", assign_tokens(pairs, F.col("__salt"), self.prefix, self.suffix))
+        if order_col:
+            of_request = Window.partitionBy(key_col)
+            mine = F.struct(F.col(order_col).alias("o"), pairs.alias("p"))
+            df = df.withColumn("__pairs", F.flatten(F.transform(F.array_sort(F.collect_list(mine).over(of_request)), lambda x: x["p"])))
+            pairs = F.col("__pairs")
+        df = df.withColumn("vault", assign_tokens(pairs, F.col("__salt"), self.prefix, self.suffix, self.hash_length))
 
         # P6/P7 replacement per kept entity
         simple = pol.simple_redaction
@@ -161,7 +172,7 @@ class Firewall:
         df = df.withColumn(
             "__pieces",
             F.transform(kept, lambda e: F.struct(e["start"].alias("start"), e["end"].alias("end"), e["repl"].alias("repl"))),
-        ).withColumn("__rewritten", splice(F.col("__scan"), F.col("__pieces")))
+        ).withColumn("__rewritten", self._with_carrier_tokens(splice(F.col("__scan"), F.col("__pieces"))))
 
         # D7 leak check on the rewritten text (values only, never reported)
         if self.leak_scope == "tokenized":
@@ -219,65 +230,71 @@ class Firewall:
                 ),
             ),
         ).withColumn("total_detected", F.size(F.col("__types")).cast("long"))
-        return df.drop("__salt", "__found", "__res", "__acted", "__policy_block", "__rewritten", "__types", "__scan", "__pieces", "__b64txt", "__b64ents")
+        return df.drop("__salt", "__found", "__res", "__acted", "__policy_block", "__rewritten", "__types", "__scan", "__pieces", "__b64", "__field", "__pairs")
 
     # ------------------------------------------------------------------
     def _base64_stage(self, df: DataFrame) -> DataFrame:
+        """Adds ``__b64``, the entities found in the base64 carriers of ``clean``, in carrier order.
+
+        Rows without a carrier pass by. The carriers of the others become rows, each decoded text is
+        scanned alone, and the entities come back by what they depend on: text, tool and field.
+        """
+        if df.isStreaming:
+            raise ValueError("base64 carriers are scanned in batches: use run_sanitize_stream, or scan_base64=False")
         clean = F.col("clean")
-        cands = F.regexp_extract_all(clean, F.lit(X.BASE64_CANDIDATE), F.lit(0))
         decoded = F.transform(
-            cands,
-            lambda c: F.struct(
-                c.alias("carrier"), F.call_function("try_to_binary", c, F.lit("base64")).cast("string").alias("txt")
-            ),
-        )
+            F.regexp_extract_all(clean, F.lit(X.BASE64_CANDIDATE), F.lit(0)),
+            lambda c: F.struct(c.alias("carrier"), F.call_function("try_to_binary", c, F.lit("base64")).cast("string").alias("txt")))
         valid = F.filter(
-            decoded,
-            lambda d: d["txt"].isNotNull() & (F.length(d["txt"]) > 0) & F.call_function("is_valid_utf8", d["txt"]),
-        )
-        # Cheap gate: base64 runs are at least 12 characters of the alphabet.
-        df = df.withColumn(
-            "__b64src",
-            F.when(clean.rlike("[A-Za-z0-9+/]{12}"), valid).otherwise(F.array().cast("array<struct<carrier:string,txt:string>>")),
-        )
-        df = df.withColumn(
-            "__b64txt",
-            F.when(F.size("__b64src") > 0, F.array_join(F.transform(F.col("__b64src"), lambda d: d["txt"]), B64_SEP)),
-        )
-        df = self.detectors.apply(df, "__b64txt", "__b64ents")
-        pol = self.policy
-        src = F.col("__b64src")
+            decoded, lambda d: d["txt"].isNotNull() & (F.length(d["txt"]) > 0) & F.call_function("is_valid_utf8", d["txt"]))
+        # base64 runs are at least 12 characters of the alphabet
+        none = F.array().cast("array<struct<carrier:string,txt:string>>")
+        df = df.withColumn("__src", F.when(clean.rlike("[A-Za-z0-9+/]{12}"), valid).otherwise(none))
+        held = F.coalesce(F.size("__src"), F.lit(0)) > 0
+        empty = F.array().cast(T.ArrayType(B64_STRUCT))
+        plain = df.filter(~held).drop("__src").withColumn("__b64", empty)
+        keys = {"__k1": F.xxhash64("clean", "tool", "__field"), "__k2": F.xxhash64(F.lit(1), "clean", "tool", "__field")}
+        rows = df.filter(held).withColumns(keys)
+        carriers = rows.select(*keys, "tool", "__field", F.posexplode("__src").alias("__n", "__c")).dropDuplicates([*keys, "__n"])
+        carriers = carriers.withColumn("__txt", F.col("__c.txt"))
+        found = self.detectors.apply(carriers, "__txt", "__found")
+        act = lambda e: self.policy.action_col(
+            F.col("tool"), e["pii_type"], F.col("__field"), category_col(e["pii_type"], e["category"]))
+        ents = F.transform(F.col("__found"), lambda e: F.struct(
+            *[e[f.name].alias(f.name) for f in ENTITY_STRUCT.fields], act(e).alias("action"),
+            F.lit(None).cast("string").alias("repl"), F.col("__c.carrier").alias("carrier")))
+        ents = found.select(*keys, "__n", ents.alias("__e")).groupBy(*keys).agg(
+            F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("__n", "__e"))), lambda x: x["__e"])).alias("__b64"))
+        back = rows.join(ents, [*keys], "left").withColumn("__b64", F.coalesce("__b64", empty)).drop("__src", *keys)
+        # A row number that is looked at keeps the optimiser from copying all that follows into both branches.
+        both = plain.unionByName(back).withColumn("__at", F.monotonically_increasing_id())
+        return both.filter("__at >= 0").drop("__at")
 
-        def carrier_of(e: Column) -> Column:
-            before = F.substring(F.col("__b64txt"), 1, e["start"])
-            idx = F.size(F.split(before, B64_SEP, -1)) - 1
-            return src[idx]["carrier"]
+    @staticmethod
+    def _mark(i: Column) -> Column:
+        """What stands for the i-th carrier while the text is scanned, between two code points that
+        are no characters (and are taken out of such a text)."""
+        return F.concat(F.lit("\ufdd0"), i.cast("string"), F.lit("\ufdd1"))
 
-        df = df.withColumn(
-            "__b64",
-            F.transform(
-                F.col("__b64ents"),
-                lambda e: F.struct(
-                    *[e[f.name].alias(f.name) for f in ENTITY_STRUCT.fields],
-                    pol.action_col(F.col("tool"), e["pii_type"], None, category_col(e["pii_type"], e["category"])).alias("action"),
-                    F.lit(None).cast("string").alias("repl"),
-                    carrier_of(e).alias("carrier"),
-                ),
-            ),
-        )
-        # Every occurrence of a carrier becomes the token of its decoded value.
-        salt = F.col("__salt")
-        from veilspark.functions.rewrite import make_token, token_hash
+    def _shown(self) -> Column:
+        """Carriers that get a token, each once, with the (type, value) it stands for."""
+        live = F.filter(F.col("__b64"), lambda b: b["action"] != BLOCK)
+        init = F.array().cast("array<struct<carrier:string,pii_type:string,value:string>>")
+        return F.aggregate(live, init, lambda acc, b: F.when(F.exists(acc, lambda x: x["carrier"] == b["carrier"]), acc).otherwise(
+            F.array_append(acc, F.struct(b["carrier"].alias("carrier"), b["pii_type"].alias("pii_type"), b["value"].alias("value")))))
 
-        df = df.withColumn(
-            "__scan",
-            F.aggregate(
-                F.filter(F.col("__b64"), lambda b: b["action"] != BLOCK),
-                F.col("clean"),
-                lambda acc, b: F.replace(acc, b["carrier"], make_token(b["pii_type"], token_hash(salt, b["pii_type"], b["value"]), self.prefix, self.suffix)),
-            ),
-        )
-        return df.drop("__b64src")
+    def _hide_carriers(self) -> Column:
+        marked = F.transform(self._shown(), lambda c, i: F.struct(c["carrier"].alias("carrier"), self._mark(i).alias("mark")))
+        hidden = F.aggregate(marked, F.translate("clean", "\ufdd0\ufdd1", ""), lambda acc, c: F.replace(acc, c["carrier"], c["mark"]))
+        return F.when(F.size("__b64") > 0, hidden).otherwise(F.col("clean"))
+
+    def _with_carrier_tokens(self, text: Column) -> Column:
+        """Every occurrence of a carrier becomes the token that the vault holds for its decoded value."""
+        def token(c: Column) -> Column:
+            return F.get(F.filter(F.col("vault"), lambda v: (v["pii_type"] == c["pii_type"]) & (v["value"] == c["value"])), 0)["token"]
+
+        marked = F.transform(self._shown(), lambda c, i: F.struct(self._mark(i).alias("mark"), token(c).alias("token")))
+        return F.when(F.size("__b64") > 0, F.aggregate(marked, text, lambda acc, c: F.replace(acc, c["mark"], c["token"]))).otherwise(text)
 
     # ------------------------------------------------------------------
     @staticmethod

@@ -35,8 +35,8 @@ def build_session(cpus: int | str = "*", app: str = "veilspark", shuffle_partiti
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this setting names shared storage and is left alone; only when it is
-    unset (local tests) a fresh scratch folder is created and registered.
+    On a cluster this setting names shared storage and is left alone, and must be there: executors
+    can't share a folder of one machine. Only a local session (tests) gets a scratch folder.
     """
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if conf_dir:
@@ -45,6 +45,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     local = tempfile.mkdtemp(prefix="veilspark-ckpt-", dir=os.environ.get("VEILSPARK_SCRATCH", "/tmp"))
     try:
         spark.conf.set("spark.checkpoint.dir", local)

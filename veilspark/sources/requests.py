@@ -1,31 +1,35 @@
-"""Request tables and JSON payloads.
+"""Request tables and JSON payloads.
 
-Payloads of unknown shape are Spark ``VARIANT`` values. ``explode_leaves`` walks them level
-by level with ``LATERAL variant_explode`` (no recursive CTE, no Python): each level is one
-generator over the rows that still hold containers, and the string leaves of all levels are
-unioned with their path and inherited field name. Rows still holding containers after
-``max_depth`` levels are reported so the caller can fail closed (never dropped silently).
+Payloads of unknown shape are Spark ``VARIANT`` values. Their string leaves are listed by one Arrow
+function per batch of rows (a stack, no recursion and no depth limit of our own), in an order that
+``replace_leaves`` uses to put rewritten texts back.
 """
 
 from __future__ import annotations
 
-import uuid
+import json
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def read_requests(spark: SparkSession, path: str, fmt: str = "parquet", key_cols: list[str] | None = None) -> DataFrame:
-    """A1: a request table; ``request_id`` taken if given, else derived from the key columns
-    (deterministic, unlike ``uuid()``); ``idx`` keeps the input position when present."""
+    """A1: a request table with ``request_id``: the given one, else a hash of the key columns (all
+    columns by default, the payload too; a null differs from an empty text). Rows that are equal in
+    all of them are numbered, so that every request has its own id. A column ``idx`` in the input
+    keeps the input position; without one there is no position to keep and none is made up."""
     df = spark.read.format(fmt).load(path)
-    keys = key_cols or [c for c in df.columns if c not in ("payload",)]
-    derived = F.sha2(F.concat_ws("\u0001", *[F.col(c).cast("string") for c in keys]), 256)
-    rid = F.coalesce(F.col("request_id").cast("string"), derived) if "request_id" in df.columns else derived
-    df = df.withColumn("request_id", rid)
-    if "idx" not in df.columns:
-        df = df.withColumn("idx", F.monotonically_increasing_id())
-    return df
+    keys = key_cols or df.columns
+    parts = [F.to_json(F.struct(F.col(c).alias("v")), {"ignoreNullFields": "false"}) for c in keys]
+    content = F.sha2(F.concat_ws("\u0001", *parts), 256)
+    given = F.col("request_id").cast("string") if "request_id" in df.columns else F.lit(None).cast("string")
+    df = df.withColumn("__content", content).withColumn("__given", given)
+    order = [c for c in ("idx",) if c in df.columns] or [F.lit(0)]
+    nth = F.row_number().over(Window.partitionBy("__content").orderBy(*order))
+    derived = F.when(nth == 1, F.col("__content")).otherwise(F.concat_ws("-", "__content", nth.cast("string")))
+    return df.withColumn("request_id", F.coalesce("__given", derived)).drop("__content", "__given")
 
 
 def parse_payload(text: Column) -> Column:
@@ -59,35 +63,61 @@ def from_tool_calls(df: DataFrame) -> DataFrame:
     return df.select(F.col("id").alias("tool_call_id"), tool.alias("tool"), payload.alias("payload"))
 
 
-def explode_leaves(df: DataFrame, key_col: str, payload_col: str, max_depth: int = 12) -> tuple[DataFrame, DataFrame]:
-    """B1: (leaves(key, path, field, text), too_deep(key)) for a VARIANT payload column."""
-    spark = df.sparkSession
-    level = df.select(
-        F.col(key_col).alias("k"), F.lit("$").alias("path"), F.lit(None).cast("string").alias("field"),
-        F.col(payload_col).alias("v"),
-    )
-    kind = F.schema_of_variant(F.col("v"))
-    leaves = []
-    for _ in range(max_depth + 1):
-        leaves.append(
-            level.filter(kind == "STRING").select(
-                "k", "path", "field", F.variant_get(F.col("v"), "$", "string").alias("text")
-            )
-        )
-        containers = level.filter(kind.startswith("OBJECT") | kind.startswith("ARRAY"))
-        view = f"veil_lvl_{uuid.uuid4().hex[:8]}"
-        containers.createOrReplaceTempView(view)
-        level = spark.sql(
-            f"""SELECT k,
-                       CASE WHEN e.key IS NULL THEN concat(path, '[', e.pos, ']') ELSE concat(path, '.', e.key) END AS path,
-                       coalesce(e.key, field) AS field, e.value AS v
-                FROM {view}, LATERAL variant_explode(v) AS e"""
-        )
-    too_deep = level.filter(kind.startswith("OBJECT") | kind.startswith("ARRAY")).select("k").distinct()
-    out = leaves[0]
-    for lf in leaves[1:]:
-        out = out.unionByName(lf)
-    return out.withColumnRenamed("k", key_col), too_deep.withColumnRenamed("k", key_col)
+LEAF = T.StructType([T.StructField(c, T.StringType()) for c in ("path", "field", "text")])
+WALKED = T.StructType([T.StructField("ok", T.BooleanType()), T.StructField("leaves", T.ArrayType(LEAF))])
+
+
+def _walk(value, replace=None):
+    """String leaves (path, field, text) of a JSON value in order, without recursion; with
+    ``replace`` (texts in the same order) also the value with its leaves replaced."""
+    out, top = [], [value]
+    todo = [(top, 0, "$", None)]
+    while todo:
+        box, key, path, name = todo.pop()
+        v = box[key]
+        if isinstance(v, str):
+            if replace is not None:
+                box[key] = replace[len(out)]
+            out.append((path, name, v))
+        elif isinstance(v, dict):
+            todo.extend((v, k, f"{path}.{k}", k) for k in reversed(list(v)))
+        elif isinstance(v, list):
+            todo.extend((v, i, f"{path}[{i}]", name) for i in range(len(v) - 1, -1, -1))
+    return out, top[0]
+
+
+@F.pandas_udf(WALKED)
+def walk_json(texts: pd.Series) -> pd.DataFrame:
+    def one(text):
+        try:
+            found = _walk(json.loads(text))[0]
+        except (ValueError, RecursionError, TypeError):
+            return False, []
+        return True, [{"path": p, "field": f, "text": t} for p, f, t in found]
+
+    rows = [one(t) for t in texts]
+    return pd.DataFrame({"ok": [r[0] for r in rows], "leaves": [r[1] for r in rows]})
+
+
+@F.pandas_udf(T.StringType())
+def replace_leaves(texts: pd.Series, leaves: pd.Series) -> pd.Series:
+    """B2: JSON texts with their string leaves replaced, in walking order; all else keeps its place."""
+    return pd.Series([None if v is None else json.dumps(_walk(json.loads(t), list(v))[1], ensure_ascii=False) for t, v in zip(texts, leaves)], dtype=object)
+
+
+def as_json(payload: Column) -> Column:
+    """JSON text of a VARIANT payload."""
+    return F.to_json(payload)
+
+
+def explode_leaves(df: DataFrame, key_col: str, payload_col: str) -> DataFrame:
+    """B1: leaves (key, n, path, field, text) of a VARIANT payload column, at any depth, in one pass.
+
+    A payload nested deeper than a JSON parser can read has no leaves here; callers that send data
+    on must look at ``walk_json(...).ok`` and block such a request (``plans.requests`` does).
+    """
+    walked = df.select(F.col(key_col), walk_json(as_json(F.col(payload_col))).alias("__w"))
+    return walked.select(key_col, F.posexplode_outer("__w.leaves").alias("n", "leaf")).filter("n is not null").select(key_col, "n", "leaf.*")
 
 
 def conversation_requests(spark: SparkSession, sf_dir: str) -> DataFrame:

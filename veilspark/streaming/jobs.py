@@ -16,12 +16,15 @@ from veilspark.plans.sanitize import Firewall
 
 
 def sanitize_stream(fw: Firewall, stream: DataFrame, text_col: str, key_col: str, tool=None):
-    """The stateless sanitise chain on a stream (same expressions as the batch job)."""
+    """The stateless sanitise chain on a stream (same expressions as the batch job). Base64
+    carriers need the batch form: ``run_sanitize_stream``."""
     return fw.sanitize(stream, text_col, key_col, tool if tool is not None else "*")
 
 
-def vault_sink(out_dir: str, key_col: str):
-    """``foreachBatch`` writer for sanitised, vault and audit rows.
+def vault_sink(fw: Firewall, out_dir: str, vault_dir: str, text_col: str, key_col: str):
+    """``foreachBatch`` writer that sanitises a micro-batch and writes its rows, vault and audit.
+
+    The vault holds plain values and so has a root of its own, apart from what is handed on.
 
     Each table is written under ``batch_id=<n>`` with overwrite, so a replayed micro-batch
     (after a lost executor or a restart) replaces its own output instead of duplicating it.
@@ -29,12 +32,12 @@ def vault_sink(out_dir: str, key_col: str):
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
+        batch = fw.sanitize(batch, text_col, key_col).persist()
         try:
             sanitized = batch.select(key_col, "tool", "sanitized", "blocked", "block_reason", "action", "counts",
                                      "total_detected", "verification_passed")
             sanitized.write.mode("overwrite").parquet(f"{out_dir}/sanitized/batch_id={batch_id}")
-            Firewall.vault_rows(batch, key_col).write.mode("overwrite").parquet(f"{out_dir}/vault/batch_id={batch_id}")
+            Firewall.vault_rows(batch, key_col).write.mode("overwrite").parquet(f"{vault_dir}/batch_id={batch_id}")
             audit_events(batch, key_col).write.mode("overwrite").json(f"{out_dir}/audit/batch_id={batch_id}")
         finally:
             batch.unpersist()
@@ -43,12 +46,9 @@ def vault_sink(out_dir: str, key_col: str):
 
 
 def run_sanitize_stream(fw: Firewall, stream: DataFrame, text_col: str, key_col: str, out_dir: str,
-                        checkpoint_dir: str, available_now: bool = True):
-    q = (
-        sanitize_stream(fw, stream, text_col, key_col)
-        .writeStream.foreachBatch(vault_sink(out_dir, key_col))
-        .option("checkpointLocation", checkpoint_dir)
-    )
+                        vault_dir: str, checkpoint_dir: str, available_now: bool = True):
+    """S1 + S2 as a running query."""
+    q = stream.writeStream.foreachBatch(vault_sink(fw, out_dir, vault_dir, text_col, key_col)).option("checkpointLocation", checkpoint_dir)
     q = q.trigger(availableNow=True) if available_now else q.trigger(processingTime="10 seconds")
     return q.start()
 
