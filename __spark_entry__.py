@@ -290,6 +290,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "d07_verify": q_verify,
         "b01_leaves": q_leaves,
         "c28_custom_regex": q_custom_regex,
+        "c14_otp": _context_query("OTP"),
+        "c15_system_prompt": _context_query("INTERNAL_SYSTEM_INSTRUCTIONS"),
+        "c16_source_code": _context_query("CONFIDENTIAL_SOURCE_CODE"),
+        "c17_db_marker": _context_query("EMPLOYEE_RECORDS"),
+        "c21_licence": _context_query("DRIVERS_LICENSE"),
+        "c22_person_name": _context_query("PERSON_NAME"),
+        "c25_aadhaar_context": _context_query("AADHAAR"),
+        "c26_pan_context": _context_query("PAN_CARD"),
         "p04_tokens": q_tokens,
         "d11_restore_clients": q_restore_clients,
         "d07_leaks": q_leaks,
@@ -561,6 +569,13 @@ def _custom_sql(src: str) -> str:
     return _sel(sp, "NOT ends_with(value, '0') AND contains(lower(txt), 'license')")
 
 
+def _planted_sql(template: int, value: str, where: str = "true") -> str:
+    """What the planted rows of a template were built to hold, from the builder and not from a pattern."""
+    return f"""SELECT -doc_id - 1 AS doc_id, CAST(instr(text, {value}) - 1 AS BIGINT) AS start,
+       CAST(instr(text, {value}) - 1 + length({value}) AS BIGINT) AS "end", {value} AS value
+FROM {O.PLANTED} p WHERE template = {template} AND {where}"""
+
+
 def _tokens_sql() -> str:
     salt = "unhex(substr(sha256(encode('correctness run' || chr(0) || doc_id)), 1, 32))"
     h = f"substr(sha256({salt} || encode('EMAIL:' || value)), 1, 8)"
@@ -619,6 +634,15 @@ def oracle_sql() -> dict[str, str]:
         "d07_verify": _verify_sql(),
         "b01_leaves": _leaves_sql(),
         "c28_custom_regex": _custom_sql(src),
+        "c14_otp": _planted_sql(3, "substr(text, instr(text, 'OTP is ') + 7, 6)"),
+        "c15_system_prompt": _planted_sql(6, "'system prompt'"),
+        "c16_source_code": _planted_sql(6, "'import os'"),
+        "c17_db_marker": _planted_sql(6, "'employee database'"),
+        "c21_licence": _planted_sql(8, "substr(text, instr(text, 'DL-'))"),
+        "c22_person_name": _planted_sql(0, "split_part(split_part(text, 'profile for ', 2), ',', 1)"),
+        "c25_aadhaar_context": (
+            _planted_sql(4, "substr(text, 16, 14)") + " UNION ALL " + _planted_sql(4, "substr(text, instr(text, 'backup ') + 7, 12)")),
+        "c26_pan_context": _planted_sql(4, "substr(text, instr(text, 'PAN ') + 4, 10)", "substr(text, instr(text, 'PAN ') + 7, 1) <> 'X'"),
         "p04_tokens": _tokens_sql(),
         "d11_restore_clients": _restore_clients_sql(),
         "d07_leaks": _leaks_sql(),
