@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from veilspark.functions import fixed as X
 from veilspark.functions.entity import empty_entities, make_entity
-from veilspark.functions.spans import _starts, spans
+from veilspark.functions.spans import SPAN_TYPE, _starts, spans
 from veilspark.operators.detect import Detector
 from veilspark.operators.policy import category_col
 
@@ -42,17 +42,14 @@ def regex_detector(
     boolean column; ``python_validator`` takes one value and runs in an Arrow function."""
     pat = (f"(?{flags})" if flags else "") + pattern
 
-    def fn(text: Column) -> Column:
+    def matches(text: Column) -> Column:
         s = F.coalesce(spans(text, pat), F.array().cast("array<struct<start:int,end:int,value:string,match:string>>"))
         s = F.filter(s, lambda m: F.length(m["value"]) > 0)
         if validator is not None:
             s = F.filter(s, lambda m: F.coalesce(validator(m["value"]), F.lit(False)))
-        if python_validator is not None:
-            ok = _py_validator(python_validator)(F.transform(s, lambda m: m["value"]))
-            s = F.transform(
-                F.filter(F.arrays_zip(s.alias("s"), ok.alias("ok")), lambda z: F.coalesce(z["ok"], F.lit(False))),
-                lambda z: z["s"],
-            )
+        return s
+
+    def entities(text: Column, s: Column) -> Column:
         out = F.transform(s, lambda m: make_entity(pii_type, m["start"], m["end"], m["value"], confidence))
         if context_words:
             lt = F.lower(text)
@@ -62,7 +59,21 @@ def regex_detector(
             out = F.when(cond, out).otherwise(empty_entities())
         return out
 
-    return Detector(name or f"custom_regex_{pii_type}", fn, (pii_type,))
+    def fn(text: Column) -> Column:
+        return entities(text, matches(text))
+
+    def df_fn(df: DataFrame, text_col: str, out_col: str) -> DataFrame:
+        """Matches, the Python answers for their values, and what is left, as columns one after the other."""
+        text = F.col(text_col)
+        df = df.withColumn("__m", F.coalesce(matches(text), F.array().cast(SPAN_TYPE))).withColumn("__v", F.transform("__m", lambda m: m["value"]))
+        df = df.withColumn("__ok", _py_validator(python_validator)("__v"))
+        passed = F.filter("__m", lambda m, i: F.coalesce(F.get(F.col("__ok"), i), F.lit(False)))
+        return df.withColumn(out_col, F.coalesce(entities(text, passed), empty_entities())).drop("__m", "__v", "__ok")
+
+    label = name or f"custom_regex_{pii_type}"
+    if python_validator is not None:
+        return Detector(label, None, (pii_type,), df_fn=df_fn)
+    return Detector(label, fn, (pii_type,))
 
 
 def _py_validator(fn: Callable):
@@ -81,7 +92,7 @@ def _py_validator(fn: Callable):
 
         return values.map(one)
 
-    return check
+    return check.asNondeterministic()  # keeps the call out of array functions, where it can't run
 
 
 FOUND = T.ArrayType(
@@ -132,10 +143,13 @@ def function_detector(pii_type: str, detector: Callable, confidence: float = 1.0
     def run(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: [dict(start=s, end=e, value=v, confidence=c) for s, e, v, c in normalise(t)])
 
-    def fn(text: Column) -> Column:
-        return F.transform(run(text), lambda f: make_entity(pii_type, f["start"], f["end"], f["value"], f["confidence"]))
+    run = run.asNondeterministic()  # keeps the call out of array functions, where it can't run
+
+    def df_fn(df: DataFrame, text_col: str, out_col: str) -> DataFrame:
+        found = F.transform("__f", lambda f: make_entity(pii_type, f["start"], f["end"], f["value"], f["confidence"]))
+        return df.withColumn("__f", run(F.col(text_col))).withColumn(out_col, F.coalesce(found, empty_entities())).drop("__f")
 
-    return Detector(name or f"custom_fn_{pii_type}", fn, (pii_type,))
+    return Detector(name or f"custom_fn_{pii_type}", None, (pii_type,), df_fn=df_fn)
 
 
 # ---------------------------------------------------------------------------
