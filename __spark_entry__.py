@@ -262,6 +262,47 @@ def q_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verify_no_leak(sent, vault).select(F.col("request_id").cast("long").alias("doc_id"), "leak_count", "verification_passed")
 
 
+def q_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Different e-mail addresses per document with their first place and number of places."""
+    from veilspark.operators.reports import detection_report
+
+    ents = detect(_corpus(spark, sf_dir), "text", ["doc_id"], pattern_only(["EMAIL"]))
+    return detection_report(ents, ["doc_id"])
+
+
+def q_active_vaults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests with something in the vault."""
+    from veilspark.operators.reports import active_vaults
+
+    return active_vaults(_email_vault(spark, sf_dir))
+
+
+NUMBERS = "lpad(cast((c_custkey * 7919 + 11) * 104729 as string), 16, '4')"
+
+
+def q_check_column(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Card numbers made from every customer key, some null."""
+    from veilspark.operators.reports import check_column
+
+    cust = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    return check_column(cust.select(F.expr(f"CASE WHEN c_custkey % 7 <> 0 THEN {NUMBERS} END").alias("number")), "number", "luhn")
+
+
+def q_leaf_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B1 + P12 + B2 + D9: planted texts as nested payloads, sanitised, answered by an echo, restored."""
+    from veilspark.plans.requests import protect
+
+    fw = Firewall(SECRET, detectors=pattern_only(["EMAIL", "IP_ADDRESS"]), scan_base64=False)
+    text = F.col("text")
+    body = F.to_json(F.struct(F.lit("crm").alias("tool"), F.struct(text.alias("body"), F.array(text, F.lit("x")).alias("list"), F.col("doc_id").alias("n")).alias("args")))
+    rows = planted(spark, sf_dir).select(F.col("doc_id").cast("string").alias("request_id"), body.alias("json"))
+    out = protect(fw, rows.select("request_id", F.parse_json("json").alias("payload")), lambda sent: sent.withColumnRenamed("sent", "response"))
+    out = out.join(rows, "request_id")
+    return out.select(F.col("request_id").cast("long").alias("doc_id"), "blocked", "total_detected", "restored_count",
+                      (F.to_json(F.parse_json("restored")) == F.to_json(F.parse_json("json"))).alias("round_trip_ok"),
+                      F.get_json_object("sent", "$.args.list[1]").alias("untouched"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     qs: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         "e01_counts_by_type": q_counts_by_type,
@@ -298,6 +339,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "c22_person_name": _context_query("PERSON_NAME"),
         "c25_aadhaar_context": _context_query("AADHAAR"),
         "c26_pan_context": _context_query("PAN_CARD"),
+        "e10_detection_report": q_report,
+        "e08_active_vaults": q_active_vaults,
+        "i13_check_column": q_check_column,
+        "d14_protect": q_leaf_restore,
         "p04_tokens": q_tokens,
         "d11_restore_clients": q_restore_clients,
         "d07_leaks": q_leaks,
@@ -569,6 +614,15 @@ def _custom_sql(src: str) -> str:
     return _sel(sp, "NOT ends_with(value, '0') AND contains(lower(txt), 'license')")
 
 
+def _protect_sql() -> str:
+    """Every planted text stands in two leaves, so each of its addresses counts twice."""
+    found = (f"SELECT doc_id FROM ({_email_sql(O.PLANTED)}) e UNION ALL SELECT doc_id FROM ({_ip_sql(O.PLANTED)}) i")
+    return f"""
+SELECT p.doc_id, false AS blocked, CAST(2 * count(f.doc_id) AS BIGINT) AS total_detected, CAST(2 * count(f.doc_id) AS BIGINT) AS restored_count,
+       true AS round_trip_ok, 'x' AS untouched
+FROM {O.PLANTED} p LEFT JOIN ({found}) f ON f.doc_id = p.doc_id GROUP BY p.doc_id"""
+
+
 def _planted_sql(template: int, value: str, where: str = "true") -> str:
     """What the planted rows of a template were built to hold, from the builder and not from a pattern."""
     return f"""SELECT -doc_id - 1 AS doc_id, CAST(instr(text, {value}) - 1 AS BIGINT) AS start,
@@ -643,6 +697,15 @@ def oracle_sql() -> dict[str, str]:
         "c25_aadhaar_context": (
             _planted_sql(4, "substr(text, 16, 14)") + " UNION ALL " + _planted_sql(4, "substr(text, instr(text, 'backup ') + 7, 12)")),
         "c26_pan_context": _planted_sql(4, "substr(text, instr(text, 'PAN ') + 4, 10)", "substr(text, instr(text, 'PAN ') + 7, 1) <> 'X'"),
+        "e10_detection_report": (
+            f"SELECT doc_id, 'EMAIL' AS pii_type, 'PERSONAL_INFO' AS category, value, min(start) AS first_start, count(*) AS places "
+            f"FROM ({_email_sql(src)}) e GROUP BY doc_id, value"),
+        "e08_active_vaults": f"SELECT count(DISTINCT doc_id) AS active_vaults FROM ({_tokens_sql()}) t",
+        "i13_check_column": (
+            f"SELECT count(*) FILTER (n IS NOT NULL AND {O.luhn_sql('n')}) AS valid, count(*) FILTER (n IS NOT NULL AND NOT {O.luhn_sql('n')}) AS invalid, "
+            f"count(*) FILTER (n IS NULL) AS nulls, round(avg(CASE WHEN n IS NOT NULL THEN CAST({O.luhn_sql('n')} AS DOUBLE) END), 6) AS valid_share "
+            f"FROM (SELECT CASE WHEN c_custkey % 7 <> 0 THEN {NUMBERS} END AS n FROM customer) c"),
+        "d14_protect": _protect_sql(),
         "p04_tokens": _tokens_sql(),
         "d11_restore_clients": _restore_clients_sql(),
         "d07_leaks": _leaks_sql(),

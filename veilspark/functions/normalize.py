@@ -1,7 +1,7 @@
 """Evasion defence on text.
 
 Spark has no NFKC function, so normalisation is the one Arrow-batched pandas UDF in the
-data path; it returns pure-ASCII values untouched (no per-value work for them). Dropping
+data path; pure-ASCII values never reach it. Dropping
 invisible code points and escaping forged token brackets are plain JVM expressions.
 """
 
@@ -28,8 +28,9 @@ def strip_invisible(text: Column) -> Column:
 
 
 def normalize_unicode(text: Column, use_nfkc: bool = True) -> Column:
-    """NFKC (Arrow UDF) then strip invisible characters."""
-    t = nfkc(text) if use_nfkc else text
+    """NFKC (Arrow UDF) then strip invisible characters. Plain ASCII texts, which NFKC leaves as
+    they are, go to Python as nulls and so don't cross over."""
+    t = F.coalesce(nfkc(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text) if use_nfkc else text
     return strip_invisible(t)
 
 

@@ -73,3 +73,17 @@ def restore_fields(responses: DataFrame, vault: DataFrame, key_col: str = "reque
     counted = F.aggregate("__r", F.lit(0).cast("long"), lambda n, r: n + r["restored_count"])
     return rows.withColumn("restored", F.when(F.col("__w.ok"), replace_leaves(F.col(payload_col), texts)).otherwise(F.col(payload_col))).withColumn(
         "restored_count", F.when(F.col("__w.ok"), counted).otherwise(F.lit(0).cast("long"))).drop("__w", "__r", "__vault")
+
+
+def protect(fw: Firewall, df: DataFrame, tool_fn, key_col: str = "request_id", payload_col: str = "payload") -> DataFrame:
+    """Sanitise, let ``tool_fn`` (a DataFrame function from key and sent JSON text to key and
+    ``response``) answer the requests that were not blocked, restore the answers, and return the
+    envelope: key, tool, sent, raw_response, restored, restored_count, blocked, block_reason, action,
+    counts, total_detected. Blocked requests never reach the function and have no response."""
+    done = sanitize_requests(fw, df, key_col, payload_col)
+    sent = done.filter("not blocked").select(key_col, F.col("sanitized").alias("sent"))
+    answers = tool_fn(sent).select(key_col, "response")
+    restored = restore_fields(answers, Firewall.vault_rows(done, key_col), key_col)
+    return done.join(restored, key_col, "left").select(
+        key_col, "tool", F.col("sanitized").alias("sent"), F.col("response").alias("raw_response"), "restored",
+        F.coalesce("restored_count", F.lit(0).cast("long")).alias("restored_count"), "blocked", "block_reason", "action", "counts", "total_detected")
