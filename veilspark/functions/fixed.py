@@ -486,8 +486,8 @@ MASK_LABELS = {
     "IP_OTHER": "*.*.*.*",
 }
 
-# Keyword routing of free prompts to tool names (first rule wins).
-AUDIT_ACTIONS = [
-    "SANITIZED_AND_FORWARDED", "BLOCKED_LEAKAGE_DETECTED", "BLOCKED_POLICY_VIOLATION",
-    "BLOCKED_INTERNAL_ERROR",
+# Repairs of almost-JSON: quote bare keys, then bare-word values (pattern, replacement).
+JSON_REPAIRS = [
+    (r"([{,]\s*)([a-zA-Z_]\w*)\s*:", '$1"$2":'),
+    (r":\s*([a-zA-Z_]\w*)([,\s}])", ': "$1"$2'),
 ]

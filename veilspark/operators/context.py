@@ -166,7 +166,7 @@ def intent_entities(text: Column, lower: Column | None = None) -> Column:
         )
         e = make_entity(
             h["t"], idx, idx + ln, F.substring(text, idx + 1, ln), X.CONTEXT_CONFIDENCE["INTENT"], cat,
-            "Unauthorized external transmission request detected",
+            "asks to send it to an outside target",
         )
         return F.when(h.isNotNull(), F.array(e)).otherwise(empty_entities())
 
@@ -193,7 +193,7 @@ def pin_entities(text: Column, rels: Column) -> Column:
         cands,
         lambda c: _ent(
             "PIN", c, X.CONTEXT_CONFIDENCE["PIN"],
-            F.concat(F.lit("Surrounded by PIN context ("), first_phrase(c["w"], "PIN"), F.lit(")")),
+            F.concat(F.lit("PIN cue nearby ("), first_phrase(c["w"], "PIN"), F.lit(")")),
             related_subject(rels, c["value"], X.PIN_SUBJECT_HINTS),
         ),
     )
@@ -204,7 +204,7 @@ def password_entities(text: Column) -> Column:
     reject = F.array(*[F.lit(w) for w in X.PASSWORD_REJECT_WORDS])
     ok = F.filter(s, lambda m: (F.length(m["value"]) >= 4) & ~F.array_contains(reject, F.lower(m["value"])))
     return F.transform(
-        ok, lambda m: _ent("PASSWORD", m, X.CONTEXT_CONFIDENCE["PASSWORD"], "Direct password assignment context")
+        ok, lambda m: _ent("PASSWORD", m, X.CONTEXT_CONFIDENCE["PASSWORD"], "follows a password cue")
     )
 
 
@@ -217,7 +217,7 @@ def cvv_entities(text: Column, acc: Column) -> Column:
         cands,
         lambda c: _ent(
             "CVV", c, X.CONTEXT_CONFIDENCE["CVV"],
-            F.concat(F.lit("Surrounded by CVV context ("), first_phrase(c["w"], "CVV"), F.lit(")")),
+            F.concat(F.lit("CVV cue nearby ("), first_phrase(c["w"], "CVV"), F.lit(")")),
         ),
     )
 
@@ -228,7 +228,7 @@ def otp_entities(text: Column, acc: Column) -> Column:
         lambda c: ~_same_span_exists(acc, c) & has_phrase(c["w"], "OTP"),
     )
     return F.transform(
-        cands, lambda c: _ent("OTP", c, X.CONTEXT_CONFIDENCE["OTP"], "Surrounded by OTP/verification code context")
+        cands, lambda c: _ent("OTP", c, X.CONTEXT_CONFIDENCE["OTP"], "one-time code cue nearby")
     )
 
 
@@ -255,14 +255,14 @@ def _first_literal_marker(
 def system_prompt_entities(text: Column, lower: Column | None = None) -> Column:
     return _first_literal_marker(
         text, [(m, "INTERNAL_SYSTEM_INSTRUCTIONS") for m in X.SYSTEM_PROMPT_MARKERS],
-        X.CONTEXT_CONFIDENCE["INTERNAL_SYSTEM_INSTRUCTIONS"], "Internal system instructions or hidden prompt marker",
+        X.CONTEXT_CONFIDENCE["INTERNAL_SYSTEM_INSTRUCTIONS"], "names system instructions",
         lower,
     )
 
 
 def db_marker_entities(text: Column, lower: Column | None = None) -> Column:
     return _first_literal_marker(
-        text, X.DB_MARKERS, X.CONTEXT_CONFIDENCE["DB"], "Database or personnel records marker", lower
+        text, X.DB_MARKERS, X.CONTEXT_CONFIDENCE["DB"], "names a database or staff records", lower
     )
 
 
@@ -272,7 +272,7 @@ def source_code_entities(text: Column) -> Column:
     hit = F.coalesce(*[first_span(text, p) for p in pats])
     e = make_entity(
         "CONFIDENTIAL_SOURCE_CODE", hit["start"], hit["end"], hit["value"], X.CONTEXT_CONFIDENCE["CONFIDENTIAL_SOURCE_CODE"],
-        X.BUSINESS_CONFIDENTIAL, "Confidential source code pattern or proprietary marker",
+        X.BUSINESS_CONFIDENTIAL, "looks like source code",
     )
     return F.when(hit.isNotNull(), F.array(e)).otherwise(empty_entities())
 
@@ -290,14 +290,14 @@ def _cue_spans(text: Column, pattern: str) -> Column:
 def medical_entities(text: Column) -> Column:
     return F.transform(
         _cue_spans(text, X.MEDICAL_PATTERN),
-        lambda m: _ent("MEDICAL_DIAGNOSIS", m, X.CONTEXT_CONFIDENCE["MEDICAL_DIAGNOSIS"], "Clinical diagnosis context"),
+        lambda m: _ent("MEDICAL_DIAGNOSIS", m, X.CONTEXT_CONFIDENCE["MEDICAL_DIAGNOSIS"], "follows a diagnosis cue"),
     )
 
 
 def salary_entities(text: Column) -> Column:
     return F.transform(
         _cue_spans(text, X.SALARY_PATTERN),
-        lambda m: _ent("SALARY_INFO", m, X.CONTEXT_CONFIDENCE["SALARY_INFO"], "Salary / remuneration context"),
+        lambda m: _ent("SALARY_INFO", m, X.CONTEXT_CONFIDENCE["SALARY_INFO"], "follows a pay cue"),
     )
 
 
@@ -306,7 +306,7 @@ def dob_entities(text: Column, acc: Column) -> Column:
     return F.transform(
         ok,
         lambda m: _ent("DATE_OF_BIRTH", m, X.CONTEXT_CONFIDENCE["DATE_OF_BIRTH"],
-                       "Date of birth context with valid date structure"),
+                       "date after a birth cue"),
     )
 
 
@@ -317,7 +317,7 @@ def licence_entities(text: Column, acc: Column) -> Column:
         lambda m: m["value"].rlike("[0-9]") & ~F.array_contains(stops, F.lower(m["value"])) & ~_same_span_exists(acc, m),
     )
     return F.transform(
-        ok, lambda m: _ent("DRIVERS_LICENSE", m, X.CONTEXT_CONFIDENCE["DRIVERS_LICENSE"], "Driver's License identifier context")
+        ok, lambda m: _ent("DRIVERS_LICENSE", m, X.CONTEXT_CONFIDENCE["DRIVERS_LICENSE"], "follows a driving licence cue")
     )
 
 
@@ -329,13 +329,13 @@ def name_entities(text: Column, acc: Column) -> Column:
     return F.transform(
         ok,
         lambda m: _ent("PERSON_NAME", m, X.CONTEXT_CONFIDENCE["PERSON_NAME"],
-                       "Full person name identified via contextual role/name indicators"),
+                       "capitalised name after a role or name cue"),
     )
 
 
 def passport_entities(text: Column, acc: Column) -> Column:
     ok = F.filter(_cue_spans(text, X.PASSPORT_PATTERN), lambda m: ~_same_span_exists(acc, m))
-    return F.transform(ok, lambda m: _ent("PASSPORT", m, X.CONTEXT_CONFIDENCE["PASSPORT"], "Passport identifier context"))
+    return F.transform(ok, lambda m: _ent("PASSPORT", m, X.CONTEXT_CONFIDENCE["PASSPORT"], "follows a passport cue"))
 
 
 def ssn_context_entities(text: Column, acc: Column) -> Column:
@@ -351,7 +351,7 @@ def ssn_context_entities(text: Column, acc: Column) -> Column:
         return F.when(F.size(parts) == 3, rules_ok).otherwise(F.lit(True))
 
     ok = F.filter(_cue_spans(text, X.SSN_CONTEXT_PATTERN), lambda m: valid(m) & ~_inside_existing(acc, m))
-    return F.transform(ok, lambda m: _ent("SSN", m, X.CONTEXT_CONFIDENCE["SSN"], "Contextual SSN identifier"))
+    return F.transform(ok, lambda m: _ent("SSN", m, X.CONTEXT_CONFIDENCE["SSN"], "follows an SSN cue"))
 
 
 # ---------------------------------------------------------------------------
@@ -369,8 +369,8 @@ def aadhaar_context_entities(text: Column, acc: Column, rels: Column) -> Column:
     def ent(c: Column) -> Column:
         v_ok = checks.verhoeff_ok(c["value"])
         ev = F.concat(
-            F.lit("Surrounded by Aadhaar context ("), first_phrase(c["w"], "AADHAAR"), F.lit(")"),
-            F.when(v_ok, F.lit(" [Verhoeff Validated]")).otherwise(F.lit("")),
+            F.lit("Aadhaar cue nearby ("), first_phrase(c["w"], "AADHAAR"), F.lit(")"),
+            F.when(v_ok, F.lit(", check digit right")).otherwise(F.lit("")),
         )
         conf = F.when(v_ok, F.lit(X.CONTEXT_CONFIDENCE["AADHAAR_VALID"])).otherwise(F.lit(X.CONTEXT_CONFIDENCE["AADHAAR"]))
         return _ent("AADHAAR", c, conf, ev, related_subject(rels, c["value"], X.AADHAAR_SUBJECT_HINTS))
@@ -384,8 +384,8 @@ def pan_context_entities(text: Column, acc: Column) -> Column:
     def ent(c: Column) -> Column:
         ph = first_phrase(c["w"], "PAN_CARD")
         ev = F.concat(
-            F.lit("Valid Indian PAN format (Entity 4th char verified)"),
-            F.when(ph.isNotNull(), F.concat(F.lit(" surrounded by context ("), ph, F.lit(")"))).otherwise(F.lit("")),
+            F.lit("PAN shape with a known holder letter"),
+            F.when(ph.isNotNull(), F.concat(F.lit(", cue nearby ("), ph, F.lit(")"))).otherwise(F.lit("")),
         )
         return _ent("PAN_CARD", c, X.CONTEXT_CONFIDENCE["PAN_CARD"], ev)
 

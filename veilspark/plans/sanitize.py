@@ -155,14 +155,13 @@ class Firewall:
         policy_reason = F.coalesce(
             F.when(
                 b64_block.isNotNull(),
-                F.concat(F.lit("Firewall policy: Tool '"), F.col("tool"), F.lit("' blocked from receiving base64-encoded "),
-                         b64_block["pii_type"], F.lit(".")),
+                F.concat(F.lit("policy: tool "), F.col("tool"), F.lit(" may not get "), b64_block["pii_type"], F.lit(" (found in base64)")),
             ),
             F.when(
                 main_block.isNotNull(),
                 F.concat(
-                    F.lit("Firewall policy violation: Tool '"), F.col("tool"), F.lit("' is strictly prohibited from receiving "),
-                    F.coalesce(main_block["category"], F.lit(X.PERSONAL_INFO)), F.lit(" ("), main_block["pii_type"], F.lit(")."),
+                    F.lit("policy: tool "), F.col("tool"), F.lit(" may not get "), main_block["pii_type"],
+                    F.lit(" ("), F.coalesce(main_block["category"], F.lit(X.PERSONAL_INFO)), F.lit(")"),
                 ),
             ),
         )
@@ -207,9 +206,7 @@ class Firewall:
                     F.when(
                         leak_block,
                         F.concat(
-                            F.lit("Firewall blocked outgoing request: Leakage verification failed ("),
-                            F.col("leaks").cast("string"),
-                            F.lit(" residual detected item(s) found)."),
+                            F.lit("leak check: "), F.col("leaks").cast("string"), F.lit(" value(s) left in the rewritten text"),
                         ),
                     ),
                 ),

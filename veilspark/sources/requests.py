@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from veilspark.functions import fixed as X
+
 
 def read_requests(spark: SparkSession, path: str, fmt: str = "parquet", key_cols: list[str] | None = None) -> DataFrame:
     """A1: a request table with ``request_id``: the given one, else a hash of the key columns (all
@@ -34,8 +36,9 @@ def read_requests(spark: SparkSession, path: str, fmt: str = "parquet", key_cols
 
 def parse_payload(text: Column) -> Column:
     """A2: parse JSON text; on failure repair unquoted keys and bare-word values and try again."""
-    repaired = F.regexp_replace(text, r"([{,]\s*)([a-zA-Z_]\w*)\s*:", '$1"$2":')
-    repaired = F.regexp_replace(repaired, r':\s*([a-zA-Z_]\w*)([,\s}])', ': "$1"$2')
+    repaired = text
+    for pattern, replacement in X.JSON_REPAIRS:
+        repaired = F.regexp_replace(repaired, pattern, replacement)
     return F.coalesce(F.try_parse_json(text), F.try_parse_json(repaired))
 
 
