@@ -152,12 +152,20 @@ def anomaly(trees: list[np.ndarray], size: int, x: np.ndarray) -> np.ndarray:
     return 2.0 ** (-total / max(1, len(trees)) / max(_expected(min(size, PER_TREE)), 1e-9))
 
 
+def draw(stats: DataFrame) -> np.ndarray:
+    """Ratios of the SAMPLE documents with the smallest hashes; the hash limit keeps what tasks send to about as many."""
+    pool = stats.filter("n_words >= 50")
+    share = min(1.0, 1.25 * SAMPLE / max(1, pool.count()))
+    low = pool.filter(F.col("hash") <= int(-(2**63) + share * (2**64 - 2048)))
+    got = low.orderBy("hash", "ratios").select("ratios").limit(SAMPLE).collect()
+    return np.array([r["ratios"] for r in got]).reshape(-1, len(RATIOS))
+
+
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
           label_col: str = "quality") -> DataFrame:
     """Per row: id, COUNTS, score, base_failed, kept."""
     stats = cut(measure(docs, id_col, text_col))
-    sample = np.array([r["ratios"] for r in stats.filter("n_words >= 50").orderBy("hash", "ratios").select("ratios").limit(SAMPLE).collect()])
-    sample = sample.reshape(-1, len(RATIOS))
+    sample = draw(stats)
     trees, size = fit_forest(sample), len(sample)
 
     def run(batches):
