@@ -14,12 +14,10 @@ from typing import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from veilspark.functions import checks
 from veilspark.functions import fixed as X
 from veilspark.functions.entity import (
-    ENTITY_ARRAY,
     empty_entities,
     keep_not_contained,
     keep_not_overlapping,

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veilspark.functions import fixed as X
-from veilspark.functions.entity import ENTITY_STRUCT, empty_entities
+from veilspark.functions.entity import ENTITY_STRUCT
 from veilspark.functions.normalize import escape_delimiters, normalize_unicode
 from veilspark.functions.rewrite import (
     HASH_LENGTH,
