@@ -303,6 +303,15 @@ def q_leaf_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.get_json_object("sent", "$.args.list[1]").alias("untouched"))
 
 
+def q_route_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A6 on every turn of ``conversations`` and every planted text."""
+    from veilspark.operators.routing import route_prompt
+
+    conv = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.concat_ws(":", "conv_id", "turn").alias("id"), "text")
+    texts = conv.unionByName(planted(spark, sf_dir).select(F.col("doc_id").cast("string").alias("id"), F.concat("text", F.lit(" Subject: to do Tomorrow")).alias("text")))
+    return route_prompt(texts, "text").select("id", "tool", "subject", "schedule")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     qs: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         "e01_counts_by_type": q_counts_by_type,
@@ -343,6 +352,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "e08_active_vaults": q_active_vaults,
         "i13_check_column": q_check_column,
         "d14_protect": q_leaf_restore,
+        "a06_route_prompt": q_route_prompts,
         "p04_tokens": q_tokens,
         "d11_restore_clients": q_restore_clients,
         "d07_leaks": q_leaks,
@@ -623,6 +633,20 @@ SELECT p.doc_id, false AS blocked, CAST(2 * count(f.doc_id) AS BIGINT) AS total_
 FROM {O.PLANTED} p LEFT JOIN ({found}) f ON f.doc_id = p.doc_id GROUP BY p.doc_id"""
 
 
+def _route_sql() -> str:
+    has = lambda words: " OR ".join(f"contains(l, '{w}')" for w in words)
+    tool = " ".join(f"WHEN {has(ws)} THEN '{t}'" for t, ws in X.PROMPT_ROUTES)
+    when = " ".join(f"WHEN {has(ws)} THEN '{v}'" for ws, v in X.PROMPT_SCHEDULES)
+    after = "trim(ltrim(trim(substr(t, instr(l, 'subject') + 7)), ':'))"
+    return f"""
+SELECT id, CASE {tool} ELSE '{X.PROMPT_DEFAULT_TOOL}' END AS tool,
+       CASE WHEN contains(l, 'subject') AND {after} <> '' THEN {after} ELSE '{X.PROMPT_DEFAULT_SUBJECT}' END AS subject,
+       CASE {when} ELSE '{X.PROMPT_DEFAULT_SCHEDULE}' END AS schedule
+FROM (SELECT id, trim(text) AS t, lower(trim(text)) AS l
+      FROM (SELECT concat(conv_id, ':', turn) AS id, text FROM conversations
+            UNION ALL SELECT CAST(doc_id AS VARCHAR), text || ' Subject: to do Tomorrow' FROM {O.PLANTED} p) a) b"""
+
+
 def _planted_sql(template: int, value: str, where: str = "true") -> str:
     """What the planted rows of a template were built to hold, from the builder and not from a pattern."""
     return f"""SELECT -doc_id - 1 AS doc_id, CAST(instr(text, {value}) - 1 AS BIGINT) AS start,
@@ -706,6 +730,7 @@ def oracle_sql() -> dict[str, str]:
             f"count(*) FILTER (n IS NULL) AS nulls, round(avg(CASE WHEN n IS NOT NULL THEN CAST({O.luhn_sql('n')} AS DOUBLE) END), 6) AS valid_share "
             f"FROM (SELECT CASE WHEN c_custkey % 7 <> 0 THEN {NUMBERS} END AS n FROM customer) c"),
         "d14_protect": _protect_sql(),
+        "a06_route_prompt": _route_sql(),
         "p04_tokens": _tokens_sql(),
         "d11_restore_clients": _restore_clients_sql(),
         "d07_leaks": _leaks_sql(),

@@ -75,3 +75,20 @@ def test_protect_envelope(spark):
     out = {r["request_id"]: r for r in protect(Firewall("k", scan_base64=False), df, lambda sent: sent.withColumnRenamed("sent", "response")).collect()}
     assert "a@b.com" not in out["r1"]["sent"] and json.loads(out["r1"]["restored"]) == rows[0][1] and out["r1"]["restored_count"] == 1
     assert out["r2"]["blocked"] and out["r2"]["sent"] is None and out["r2"]["raw_response"] is None
+
+
+def test_prompts_and_totals(spark):
+    from veilspark.operators.restore import absent_share, restored_totals, vault_stats
+    from veilspark.operators.routing import route_prompt
+
+    texts = ["please charge my card tomorrow", " subject : : Hello there ", '{"tool": "crm", "x": 1}', "{broken}", None, "deploy at 3 PM", "Email the PIN"]
+    got = [(r["tool"], r["subject"], r["schedule"]) for r in route_prompt(spark.createDataFrame(list(enumerate(texts)), "i int, text string"), "text").orderBy("i").collect()]
+    none, now = "Leave Notification", "Immediate"
+    assert got == [("stripe_payment", none, "Tomorrow"), ("send_email", ": Hello there", now), ("crm", none, now), ("send_email", none, now),
+                   ("send_email", none, now), ("cloud_deploy", none, "3:00 PM"), ("send_email", none, now)]
+    done = spark.createDataFrame([("a", 2), ("a", 1), (None, 4)], "request_id string, restored_count long")
+    assert {tuple(r) for r in restored_totals(done).collect()} == {("a", False, 3), (None, False, 4), (None, True, 7)}
+    vault = spark.createDataFrame([("a", "t1", "v1"), ("a", "t2", "v2"), ("a", "t1", "v1")], "request_id string, token string, value string")
+    assert tuple(vault_stats(vault).first()) == ("a", 2, 2, ["v1", "v2"])
+    sent = spark.createDataFrame([("a", "has v1"), ("b", None)], "request_id string, sanitized string")
+    assert absent_share(sent, vault.dropDuplicates(), "request_id").first()[0] == 0.5

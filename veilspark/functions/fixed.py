@@ -491,3 +491,17 @@ JSON_REPAIRS = [
     (r"([{,]\s*)([a-zA-Z_]\w*)\s*:", '$1"$2":'),
     (r":\s*([a-zA-Z_]\w*)([,\s}])", ': "$1"$2'),
 ]
+
+# Keyword routing of free prompts to tool names (first rule that holds wins, then the default).
+PROMPT_ROUTES = [
+    ("send_email", ["email"]),
+    ("external_assistant", ["pin", "atm", "password", "credential", "assistant"]),
+    ("stripe_payment", ["card", "credit", "pay", "charge", "stripe", "billing"]),
+    ("kyc_verify", ["aadhaar", "aadhar", "adhaar", "adhar", "pan", "kyc", "identity"]),
+    ("crm_service", ["crm", "customer", "contact", "salesforce"]),
+    ("cloud_deploy", ["deploy", "server", "ip", "api key", "aws", "openai"]),
+]
+PROMPT_DEFAULT_TOOL = "send_email"
+PROMPT_DEFAULT_SUBJECT = "Leave Notification"
+PROMPT_SCHEDULES = [(["3pm", "3 pm"], "3:00 PM"), (["tomorrow"], "Tomorrow")]
+PROMPT_DEFAULT_SCHEDULE = "Immediate"

@@ -166,10 +166,16 @@ def audit_totals(audit: DataFrame) -> DataFrame:
 
 
 def vault_stats(vault: DataFrame) -> DataFrame:
-    """Distinct tokens and values per request (and the number of live vaults)."""
+    """Distinct tokens and the set of values per request (bounded by one request)."""
     return vault.groupBy("request_id").agg(
-        F.count_distinct("token").alias("token_count"), F.count_distinct("value").alias("value_count")
-    )
+        F.count_distinct("token").alias("token_count"), F.count_distinct("value").alias("value_count"),
+        F.array_sort(F.collect_set("value")).alias("original_values"))
+
+
+def restored_totals(restored: DataFrame, key_col: str = "request_id") -> DataFrame:
+    """Tokens restored per request, and over all requests in the row marked ``overall``."""
+    sums = restored.rollup(key_col).agg(F.sum("restored_count").alias("restored"), (F.grouping(key_col) == 1).alias("overall"))
+    return sums.select(key_col, "overall", "restored")
 
 
 def recent_events(audit: DataFrame, n: int = 50) -> DataFrame:
@@ -186,6 +192,13 @@ def latency_stats(df: DataFrame, col: str, accuracy: int = 10_000) -> DataFrame:
         *[F.percentile_approx(c, p, accuracy).alias(name) for name, p in (("median", 0.5), ("p95", 0.95), ("p99", 0.99))])
 
 
+def absent_share(sanitized: DataFrame, planted: DataFrame, key_col: str, text_col: str = "sanitized", value_col: str = "value") -> DataFrame:
+    """Share of planted values (key, value) that don't occur in their request's sanitised text."""
+    j = planted.select(key_col, value_col).join(sanitized.select(key_col, text_col), key_col, "left")
+    seen = F.coalesce(F.col(text_col).contains(F.col(value_col)), F.lit(False))
+    return j.agg(F.avg((~seen).cast("double")).alias("absent_rate"))
+
+
 def round_trip_accuracy(original: DataFrame, restored: DataFrame, key_col: str, orig_col: str, rest_col: str) -> DataFrame:
     """Share of rows whose restored text equals the original."""
     j = original.select(key_col, orig_col).join(restored.select(key_col, rest_col), key_col)
