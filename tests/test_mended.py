@@ -120,3 +120,30 @@ def test_streams_equal_batches(spark, tmp_path):
     query.trigger(availableNow=True).start().awaitTermination()
     back = sorted((r["request_id"], r["restored"]) for r in spark.read.parquet(str(tmp_path / "back")).collect())
     assert back == rows + [("r9", "x")]
+
+
+def test_live_vaults_in_stream_state(spark, tmp_path):
+    from veilspark.streaming.jobs import audit_stream, vault_state
+
+    schema = "request_id string, kind string, seq long, text string, vault map<string,string>"
+    token = "⟦EMAIL_0000000a⟧"
+    batches = [
+        [("a", "request", 1, None, {token: "a@b.com"}), ("b", "request", 1, None, {token: "c@d.com"}), ("b", "response", 2, f"hi {token}", None)],
+        [("a", "response", 2, f"x {token} ⟦EMAIL_0000000b⟧", None), ("a", "response", 3, f"again {token}", None), ("z", "response", 1, token, None), ("z", "response", 2, None, None)],
+    ]
+    src = str(tmp_path / "in")
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").json(src)
+        query = vault_state(spark.readStream.schema(schema).json(src)).writeStream.format("parquet").option("path", str(tmp_path / "out"))
+        # a query with timeouts always has another batch to look for them, so it is run for one batch at a time
+        run = query.option("checkpointLocation", str(tmp_path / "c")).trigger(once=True).start()
+        assert run.awaitTermination(60)
+    got = sorted((r["request_id"], r["seq"], r["restored"], r["restored_count"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == [("a", 2, "x a@b.com ⟦EMAIL_0000000b⟧", 1), ("a", 3, f"again {token}", 0), ("b", 2, "hi c@d.com", 1), ("z", 1, token, 0), ("z", 2, None, 0)]
+
+    events = str(tmp_path / "audit")
+    spark.sql("select timestamp'2026-01-01 00:00:10' ts, 'A' action, 2L total_entities_secured union all select timestamp'2026-01-01 00:00:50', 'A', 3L "
+              "union all select timestamp'2026-01-01 01:00:00', 'B', 1L").write.parquet(events)
+    stream = spark.readStream.schema("ts timestamp, action string, total_entities_secured long").parquet(events)
+    audit_stream(stream).writeStream.format("memory").queryName("audit_counts").outputMode("complete").trigger(availableNow=True).start().awaitTermination()
+    assert sorted((r["action"], r["events"], r["entities_secured"]) for r in spark.table("audit_counts").collect()) == [("A", 2, 5), ("B", 1, 1)]

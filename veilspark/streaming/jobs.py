@@ -8,9 +8,15 @@ stream-static join, and audit outcomes are counted in event-time windows with a
 
 from __future__ import annotations
 
+import json
+import re
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupStateTimeout
 
+from veilspark.functions.rewrite import token_pattern
 from veilspark.operators.restore import audit_events, restore_text
 from veilspark.plans.sanitize import Firewall
 
@@ -58,6 +64,41 @@ def restore_stream(responses: DataFrame, vault_table: DataFrame, key_col: str =
     return restore_text(responses, vault_table, key_col, text_col)
 
 
+def vault_state(events: DataFrame, ttl: str = "1 hour", pattern: str | None = None) -> DataFrame:
+    """Live vaults as keyed state. ``events``: a stream of (request_id, kind, seq, text, vault), kind
+    ``request`` with a vault (token -> value) or ``response`` with a text. A request's vault is kept
+    until its first response, which is restored and purges it, or until the time to live is over;
+    a response without a live vault passes unchanged. Output: request_id, seq, restored, restored_count.
+    The state of a key is one request's vault.
+    """
+    found = re.compile(pattern or token_pattern())
+    milliseconds = int(pd.Timedelta(ttl).total_seconds() * 1000)
+
+    def step(key, frames, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(frames)).sort_values(["seq", "kind"], kind="stable")
+        held = dict(json.loads(state.get[0])) if state.exists else None
+        out = []
+        for kind, seq, text, vault in zip(rows["kind"], rows["seq"], rows["text"], rows["vault"]):
+            if kind == "request":
+                held = {**(held or {}), **dict(vault or {})}
+                continue
+            tokens = [m[0] for m in found.finditer(text or "") if held and m[0] in held]
+            out.append((key[0], seq, found.sub(lambda m: held.get(m[0], m[0]), text) if tokens else text, len(tokens)))
+            held = None
+        if held is not None:
+            state.update((json.dumps(held),))
+            state.setTimeoutDuration(milliseconds)
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame(out, columns=["request_id", "seq", "restored", "restored_count"])
+
+    return events.groupBy("request_id").applyInPandasWithState(
+        step, "request_id string, seq long, restored string, restored_count long", "vault string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
 def audit_stream(audit: DataFrame, window: str = "1 minute", watermark: str = "10 minutes") -> DataFrame:
     """Running counts of events by outcome in event-time windows."""
     return (
