@@ -28,14 +28,14 @@ from veilspark.sources.fixtures import planted
 # The training-data package and its pipeline can be removed as a whole; only their own absence is passed over.
 try:
     from veilspark.llm import queries as training_data
-except ModuleNotFoundError as gone:
-    if not (gone.name or "").startswith("veilspark.llm"):
+except ImportError as gone:
+    if gone.name != "veilspark.llm":
         raise
     training_data = None
 try:
     import corpus_pipeline
-except ModuleNotFoundError as gone:
-    if gone.name != "corpus_pipeline" and not (gone.name or "").startswith("veilspark.llm"):
+except ImportError as gone:
+    if gone.name not in ("corpus_pipeline", "veilspark.llm"):
         raise
     corpus_pipeline = None
 
