@@ -9,6 +9,8 @@ that length are called windows here.
    occurs twice is repeated as a whole, and one whose anchor occurs once is not repeated at all
    (unless the anchor occurs twice within it). What is left, one copy of each different segment of
    a shared anchor, goes on; nothing is dropped that could match.
+   Repeated anchors are looked up in a bit table of bounded size; one that isn't repeated and passes
+   costs room, nothing else.
 2. Merging. Segments are dealt by anchor into buckets of about ``BUCKET_BYTES``. In a bucket they are split
    into shards of ``SHARD_BYTES``; each shard's suffixes are sorted and kept as its Burrows-Wheeler
    transform (one end mark per segment). The shards' transforms are merged by refining their
@@ -35,7 +37,6 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from veilspark.llm.common import cut
 from veilspark.llm.decontaminate import _in_table, bit_table
@@ -237,6 +238,19 @@ def repeated_runs(parts: list[bytes], length: int = LENGTH, shard_bytes: int = S
     return out
 
 
+def _listed_in(rows: DataFrame, columns: list[str], listed: DataFrame) -> DataFrame:
+    """Rows whose columns' hash is in the bit table of ``listed``: all that are listed, and few others
+    as long as the table isn't full. Spares the shuffle of a join; later steps drop the others."""
+    table = rows.sparkSession.sparkContext.broadcast(bit_table(listed.select(F.xxhash64(*columns).alias("h")).distinct(), "h"))
+
+    def run(batches):
+        for batch in batches:
+            hit = _in_table(table.value, np.asarray(batch.column("h")).view("u8"))
+            yield batch.filter(pa.array(hit)).drop_columns(["h"])
+
+    return rows.withColumn("h", F.xxhash64(*columns)).mapInArrow(run, rows.schema)
+
+
 # --- the whole -----------------------------------------------------------------------------------
 def _cut_out(segment_rows: DataFrame) -> DataFrame:
     """SEGMENT, n, hot, bytes from texts with the list of segments wanted of them."""
@@ -316,21 +330,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(F.col(id_col).alias("given"), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2"),
                        F.xxhash64(id_col).alias("id"), text.alias("text"))
     found = cut(places(rows))
-    counts = cut(found.groupBy(*SEGMENT).agg(
+    shared = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("times"), F.max("twice").alias("twice")).filter("times > 1 or twice")
+    repeated = cut(_listed_in(found, ["anchor"], shared))
+    counts = cut(repeated.groupBy(*SEGMENT).agg(
         F.count(F.lit(1)).alias("n"), F.max("twice").alias("twice"), F.min(F.struct(*KEY, "start")).alias("at")))
-    shared = counts.groupBy("anchor").agg(F.sum("n").alias("times"), F.max("twice").alias("twice")).filter("times > 1 or twice").select("anchor")
-    repeated = cut(found.join(shared, "anchor", "left_semi").select(*KEY, *SEGMENT, "start"))
-    table = docs.sparkSession.sparkContext.broadcast(bit_table(repeated.select(F.xxhash64(*KEY).alias("h")).distinct(), "h"))
-
-    def prune(batches):
-        for batch in batches:
-            hit = _in_table(table.value, np.asarray(batch.column("h")).view("u8"))
-            yield batch.filter(pa.array(hit)).drop_columns(["h"])
-
-    slim = rows.select(*KEY, F.xxhash64(*KEY).alias("h"), F.col("text").cast("binary").alias("text"))
-    cand = cut(slim.mapInArrow(prune, "k1 long, k2 long, id long, text binary"))
-    shared_counts = counts.join(shared, "anchor", "left_semi")
-    marks = repeated_marks(cand, shared_counts)
+    cand = cut(_listed_in(rows.select(*KEY, F.col("text").cast("binary").alias("text")), KEY, repeated))
+    marks = repeated_marks(cand, counts)
     spans = repeated.join(marks, SEGMENT).groupBy(*KEY).agg(F.collect_list(F.struct(
         (F.col("start") + F.col("first")).alias("first"), (F.col("start") + F.col("stop") + LENGTH - 1).alias("stop"))).alias("spans"))
 
