@@ -139,8 +139,8 @@ def bit_table(hashes: DataFrame, col: str) -> np.ndarray:
     places = hashes.select(F.explode(F.array(low, high)).alias("place"))
     words = places.select(F.shiftright("place", 6).cast("int").alias("word"), F.expr("shiftleft(1L, cast(place & 63L as int))").alias("bit"))
     table = np.zeros(bits // 64, "u8")
-    for word, value in words.groupBy("word").agg(F.bit_or("bit")).collect():  # bits / 64 rows at most
-        table[word] = value & 0xFFFFFFFFFFFFFFFF
+    got = words.groupBy("word").agg(F.bit_or("bit").alias("value")).toArrow()  # bits / 64 rows at most
+    table[got["word"].to_numpy()] = got["value"].to_numpy().view("u8")
     return table
 
 

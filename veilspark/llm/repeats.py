@@ -43,8 +43,9 @@ from veilspark.llm.decontaminate import _in_table, bit_table
 
 LENGTH = 400
 GRAM = 32
-BUCKET_BYTES = 1_500_000
-SHARD_BYTES = 300_000
+BUCKET_BYTES = 600_000
+SHARD_BYTES = 150_000
+ROWS_AT_ONCE = 500
 HOT_BYTES = 4_000_000
 KEY = ["k1", "k2", "id"]
 SEGMENT = ["anchor", "windows", "content"]
@@ -104,12 +105,19 @@ def segments(text: bytes) -> list[tuple[int, int, int, int, bool]]:
     return out
 
 
+def _few(batches):
+    """The batches in parts of ROWS_AT_ONCE rows, so that what is made of a part stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+            yield batch.slice(at, ROWS_AT_ONCE)
+
+
 def places(rows: DataFrame) -> DataFrame:
     """All segments of all texts: KEY, SEGMENT, start, twice."""
     names = [*KEY, *SEGMENT, "start", "twice"]
 
     def run(batches):
-        for batch in batches:
+        for batch in _few(batches):
             keys, owner, found = [np.asarray(batch.column(c)) for c in KEY], [], []
             for i, text in enumerate(batch.column("text").to_pylist()):
                 got = segments(text)
@@ -256,7 +264,7 @@ def _cut_out(segment_rows: DataFrame) -> DataFrame:
     """SEGMENT, n, hot, bytes from texts with the list of segments wanted of them."""
 
     def run(batches):
-        for batch in batches:
+        for batch in _few(batches):
             out = []
             for text, wanted in zip(batch.column("text").to_pylist(), batch.column("wanted").to_pylist()):
                 for w in wanted:
@@ -340,12 +348,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         (F.col("start") + F.col("first")).alias("first"), (F.col("start") + F.col("stop") + LENGTH - 1).alias("stop"))).alias("spans"))
 
     def finish(batches):
-        for batch in batches:
+        for batch in _few(batches):
             out = []
             for data, found in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist()):
                 runs = _unite(found)
                 kept = b"".join(data[b:c] for b, c in zip([0, *(r[1] for r in runs)], [*(r[0] for r in runs), len(data)]))
-                out.append(([{"start": a, "end": b} for a, b in runs], hashlib.sha256(kept).hexdigest(), kept))
+                out.append(([{"start": a, "end": b} for a, b in runs], hashlib.sha256(kept).hexdigest(), kept if keep_text else None))
             columns = [pa.array([o[0] for o in out], span_type), pa.array([o[1] for o in out], pa.string())]
             if keep_text:
                 columns.append(pa.array([o[2] for o in out], pa.binary()))
