@@ -69,3 +69,13 @@ def test_simple_tree_matching():
     assert W.matching(a, tree("z"), {})[0] == 0
     merged = W.merge(a, b)
     assert [k["label"] for k in merged["kids"]] == ["c", "b", "c", "d"] or [k["label"] for k in merged["kids"]] == ["b", "c", "b", "d"]
+
+
+def test_each_template_of_a_host_has_its_content(frame):
+    for host in ("http://two.example.net/", "/no-scheme/"):
+        one = [(i, f"{host}{i}", f"<body><nav>Menu</nav><article><h1>A{i}</h1><p>Text of article {i}, long enough</p></article><footer>F</footer></body>") for i in range(14)]
+        two = [(100 + i, f"{host}m{i}", f"<body><nav>Menu</nav><main><h1>M{i}</h1><p>Other text {i}</p></main><footer>F</footer></body>") for i in range(4)]
+        three = [(200 + i, f"{host}d{i}", f"<body><nav>Menu</nav><div class=b><h2>D{i}</h2><p>Third kind {i}</p></div><footer>F</footer></body>") for i in range(2)]
+        by = {k[0]: v for k, v in texts(frame, one + two + three).items()}
+        assert by == ({i: f"A{i}\nText of article {i}, long enough" for i in range(14)} | {100 + i: f"M{i}\nOther text {i}" for i in range(4)}
+                      | {200 + i: f"D{i}\nThird kind {i}" for i in range(2)})

@@ -13,8 +13,10 @@ share it. Per host:
 3. template nodes whose text is the same on all pages are template; the others are slots. The
    content is the subtree that holds most of the slots' text outside of navigation, headers,
    footers, asides, forms, adverts, notices and comments (told by element, class, id and role);
-4. each skeleton is aligned with its host's template, which gives the nodes to keep; pages are
-   read again and joined with that list by host and skeleton (a few rows per host).
+4. each skeleton is aligned with its host's template, which tells its constant nodes and the host's
+   usual content subtree; a skeleton with less than half of its text there (another template on
+   the same host, or unrelated pages of the empty host) gets a content subtree of its own. Pages
+   are read again and joined with the nodes to keep by host and skeleton (a few rows per host).
 
 Defined cases: null html is an empty page with empty text; a null url or one without ``://`` has
 the empty host; a host with fewer than ``MIN_PAGES`` pages has no constant nodes (nothing to compare), nor
@@ -208,8 +210,8 @@ def summarise(pages: DataFrame) -> DataFrame:
 
 
 def tree_of(shape: str, values: list[dict]) -> dict:
-    """Nested template of one skeleton: label, n, low, high, chars, links, kids."""
-    nodes = [{"label": label, **v} for (label, _), v in zip(json.loads(shape), values)]
+    """Nested template of one skeleton: label, n, low, high, chars, links, number, kids."""
+    nodes = [{"label": label, **v, "number": i} for i, ((label, _), v) in enumerate(zip(json.loads(shape), values))]
     for node, (_, kids) in zip(nodes, json.loads(shape)):
         node["kids"] = [nodes[k] for k in kids]
     return nodes[0]
@@ -268,80 +270,79 @@ def merge_all(trees: list[dict]) -> dict:
     return out
 
 
-def mark_content(template: dict) -> dict:
-    """Sets ``keep`` on the template's nodes."""
-    nodes: list[dict] = []
+def bar(nodes: list[dict]) -> None:
+    """Sets ``barred`` on the nodes of a tree (parents before children): named as boilerplate, or inside such a node."""
 
     def spread(node: dict, barred: bool, inside: bool) -> None:
         tag, *words = node["label"].split(".")
         inside = inside or tag in ("article", "main")
         boiler = tag in BOILERPLATE or tag == "header" and not inside or bool(BOILERPLATE_WORDS & set(words)) and tag not in ("html", "body", "main")
         node["barred"] = barred or boiler and not (tag == "article" and not {"comment", "ad", "related"} & set(words))
-        nodes.append(node)
         for k in node["kids"]:
             spread(k, node["barred"], inside)
 
-    spread(template, False, False)
-    alike = all(x["low"] == x["high"] for x in nodes)
+    spread(nodes[0], False, False)
+
 
-    def free(x: dict) -> bool:
-        constant = x["n"] >= MIN_PAGES and x["low"] == x["high"] and x["chars"] and not alike
-        return not x["barred"] and not constant
+def in_order(tree: dict) -> list[dict]:
+    return [tree, *(x for k in tree["kids"] for x in in_order(k))]
+
+
+def choose(nodes: list[dict], offered: dict | None = None) -> dict:
+    """The content subtree: ``offered`` or the first named so, if it holds half of the free text; else by steps into the child with 80%."""
 
     def mass(node: dict) -> int:
-        own = max(0, node["chars"] - 2 * node["links"]) if free(node) else 0
+        own = max(0, node["chars"] - 2 * node["links"]) if node["free"] else 0
         node["mass"] = own + sum(mass(k) for k in node["kids"])
         return node["mass"]
 
-    total = mass(template)
+    total = mass(nodes[0])
     named = [x for x in nodes if not x["barred"] and (x["label"].split(".")[0] in ("article", "main") or CONTENT_WORDS & set(x["label"].split(".")[1:]))]
-    top = next((x for x in named if 2 * x["mass"] >= total and x["mass"]), None)
+    top = next((x for x in ([offered] if offered else []) + named if 2 * x["mass"] >= total and x["mass"]), None)
     if top is None:
-        top = template
+        top = nodes[0]
         while True:
             heavy = [k for k in top["kids"] if 10 * k["mass"] >= 8 * top["mass"] > 0 and k["label"].split(".")[0] in BOXES]
             if not heavy:
                 break
             top = heavy[0]
+    return top
 
-    def keep(node: dict, within: bool) -> None:
-        within = within or node is top
-        node["keep"] = within and free(node)
-        for k in node["kids"]:
-            keep(k, within)
 
-    keep(template, False)
+def mark_content(template: dict) -> dict:
+    """Sets ``constant`` and ``top`` (the host's usual content subtree) on the template's nodes."""
+    nodes = in_order(template)
+    bar(nodes)
+    alike = all(x["low"] == x["high"] for x in nodes)
+    for x in nodes:
+        x["constant"] = bool(x["n"] >= MIN_PAGES and x["low"] == x["high"] and x["chars"] and not alike)
+        x["free"] = not x["barred"] and not x["constant"]
+    top = choose(nodes)
+    for x in nodes:
+        x["top"] = x is top
     return template
 
 
-def kept_nodes(template: dict, shape: str) -> list[int]:
-    """Numbers of a skeleton's nodes that match kept template nodes."""
-    values = json.loads(shape)
-    nodes = [{"label": label, "number": i} for i, (label, _) in enumerate(values)]
-    for node, (_, kids) in zip(nodes, values):
-        node["kids"] = [nodes[k] for k in kids]
+def kept_nodes(template: dict, tree: dict) -> list[int]:
+    """Numbers of a skeleton's nodes to keep: those of its own content subtree that are neither boilerplate nor constant.
+
+    The host's usual content subtree is taken where it holds half of this skeleton's text, so pages
+    of another template than most of their host's have their own.
+    """
+    nodes = in_order(tree)
+    bar(nodes)
     memo: dict = {}
-    out: list[int] = []
 
     def walk(t: dict, s: dict) -> None:
-        if t["keep"]:
-            out.append(s["number"])
-        partner = dict((j, i) for i, j in matching(t, s, memo)[1])
-        for j, k in enumerate(s["kids"]):
-            if j in partner:
-                walk(t["kids"][partner[j]], k)
-            elif t["keep"]:
-                inherit(k)
-
-    def inherit(s: dict) -> None:
-        tag, *words = s["label"].split(".")
-        if tag not in BOILERPLATE and not BOILERPLATE_WORDS & set(words):
-            out.append(s["number"])
-            for k in s["kids"]:
-                inherit(k)
-
-    walk(template, nodes[0])
-    return out
+        s["partner"] = t
+        for i, j in matching(t, s, memo)[1]:
+            walk(t["kids"][i], s["kids"][j])
+
+    walk(template, tree)
+    for x in nodes:
+        x["free"] = not x["barred"] and not ("partner" in x and x["partner"]["constant"])
+    top = choose(nodes, next((x for x in nodes if "partner" in x and x["partner"]["top"]), None))
+    return [x["number"] for x in in_order(top) if x["free"]]
 
 
 def induce(pages: DataFrame) -> DataFrame:
@@ -350,8 +351,11 @@ def induce(pages: DataFrame) -> DataFrame:
     stats = cut(summarise(pages).groupBy("host", "skeleton").agg(F.transform(F.array_sort(F.collect_list(value)), lambda x: x.v).alias("values")))
     names = ("n", "low", "high", "chars", "links")
 
+    def tree(shape: str, values) -> dict:
+        return tree_of(shape, [{k: int(x[k]) for k in names} for x in values])
+
     def first(pdf: pd.DataFrame) -> pd.DataFrame:
-        trees = [tree_of(s, [{k: int(x[k]) for k in names} for x in v]) for s, v in zip(pdf["skeleton"], pdf["values"])]
+        trees = [tree(s, v) for s, v in zip(pdf["skeleton"], pdf["values"])]
         return pd.DataFrame({"host": [pdf["host"].iloc[0]], "template": [json.dumps(merge_all(trees))]})
 
     def second(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -360,13 +364,13 @@ def induce(pages: DataFrame) -> DataFrame:
 
     def align(frames):
         for pdf in frames:
-            keep = [kept_nodes(json.loads(t), s) for t, s in zip(pdf["template"], pdf["skeleton"])]
+            keep = [kept_nodes(json.loads(t), tree(s, v)) for t, s, v in zip(pdf["template"], pdf["skeleton"], pdf["values"])]
             yield pd.DataFrame({"host": pdf["host"], "skeleton": pdf["skeleton"], "keep": keep})
 
     part = F.pmod(F.xxhash64("skeleton"), F.lit(PARTS)).alias("part")
     partial = stats.select("host", part, "skeleton", "values").groupBy("host", "part").applyInPandas(first, "host string, template string")
     templates = partial.groupBy("host").applyInPandas(second, "host string, template string")
-    return stats.select("host", "skeleton").join(templates, "host").mapInPandas(align, "host string, skeleton string, keep array<int>")
+    return stats.join(templates, "host").mapInPandas(align, "host string, skeleton string, keep array<int>")
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
