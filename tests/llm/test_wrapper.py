@@ -79,3 +79,19 @@ def test_each_template_of_a_host_has_its_content(frame):
         by = {k[0]: v for k, v in texts(frame, one + two + three).items()}
         assert by == ({i: f"A{i}\nText of article {i}, long enough" for i in range(14)} | {100 + i: f"M{i}\nOther text {i}" for i in range(4)}
                       | {200 + i: f"D{i}\nThird kind {i}" for i in range(2)})
+
+
+def test_what_only_copies_share_is_no_template(frame):
+    table = "<table><tr><td>Only in one article</td></tr></table>"
+    large = [(i, f"http://large.example.net/{i}", f"<article><h1>T{i}</h1><div>Read our terms</div><p>Text of page {i}</p></article>") for i in range(12)]
+    copies = [(100 + i, f"http://large.example.net/c{i}", f"<article><h1>Copy</h1><div>Read our terms</div><p>Copied text here</p>{table}</article>") for i in range(4)]
+    adverts = [(200 + i, f"http://same.example.net/{i}", f"<nav>Menu {i}</nav><div class=ad>Buy {i}</div><article><h1>Same</h1><p>Copied text</p></article>") for i in range(5)]
+    slots = [(300 + i, f"http://slot.example.net/{i}", f"<div class=x>Buy {i}</div><article><h1>Same</h1><p>Copied text that is much longer than the box</p></article>") for i in range(5)]
+    by = {k[0]: v for k, v in texts(frame, large + copies + adverts + slots).items()}
+    for i in range(12):
+        assert by[i] == f"T{i}\nText of page {i}"
+    for i in range(4):
+        assert by[100 + i] == "Copy\nCopied text here\nOnly in one article"
+    for i in range(5):
+        assert by[200 + i] == "Same\nCopied text"
+        assert by[300 + i] == "Same\nCopied text that is much longer than the box"

@@ -10,8 +10,9 @@ share it. Per host:
 2. skeletons are aligned by simple tree matching (the largest matching of two ordered trees that
    keeps labels, order and parents) and merged into the host's template, in two steps so that no
    group is large: within parts of a host's skeletons, then the parts' templates;
-3. template nodes whose text is the same on all pages are template; the others are slots. The
-   content is the subtree that holds most of the slots' text outside of navigation, headers,
+3. template nodes whose text is the same on all pages that have them, these being all pages of
+   their template and with ``MIN_PAGES`` different contents at least, are template; the others are
+   slots. The content is the subtree that holds most of the slots' text outside of navigation, headers,
    footers, asides, forms, adverts, notices and comments (told by element, class, id and role);
 4. each skeleton is aligned with its host's template, which tells its constant nodes and the host's
    usual content subtree; a skeleton with less than half of its text there (another template on
@@ -19,8 +20,9 @@ share it. Per host:
    are read again and joined with the nodes to keep by host and skeleton (a few rows per host).
 
 Defined cases: null html is an empty page with empty text; a null url or one without ``://`` has
-the empty host; a host with fewer than ``MIN_PAGES`` pages has no constant nodes (nothing to compare), nor
-has one whose pages are all alike; repeated rows and ids give one row each; elements nested deeper
+the empty host; copies of a content count once, and a host with fewer than ``MIN_PAGES`` different
+contents has no constant nodes (nothing to compare); a page without text but constant text keeps
+that; repeated rows and ids give one row each; elements nested deeper
 than ``MAX_DEPTH`` count as part of the element there; extra columns are ignored.
 """
 
@@ -41,6 +43,8 @@ from veilspark.llm.urlfilter import host_of
 
 MIN_PAGES = 3
 MAX_DEPTH = 100
+#: Constant text is copied content if it is so many times the varying text of its page.
+COPIED = 4
 PARTS = 16
 FLUSH_SKELETONS = 20_000
 
@@ -164,6 +168,25 @@ def read_page(source: str) -> tuple[list[Node], list[tuple[int, str]]]:
     return nodes, [(n.number, words) for n, words in blocks]
 
 
+def bar(shape: list[tuple[str, list[int]]]) -> list[bool]:
+    """Per node (label, children's numbers; parents first): whether it is named as boilerplate, or inside such a node."""
+    barred, inside = [False] * len(shape), [False] * len(shape)
+    for i, (label, kids) in enumerate(shape):
+        tag, *words = label.split(".")
+        inside[i] = inside[i] or tag in ("article", "main")
+        boiler = tag in BOILERPLATE or tag == "header" and not inside[i] or bool(BOILERPLATE_WORDS & set(words)) and tag not in ("html", "body", "main")
+        barred[i] = barred[i] or boiler and not (tag == "article" and not {"comment", "ad", "related"} & set(words))
+        for k in kids:
+            barred[k], inside[k] = barred[i], inside[i]
+    return barred
+
+
+def set_barred(nodes: list[dict]) -> None:
+    place = {id(x): i for i, x in enumerate(nodes)}
+    for x, barred in zip(nodes, bar([(x["label"], [place[id(k)] for k in x["kids"]]) for x in nodes])):
+        x["barred"] = barred
+
+
 def skeleton(nodes: list[Node]) -> str:
     return json.dumps([[n.label, [k.number for k in n.kids]] for n in nodes], separators=(",", ":"))
 
@@ -175,14 +198,20 @@ def _signed(text: str) -> int:
 
 
 def summarise(pages: DataFrame) -> DataFrame:
-    """(host, skeleton, node, n, low, high, chars, links) from (host, html), one row per node."""
+    """(host, skeleton, node, n, low, high, chars, links, seen) from (host, html), one row per node.
+
+    ``seen`` holds up to ``MIN_PAGES`` hashes of different contents (all that is not boilerplate), at
+    the first node only.
+    """
 
     def run(batches):
         held: dict[tuple[str, str], list] = {}
+        barred: dict[tuple[str, str], list[bool]] = {}
 
         def rows():
-            out = [(h, s, k, n, *v) for (h, s), (n, values) in held.items() for k, v in enumerate(values)]
+            out = [(h, s, k, n, *v, None if k else contents) for (h, s), (n, values, contents) in held.items() for k, v in enumerate(values)]
             held.clear()
+            barred.clear()
             columns = list(zip(*out)) if out else [[]] * len(names)
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
 
@@ -190,27 +219,34 @@ def summarise(pages: DataFrame) -> DataFrame:
             for host, source in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
                 nodes, _ = read_page(source or "")
                 key = (host, skeleton(nodes))
+                if key not in barred:
+                    barred[key] = bar([(x.label, [k.number for k in x.kids]) for x in nodes])
+                content = _signed("\n".join(t for x, out in zip(nodes, barred[key]) if not out for t in x.texts))
                 seen = [(_signed("\n".join(x.texts)), x.chars, x.links) for x in nodes]
                 if key not in held:
-                    held[key] = [1, [[h, h, c, k] for h, c, k in seen]]
+                    held[key] = [1, [[h, h, c, k] for h, c, k in seen], [content]]
                 else:
                     held[key][0] += 1
+                    contents = held[key][2]
+                    if len(contents) < MIN_PAGES and content not in contents:
+                        contents.append(content)
                     for v, (h, c, k) in zip(held[key][1], seen):
                         v[0], v[1], v[2], v[3] = min(v[0], h), max(v[1], h), v[2] + c, v[3] + k
             if len(held) > FLUSH_SKELETONS:
                 yield rows()
         yield rows()
 
-    names = ["host", "skeleton", "node", "n", "low", "high", "chars", "links"]
-    types = [pa.string(), pa.string(), pa.int32(), *[pa.int64()] * 5]
-    schema = "host string, skeleton string, node int, n long, low long, high long, chars long, links long"
+    names = ["host", "skeleton", "node", "n", "low", "high", "chars", "links", "seen"]
+    types = [pa.string(), pa.string(), pa.int32(), *[pa.int64()] * 5, pa.list_(pa.int64())]
+    schema = "host string, skeleton string, node int, n long, low long, high long, chars long, links long, seen array<long>"
     parts = pages.select("host", "html").mapInArrow(run, schema)
     return parts.groupBy("host", "skeleton", "node").agg(
-        F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"), F.sum("chars").alias("chars"), F.sum("links").alias("links"))
+        F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"), F.sum("chars").alias("chars"), F.sum("links").alias("links"),
+        F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("seen")))), 1, MIN_PAGES).alias("seen"))
 
 
 def tree_of(shape: str, values: list[dict]) -> dict:
-    """Nested template of one skeleton: label, n, low, high, chars, links, number, kids."""
+    """Nested template of one skeleton: label, n, low, high, chars, links, seen, number, kids."""
     nodes = [{"label": label, **v, "number": i} for i, ((label, _), v) in enumerate(zip(json.loads(shape), values))]
     for node, (_, kids) in zip(nodes, json.loads(shape)):
         node["kids"] = [nodes[k] for k in kids]
@@ -248,6 +284,7 @@ def merge(a: dict, b: dict, memo: dict | None = None) -> dict:
     partner = {j: i for i, j in matching(a, b, memo)[1]}
     for k in ("n", "chars", "links"):
         a[k] += b[k]
+    a["seen"] = sorted({*a.get("seen", ()), *b.get("seen", ())})[:MIN_PAGES]
     a["low"], a["high"] = min(a["low"], b["low"]), max(a["high"], b["high"])
     kids, taken = [], 0
     for j, y in enumerate(b["kids"]):
@@ -270,20 +307,6 @@ def merge_all(trees: list[dict]) -> dict:
     return out
 
 
-def bar(nodes: list[dict]) -> None:
-    """Sets ``barred`` on the nodes of a tree (parents before children): named as boilerplate, or inside such a node."""
-
-    def spread(node: dict, barred: bool, inside: bool) -> None:
-        tag, *words = node["label"].split(".")
-        inside = inside or tag in ("article", "main")
-        boiler = tag in BOILERPLATE or tag == "header" and not inside or bool(BOILERPLATE_WORDS & set(words)) and tag not in ("html", "body", "main")
-        node["barred"] = barred or boiler and not (tag == "article" and not {"comment", "ad", "related"} & set(words))
-        for k in node["kids"]:
-            spread(k, node["barred"], inside)
-
-    spread(nodes[0], False, False)
-
-
 def in_order(tree: dict) -> list[dict]:
     return [tree, *(x for k in tree["kids"] for x in in_order(k))]
 
@@ -310,27 +333,31 @@ def choose(nodes: list[dict], offered: dict | None = None) -> dict:
 
 
 def mark_content(template: dict) -> dict:
-    """Sets ``constant`` and ``top`` (the host's usual content subtree) on the template's nodes."""
+    """Sets ``constant`` (equal wherever it is, in ``MIN_PAGES`` different contents) and ``top`` (the host's usual content subtree) on the template's nodes."""
     nodes = in_order(template)
-    bar(nodes)
-    alike = all(x["low"] == x["high"] for x in nodes)
+    set_barred(nodes)
     for x in nodes:
-        x["constant"] = bool(x["n"] >= MIN_PAGES and x["low"] == x["high"] and x["chars"] and not alike)
+        x["constant"] = bool(len(x["seen"]) >= MIN_PAGES and x["low"] == x["high"] and x["chars"])
         x["free"] = not x["barred"] and not x["constant"]
     top = choose(nodes)
     for x in nodes:
         x["top"] = x is top
+        del x["seen"]
     return template
 
 
-def kept_nodes(template: dict, tree: dict) -> list[int]:
-    """Numbers of a skeleton's nodes to keep: those of its own content subtree that are neither boilerplate nor constant.
+def kept_nodes(template: dict, tree: dict) -> tuple[list[int], list[int]]:
+    """Numbers of a skeleton's nodes to keep, those of its own content subtree that are neither boilerplate nor constant,
+    and of all that are not boilerplate, for pages without text in the former.
 
     The host's usual content subtree is taken where it holds half of this skeleton's text, so pages
-    of another template than most of their host's have their own.
+    of another template than most of their host's have their own. Constant is what is equal on all
+    pages that have it and on no fewer pages than the skeleton's largest slot, which are those of
+    its template. Where that would be more than ``COPIED`` times the rest, the pages are copies of one
+    content in which something small varies, and nothing is constant.
     """
     nodes = in_order(tree)
-    bar(nodes)
+    set_barred(nodes)
     memo: dict = {}
 
     def walk(t: dict, s: dict) -> None:
@@ -339,20 +366,31 @@ def kept_nodes(template: dict, tree: dict) -> list[int]:
             walk(t["kids"][i], s["kids"][j])
 
     walk(template, tree)
+    slots = [x for x in nodes if not x["barred"] and "partner" in x and x["partner"]["low"] != x["partner"]["high"]]
+    pages = max(((x["chars"] - 2 * x["links"], x["partner"]["n"]) for x in slots), default=(0, None))[1]
+
+    def constant(x: dict) -> bool:
+        t = x.get("partner")
+        return pages is not None and t is not None and t["constant"] and t["n"] >= pages and x["low"] == x["high"] == t["low"]
+
+    same = {id(x) for x in nodes if not x["barred"] and constant(x)}
+    if sum(x["chars"] for x in nodes if id(x) in same) > COPIED * sum(x["chars"] for x in nodes if not x["barred"] and id(x) not in same):
+        same = set()
     for x in nodes:
-        x["free"] = not x["barred"] and not ("partner" in x and x["partner"]["constant"])
+        x["free"] = not x["barred"] and id(x) not in same
     top = choose(nodes, next((x for x in nodes if "partner" in x and x["partner"]["top"]), None))
-    return [x["number"] for x in in_order(top) if x["free"]]
+    return [x["number"] for x in in_order(top) if x["free"]], [x["number"] for x in nodes if not x["barred"]]
 
 
 def induce(pages: DataFrame) -> DataFrame:
-    """(host, skeleton, keep) for all skeletons of all hosts."""
-    value = F.struct("node", F.struct("n", "low", "high", "chars", "links").alias("v"))
+    """(host, skeleton, keep, spare) for all skeletons of all hosts."""
+    value = F.struct("node", F.struct("n", "low", "high", "chars", "links", "seen").alias("v"))
     stats = cut(summarise(pages).groupBy("host", "skeleton").agg(F.transform(F.array_sort(F.collect_list(value)), lambda x: x.v).alias("values")))
     names = ("n", "low", "high", "chars", "links")
 
     def tree(shape: str, values) -> dict:
-        return tree_of(shape, [{k: int(x[k]) for k in names} for x in values])
+        seen = [int(x) for x in values[0]["seen"]]
+        return tree_of(shape, [{k: int(x[k]) for k in names} | {"seen": seen} for x in values])
 
     def first(pdf: pd.DataFrame) -> pd.DataFrame:
         trees = [tree(s, v) for s, v in zip(pdf["skeleton"], pdf["values"])]
@@ -365,12 +403,12 @@ def induce(pages: DataFrame) -> DataFrame:
     def align(frames):
         for pdf in frames:
             keep = [kept_nodes(json.loads(t), tree(s, v)) for t, s, v in zip(pdf["template"], pdf["skeleton"], pdf["values"])]
-            yield pd.DataFrame({"host": pdf["host"], "skeleton": pdf["skeleton"], "keep": keep})
+            yield pd.DataFrame({"host": pdf["host"], "skeleton": pdf["skeleton"], "keep": [k for k, _ in keep], "spare": [k for _, k in keep]})
 
     part = F.pmod(F.xxhash64("skeleton"), F.lit(PARTS)).alias("part")
     partial = stats.select("host", part, "skeleton", "values").groupBy("host", "part").applyInPandas(first, "host string, template string")
     templates = partial.groupBy("host").applyInPandas(second, "host string, template string")
-    return stats.join(templates, "host").mapInPandas(align, "host string, skeleton string, keep array<int>")
+    return stats.join(templates, "host").mapInPandas(align, "host string, skeleton string, keep array<int>, spare array<int>")
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -394,6 +432,8 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
         rows.schema["id"], rows.schema["url"], T.StructField("host", T.StringType()), T.StructField("shape", T.StringType()),
         T.StructField("blocks", T.ArrayType(T.StructType([T.StructField("node", T.IntegerType()), T.StructField("text", T.StringType())])))])
     read_rows = rows.mapInArrow(read, schema).withColumn("skeleton", F.xxhash64("shape")).drop("shape")
-    own = F.filter("blocks", lambda b: F.array_contains("keep", b.node))
-    return read_rows.join(keep, ["host", "skeleton"], "left").select(
-        F.col("id").alias(id_col), F.col("url").alias(url_col), "host", F.coalesce(F.array_join(F.transform(own, lambda b: b.text), "\n"), F.lit("")).alias("text"))
+    def kept(nodes: str):
+        return F.array_join(F.transform(F.filter("blocks", lambda b: F.array_contains(nodes, b.node)), lambda b: b.text), "\n")
+
+    text = F.coalesce(F.nullif(kept("keep"), F.lit("")), kept("spare"), F.lit(""))
+    return read_rows.join(keep, ["host", "skeleton"], "left").select(F.col("id").alias(id_col), F.col("url").alias(url_col), "host", text.alias("text"))
