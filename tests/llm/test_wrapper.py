@@ -95,3 +95,14 @@ def test_what_only_copies_share_is_no_template(frame):
     for i in range(5):
         assert by[200 + i] == "Same\nCopied text"
         assert by[300 + i] == "Same\nCopied text that is much longer than the box"
+
+
+def test_names_bar_no_content(frame):
+    article = "<article><div class=article-header><h1>Head {0}</h1></div><p>Text of page {0}</p></article>"
+    wrappers = ['<div class="content has-sidebar">', "<div id=page class=no-sidebar>", "<div role=navigation>", "<form id=all>", "<div class=sidebar-right>", "<div class='post sidebar'>"]
+    rest = ["<div class='comment-list'><article class=comment>Nice {0}</article></div>", "<div class=cookie-banner>Take {0}</div>", "<ul class=main-nav><li>Go {0}</ul>", "<div id=sidebar>Side {0}</div>"]
+    pages = [(10 * k + i, f"http://w{k}.example.net/{i}", f"<body>{w}{article.format(i)}</div>{''.join(rest).format(i)}</body>") for k, w in enumerate(wrappers) for i in range(4)]
+    pages += [(100 + i, f"http://bare.example.net/{i}", f"<body><div class=sidebar><h1>Head {i}</h1><p>Text of page {i}</p></div><div class=ad>Buy {i}</div></body>") for i in range(4)]
+    pages += [(200 + i, f"http://all.example.net/{i}", f"<body><div class=comments><h1>Head {i}</h1><p>Text of page {i}</p></div></body>") for i in range(4)]
+    for (k, _), v in texts(frame, pages).items():
+        assert v == f"Head {k % 10}\nText of page {k % 10}", k

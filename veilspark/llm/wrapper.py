@@ -13,7 +13,8 @@ share it. Per host:
 3. template nodes whose text is the same on all pages that have them, these being all pages of
    their template and with ``MIN_PAGES`` different contents at least, are template; the others are
    slots. The content is the subtree that holds most of the slots' text outside of navigation, headers,
-   footers, asides, forms, adverts, notices and comments (told by element, class, id and role);
+   footers, asides, forms, adverts, notices and comments (told by element and by the names in class,
+   id and role, see ``bar``);
 4. each skeleton is aligned with its host's template, which tells its constant nodes and the host's
    usual content subtree; a skeleton with less than half of its text there (another template on
    the same host, or unrelated pages of the empty host) gets a content subtree of its own. Pages
@@ -31,6 +32,7 @@ from __future__ import annotations
 import html as entities
 import json
 import re
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
@@ -66,6 +68,18 @@ BOILERPLATE_WORDS = set(
     "footer header masthead notice notices alert popup modal newsletter subscribe subscription signup login share "
     "social related recommended widget toolbar pagination pager hidden".split())
 CONTENT_WORDS = set("article main post entry content story".split())
+#: First words that make a compound name tell of a state of the page, as in ``has-sidebar``.
+STATES = set("has have no not with without hide show use enable disable".split())
+#: Last words of a compound name that do not change what it names, as in ``comment-list``.
+NEUTRAL = CONTENT_WORDS | set(
+    "list lists item items box boxes bar area section block wrap wrapper container inner outer link links button buttons "
+    "top bottom left right primary secondary body text unit slot group panel row col column form icons".split())
+#: Names that are never those of an element around the whole page.
+PARTS_OF_PAGES = set(
+    "ad ads advert advertisement advertising sponsor sponsored comment comments reply replies disqus related recommended "
+    "breadcrumb breadcrumbs pagination pager".split())
+#: Elements that may stand around the whole page.
+AROUND = set("form fieldset menu dialog".split())
 
 
 class Node:
@@ -76,13 +90,13 @@ class Node:
 
 
 def label_of(tag: str, rest: str) -> str:
-    """Element with the words of its class, id and role, without digits."""
+    """Element with the names of its class, id and role, their words joined by ``-`` without digits."""
     words = set()
     if rest and not rest.isspace():
         for name, value in ATTRIBUTE.findall(rest):
             name, value = name.lower(), value.strip("\"'").lower()
             if name in ("class", "id", "role"):
-                words.update(w for w in re.split(r"[^a-z]+", value) if w)
+                words.update(w for w in ("-".join(re.findall("[a-z]+", x)) for x in value.split()) if w)
             elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
                 words.add("hidden")
     return ".".join([tag, *sorted(words)])
@@ -168,22 +182,68 @@ def read_page(source: str) -> tuple[list[Node], list[tuple[int, str]]]:
     return nodes, [(n.number, words) for n, words in blocks]
 
 
-def bar(shape: list[tuple[str, list[int]]]) -> list[bool]:
-    """Per node (label, children's numbers; parents first): whether it is named as boilerplate, or inside such a node."""
-    barred, inside = [False] * len(shape), [False] * len(shape)
-    for i, (label, kids) in enumerate(shape):
-        tag, *words = label.split(".")
+@lru_cache(maxsize=100_000)
+def naming(label: str) -> tuple[str, frozenset[str], bool]:
+    """Tag of a label, the boilerplate words that its names end in, and whether a name is one of content."""
+    tag, *names = label.split(".")
+    found, content = set(), False
+    for name in names:
+        words = name.split("-")
+        while len(words) > 1 and words[-1] in NEUTRAL and BOILERPLATE_WORDS & set(words[:-1]):
+            words.pop()
+        last = words[-1]
+        if last not in BOILERPLATE_WORDS or words[0] in STATES:
+            content = content or bool(CONTENT_WORDS & set(words))
+        elif last not in ("header", "footer", "banner", "masthead") or not CONTENT_WORDS & set(words):
+            found.add(last)
+    return tag, frozenset(found), content
+
+
+def bar(shape: list[tuple[str, list[int], int, int]]) -> list[bool]:
+    """Per node (label, children's numbers, characters, those in links; parents first): whether it is boilerplate.
+
+    That is an element or a name of boilerplate, with all inside. A name does not count beside one of
+    content, nor where the element holds ``main``, all articles or, without any, most of the text; nor
+    does any if no text were left.
+    """
+    size = len(shape)
+    names = [naming(label) for label, *_ in shape]
+    fixed, inside = [False] * size, [False] * size
+    for i, (_, kids, *_) in enumerate(shape):
+        tag = names[i][0]
         inside[i] = inside[i] or tag in ("article", "main")
-        boiler = tag in BOILERPLATE or tag == "header" and not inside[i] or bool(BOILERPLATE_WORDS & set(words)) and tag not in ("html", "body", "main")
-        barred[i] = barred[i] or boiler and not (tag == "article" and not {"comment", "ad", "related"} & set(words))
+        fixed[i] = fixed[i] or tag in BOILERPLATE and tag not in AROUND or tag == "header" and not inside[i]
+        for k in kids:
+            fixed[k], inside[k] = fixed[i], inside[i]
+    mains, articles, sums = [0] * size, [0] * size, [0] * size
+    for i in reversed(range(size)):
+        (_, kids, chars, links), (tag, words, _) = shape[i], names[i]
+        if not fixed[i]:
+            mains[i] = (tag == "main") + sum(mains[k] for k in kids)
+            articles[i] = (tag == "main" or tag == "article" and not words & PARTS_OF_PAGES) + sum(articles[k] for k in kids)
+            sums[i] = max(0, chars - 2 * links) + sum(sums[k] for k in kids)
+    barred = list(fixed)
+    for i, (_, kids, *_) in enumerate(shape):
+        tag, words, content = names[i]
+        if tag == "article":
+            words = words & {"comment", "comments", "ad", "ads", "related"}
+        elif tag in ("html", "body", "main") or content:
+            words = frozenset()
+        elif words == {"header"} and inside[i]:
+            words = frozenset()
+        if words or tag in AROUND:
+            holds = mains[i] or 0 < articles[i] == articles[0] or not articles[0] and 2 * sums[i] > sums[0]
+            barred[i] = barred[i] or not holds or bool(words & PARTS_OF_PAGES) and not mains[i]
         for k in kids:
-            barred[k], inside[k] = barred[i], inside[i]
+            barred[k] = barred[k] or barred[i]
+    if not any(chars and not out for (_, _, chars, _), out in zip(shape, barred)):
+        return fixed
     return barred
 
 
 def set_barred(nodes: list[dict]) -> None:
     place = {id(x): i for i, x in enumerate(nodes)}
-    for x, barred in zip(nodes, bar([(x["label"], [place[id(k)] for k in x["kids"]]) for x in nodes])):
+    for x, barred in zip(nodes, bar([(x["label"], [place[id(k)] for k in x["kids"]], x["chars"], x["links"]) for x in nodes])):
         x["barred"] = barred
 
 
@@ -206,12 +266,10 @@ def summarise(pages: DataFrame) -> DataFrame:
 
     def run(batches):
         held: dict[tuple[str, str], list] = {}
-        barred: dict[tuple[str, str], list[bool]] = {}
 
         def rows():
             out = [(h, s, k, n, *v, None if k else contents) for (h, s), (n, values, contents) in held.items() for k, v in enumerate(values)]
             held.clear()
-            barred.clear()
             columns = list(zip(*out)) if out else [[]] * len(names)
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
 
@@ -219,9 +277,8 @@ def summarise(pages: DataFrame) -> DataFrame:
             for host, source in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
                 nodes, _ = read_page(source or "")
                 key = (host, skeleton(nodes))
-                if key not in barred:
-                    barred[key] = bar([(x.label, [k.number for k in x.kids]) for x in nodes])
-                content = _signed("\n".join(t for x, out in zip(nodes, barred[key]) if not out for t in x.texts))
+                barred = bar([(x.label, [k.number for k in x.kids], x.chars, x.links) for x in nodes])
+                content = _signed("\n".join(t for x, out in zip(nodes, barred) if not out for t in x.texts))
                 seen = [(_signed("\n".join(x.texts)), x.chars, x.links) for x in nodes]
                 if key not in held:
                     held[key] = [1, [[h, h, c, k] for h, c, k in seen], [content]]
@@ -320,7 +377,7 @@ def choose(nodes: list[dict], offered: dict | None = None) -> dict:
         return node["mass"]
 
     total = mass(nodes[0])
-    named = [x for x in nodes if not x["barred"] and (x["label"].split(".")[0] in ("article", "main") or CONTENT_WORDS & set(x["label"].split(".")[1:]))]
+    named = [x for x in nodes if not x["barred"] and (naming(x["label"])[0] in ("article", "main") or naming(x["label"])[2])]
     top = next((x for x in ([offered] if offered else []) + named if 2 * x["mass"] >= total and x["mass"]), None)
     if top is None:
         top = nodes[0]
