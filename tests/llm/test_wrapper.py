@@ -106,3 +106,10 @@ def test_names_bar_no_content(frame):
     pages += [(200 + i, f"http://all.example.net/{i}", f"<body><div class=comments><h1>Head {i}</h1><p>Text of page {i}</p></div></body>") for i in range(4)]
     for (k, _), v in texts(frame, pages).items():
         assert v == f"Head {k % 10}\nText of page {k % 10}", k
+
+
+def test_elements_below_the_depth_limit_end_where_they_end(frame):
+    deep = "<div>" * 150 + "<p>Deep {0}</p><nav><div>Menu {0}</div></nav><div class=comments><p>Nice {0}</p></div><p>Deeper {0}</p>" + "</div>" * 150
+    pages = [(i, f"http://deep.example.net/{i}", f"<body><div><article><h1>T{i}</h1>{deep.format(i)}<p>After {i}</p></article></div><div>Around {i}</div></body>") for i in range(4)]
+    for (i, _), v in texts(frame, pages).items():
+        assert v == f"T{i}\nDeep {i}\nDeeper {i}\nAfter {i}"

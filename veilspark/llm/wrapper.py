@@ -24,7 +24,7 @@ Defined cases: null html is an empty page with empty text; a null url or one wit
 the empty host; copies of a content count once, and a host with fewer than ``MIN_PAGES`` different
 contents has no constant nodes (nothing to compare); a page without text but constant text keeps
 that; repeated rows and ids give one row each; elements nested deeper
-than ``MAX_DEPTH`` count as part of the element there; extra columns are ignored.
+than ``MAX_DEPTH`` count as part of the element there, or of the boilerplate they are in; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -108,6 +108,10 @@ def read_page(source: str) -> tuple[list[Node], list[tuple[int, str]]]:
     stack, blocks = [(root, "")], []
     text: list[str] = []
     linked, in_link = 0, False
+    opened: dict[str, int] = {}
+
+    def named(label: str) -> bool:
+        return naming(label)[0] in BOILERPLATE or bool(naming(label)[1])
 
     def close_block() -> None:
         nonlocal linked
@@ -123,6 +127,8 @@ def read_page(source: str) -> tuple[list[Node], list[tuple[int, str]]]:
 
     def pop_to(k: int) -> None:
         close_block()
+        for _, tag in stack[k:]:
+            opened[tag] -= 1
         del stack[k:]
 
     at = 0
@@ -145,6 +151,10 @@ def read_page(source: str) -> tuple[list[Node], list[tuple[int, str]]]:
                 text.append(" ")
             continue
         if m["end"] or m["end2"]:
+            if not opened.get(tag):
+                if tag in FLOW and any(map(opened.get, BOXES)):
+                    close_block()
+                continue
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][1] == tag:
                     pop_to(k)
@@ -155,15 +165,23 @@ def read_page(source: str) -> tuple[list[Node], list[tuple[int, str]]]:
             continue
         close_block()
         if stack[-1][1] == "p":
-            stack.pop()
+            pop_to(len(stack) - 1)
         for k in range(len(stack) - 1, 0, -1):
-            if stack[k][1] in ENDS.get(tag, ()):
+            if not any(map(opened.get, ENDS.get(tag, ()))):
+                break
+            if stack[k][1] in ENDS[tag]:
                 pop_to(k)
             elif stack[k][1] in BOXES or stack[k][1] in ("ul", "ol", "dl", "table"):
                 break
-        if tag in VOID or len(stack) > MAX_DEPTH:
+        if tag in VOID:
+            continue
+        label, parent = label_of(tag, m["rest"] or m["rest2"]), stack[-1][0]
+        if len(stack) > MAX_DEPTH and (named(parent.label) or not named(label)):
+            # no node of its own, but its end tag has to find it
+            stack.append((parent, tag))
+            opened[tag] = opened.get(tag, 0) + 1
             continue
-        label, kids = label_of(tag, m["rest"] or m["rest2"]), stack[-1][0].kids
+        kids = parent.kids
         if tag in FLOW:
             node = next((x for x in kids if x.label == label), None)
         else:
@@ -171,6 +189,7 @@ def read_page(source: str) -> tuple[list[Node], list[tuple[int, str]]]:
         if node is None:
             kids.append(node := Node(label))
         stack.append((node, tag))
+        opened[tag] = opened.get(tag, 0) + 1
     text.append(source[at:])
     close_block()
     nodes, todo = [], [root]
