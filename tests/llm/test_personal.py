@@ -84,3 +84,14 @@ def test_empty_table(frame):
 def test_plan_has_no_python(frame):
     found = P.find_personal(frame(PLAIN[:50], "doc_id bigint, text string"))
     assert not re.search("Python|Pandas|Arrow", found._jdf.queryExecution().executedPlan().toString().replace("ExistingRDD", ""))
+
+
+def test_a_rare_kind_is_judged_by_its_own_spans(frame, monkeypatch):
+    monkeypatch.setattr(P, "TRAIN_DOCS", 40)
+    monkeypatch.setattr(P, "TRAIN_ROWS", 800)
+    many = [(i, f"write to {mail()} soon") for i in range(1500)] + [(3000 + i, f"my card {card()} and tel {phone()} here") for i in range(6)]
+    got = P.find_personal(frame(many + GLUED, "doc_id bigint, text string")).collect()
+    for r in got:
+        if 2000 <= r["row"]["doc_id"] < 3000:
+            t = r["row"]["text"]
+            assert [(t[x["s"] : x["e"]], x["kind"]) for x in r["spans"]] == [(t[5:22], 3), (t[23:39], 2)]

@@ -6,11 +6,12 @@ base match that failed (a phone number with a card number after it). Boosted tre
 candidate from its format (digits, groups, checksum, neighbours) and its context (cue words before
 it); a candidate above its kind's threshold that overlaps no span taken before it is added.
 
-The trees are fitted on the driver from a bounded sample: candidates of the ``TRAIN_DOCS`` documents
-with the smallest hashes, ``TRAIN_ROWS`` rows at most. Base spans are the positive rows; the same
-spans made wrong (checksum broken, part too large, digits cut, glued to a word) the negative ones.
-Part of the rows is held back to set the thresholds: the lowest with ``PRECISION``. The trees are
-then written out as one SQL expression, so scoring runs inside Spark's own functions.
+The trees are fitted on the driver from a bounded sample per kind: base spans of the ``TRAIN_DOCS``
+texts with the smallest hashes among those that have the kind, ``TRAIN_ROWS`` rows at most for all
+kinds. Base spans are the positive rows; the same spans made wrong (checksum broken, part too large,
+digits cut, glued to a word) the negative ones. The thresholds, the lowest with ``PRECISION``, come
+from the spans of all documents. The trees are written out as one SQL expression, so scoring runs
+inside Spark's own functions.
 
 The patterns are stated so that Java's matcher neither recurses nor rescans: a repeated group
 becomes a class over a copy of the text in which doubled separators are masked (same length).
@@ -26,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.functions.spans import gated_spans
+from veilspark.llm.common import cut
 
 KINDS = ["email", "ip", "card", "phone"]
 TRAIN_DOCS = 2000
@@ -33,6 +35,8 @@ TRAIN_ROWS = 20_000
 PRECISION = 0.995
 TREES = 24
 DEPTH = 3
+#: Bins of the margin per unit.
+BINS = 256
 RATE = 0.3
 
 _LOCAL = r"[A-Za-z0-9._%+\u0001-]"
@@ -120,29 +124,36 @@ def features(kind: Column, value: Column, before: Column, after: Column) -> Colu
     return F.array(*[n.cast("int") for n in numbers])
 
 
-def training_rows(docs: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Features, labels (1 base span, 0 base span made wrong) and whether a row is held back."""
-    some = F.col(text_col).rlike(r"@|\+[0-9]|[0-9]\.[0-9]+\.[0-9]|[0-9]{12}")
-    hashed = docs.filter(some).withColumn("_h", F.xxhash64(text_col))
-    last = hashed.select("_h").distinct().orderBy("_h").limit(TRAIN_DOCS).agg(F.max("_h")).first()[0]
-    if last is None:
-        return np.zeros((0, len(FEATURES))), np.zeros(0), np.zeros(0, bool)
-    sample = with_candidates(with_base(hashed.filter(F.col("_h") <= last).dropDuplicates(["_h"]).select("_h", text_col), text_col))
-    spans = sample.select(F.col("row._h").alias("h"), "t", F.inline("cands")).filter("base")
-    context = [F.expr("lower(substring(t, greatest(s - 30, 0) + 1, least(s, 30)))"), F.expr("substring(t, e + 1, 1)")]
-    v, kind = F.col("v"), F.col("kind")
-    digits = F.regexp_replace(v, "[^0-9]", "")
+def base_spans(docs: DataFrame, text_col: str) -> DataFrame:
+    """h (hash of the text), s, kind, v, before, after: the base spans of all different texts, written once."""
+    rows = with_base(docs.filter(F.col(text_col).isNotNull()).select(text_col), text_col).filter(F.size("base") > 0)
+    spans = rows.select(F.xxhash64("t").alias("h"), "t", F.inline("base"))
+    context = [F.expr("lower(substring(t, greatest(s - 30, 0) + 1, least(s, 30)))").alias("before"), F.expr("substring(t, e + 1, 1)").alias("after")]
+    return cut(spans.select("h", "s", "kind", F.expr("substring(t, s + 1, e - s)").alias("v"), *context).distinct())
+
+
+def judged_rows(spans: DataFrame) -> DataFrame:
+    """h, s, kind, y (1 base span, 0 base span made wrong), f and whether the row is held back."""
+    v, kind, context = F.col("v"), F.col("kind"), [F.col("before"), F.col("after")]
     turned = F.concat(F.expr("substring(v, 1, length(v) - 1)"), ((F.expr("right(v, 1)").cast("int") + 1) % 10).cast("string"))
     wrong = F.when(kind == 1, F.regexp_replace(v, "^[0-9]+", "777")).when(kind == 2, turned).when(kind == 3, F.expr("substring(v, 1, 7)"))
     glued = F.when((kind == 2) | (kind == 1) | (kind == 3), v)
-    rows = spans.select("h", "s", F.explode(F.array(
+    return spans.select("h", "s", "kind", (F.pmod(F.xxhash64("h", "s"), F.lit(10)) < 3).alias("held"), F.explode(F.array(
         F.struct(F.lit(1).alias("y"), features(kind, v, *context).alias("f")),
         F.struct(F.lit(0).alias("y"), F.when(wrong.isNotNull(), features(kind, F.coalesce(wrong, v), *context)).alias("f")),
         F.struct(F.lit(0).alias("y"), F.when(glued.isNotNull(), features(kind, v, F.lit("a"), F.lit("a"))).alias("f")),
-    )).alias("r")).filter("r.f is not null")
-    got = rows.select("r.y", "r.f", F.pmod(F.xxhash64("h", "s"), F.lit(10)).alias("part")).orderBy(F.xxhash64("h", "s"), "y", "f").limit(TRAIN_ROWS).collect()
-    x = np.array([r["f"] for r in got], float).reshape(-1, len(FEATURES))
-    return x, np.array([r["y"] for r in got], float), np.array([r["part"] < 3 for r in got], bool)
+    )).alias("r")).select("h", "s", "kind", "held", "r.y", "r.f").filter("f is not null")
+
+
+def training_rows(spans: DataFrame) -> tuple[np.ndarray, np.ndarray, list[int | None]]:
+    """Features and labels of rows not held back, and per kind the last hash of its sample (None: no such span)."""
+    lasts = [spans.filter(F.col("kind") == k).select("h").distinct().orderBy("h").limit(TRAIN_DOCS).agg(F.max("h")).first()[0] for k in range(len(KINDS))]
+    got = []
+    for k, last in enumerate(lasts):
+        if last is not None:
+            rows = judged_rows(spans.filter((F.col("kind") == k) & (F.col("h") <= last))).filter("not held")
+            got += rows.orderBy(F.xxhash64("h", "s"), "y", "f").limit(TRAIN_ROWS // len(KINDS)).select("y", "f").collect()
+    return np.array([r["f"] for r in got], float).reshape(-1, len(FEATURES)), np.array([r["y"] for r in got], float), lasts
 
 
 def _grow(x: np.ndarray, grad: np.ndarray, hess: np.ndarray, depth: int):
@@ -173,25 +184,44 @@ def _predict(tree, x: np.ndarray) -> np.ndarray:
     return np.where(x[:, k] < split, _predict(a, x), _predict(b, x))
 
 
-def fit(x: np.ndarray, y: np.ndarray, held: np.ndarray) -> tuple[list, list[float | None]]:
-    """Boosted trees for the logistic loss, and per kind the margin from which PRECISION holds (None: no row of the kind)."""
+def fit(x: np.ndarray, y: np.ndarray) -> list:
+    """Boosted trees for the logistic loss."""
     trees, margin = [], np.zeros(len(x))
-    learn = ~held
-    for _ in range(TREES if learn.any() else 0):
+    for _ in range(TREES if len(x) else 0):
         p = 1 / (1 + np.exp(-margin))
-        tree = _grow(x[learn], (y - p)[learn], (p * (1 - p))[learn], DEPTH)
+        tree = _grow(x, y - p, p * (1 - p), DEPTH)
         trees.append(tree)
         margin += _predict(tree, x)
+    return trees
+
+
+def limits_of(spans: DataFrame, trees: list, lasts: list[int | None]) -> list[float | None]:
+    """Per kind the margin from which PRECISION holds over the base spans of all documents (None: no span of the kind).
+
+    Margins are counted in bins. Rows that the trees may have learnt from count only for a kind with
+    too few others to tell PRECISION.
+    """
+    learnt = F.expr("not held and h <= CASE kind " + " ".join(f"WHEN {k} THEN {v}L" if v > -(1 << 63) else f"WHEN {k} THEN h" for k, v in enumerate(lasts) if v is not None) + " END")
+    bins = judged_rows(spans).withColumn("x", F.struct("f")).select("kind", "y", learnt.alias("learnt"), F.floor(F.expr(f"({margin_of(trees)}) * {BINS}")).alias("bin"))
+    counts = bins.groupBy("kind", "learnt", "bin").agg(F.sum("y").alias("good"), F.count("*").alias("all")).collect()
     limits: list[float | None] = []
     for kind in range(len(KINDS)):
-        of = held & (x[:, 0] == kind)
-        m, truth = margin[of], y[of]
-        levels = np.unique(m)
-        good = [k for k, c in enumerate(levels) if truth[m >= c].mean() >= PRECISION]
-        # half way to the next lower margin seen, so that rounding can't part equal rows
-        below = levels[good[0] - 1] if good and good[0] else -1.0
-        limits.append(max(0.0, float(levels[good[0]] + below) / 2) if good else None)
-    return trees, limits
+        of = [r for r in counts if r["kind"] == kind]
+        fresh = [r for r in of if not r["learnt"]]
+        if sum(r["good"] for r in fresh) * (1 - PRECISION) >= 1:
+            of = fresh
+        levels = sorted({r["bin"] for r in of}, reverse=True)
+        good = total = 0
+        lowest = None
+        for k, level in enumerate(levels):
+            good += sum(r["good"] for r in of if r["bin"] == level)
+            total += sum(r["all"] for r in of if r["bin"] == level)
+            if good >= PRECISION * total:
+                lowest = k
+        # half way to the next lower bin seen
+        below = -1.0 if lowest is None or lowest + 1 == len(levels) else (levels[lowest + 1] + 1) / BINS
+        limits.append(None if lowest is None else max(0.0, (levels[lowest] / BINS + below) / 2))
+    return limits
 
 
 def _sql(tree) -> str:
@@ -201,11 +231,18 @@ def _sql(tree) -> str:
     return f"CASE WHEN x.f[{k}] < {split:.6f}D THEN {_sql(a)} ELSE {_sql(b)} END"
 
 
+def margin_of(trees: list) -> str:
+    return " + ".join(map(_sql, trees)) or "0D"
+
+
 def find_personal(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """row (all columns of ``docs``), t (its text), base and spans: arrays of (s, kind, e) in order."""
-    trees, limits = fit(*training_rows(docs.select(text_col), text_col))
+    known = base_spans(docs, text_col)
+    x, y, lasts = training_rows(known)
+    trees = fit(x, y)
+    limits = limits_of(known, trees, lasts) if any(v is not None for v in lasts) else [None] * len(KINDS)
     rows = with_candidates(with_base(docs, text_col))
-    margin = " + ".join(map(_sql, trees)) or "0D"
+    margin = margin_of(trees)
     limit = "CASE x.kind " + " ".join(f"WHEN {k} THEN {m:.9f}D" for k, m in enumerate(limits) if m is not None) + " END"
     if all(m is None for m in limits):
         limit = "cast(null as double)"
