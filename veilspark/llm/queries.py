@@ -15,6 +15,7 @@ from veilspark.llm.wrapper import main_text
 from veilspark.llm import urlfilter
 from veilspark.llm import quality
 from veilspark.llm import langid
+from veilspark.llm import merkle, negatives, tokenfile
 from veilspark.llm.simhash import near_duplicates
 from veilspark.llm.packing import pack
 from veilspark.llm.sharding import shard_rows
@@ -75,6 +76,22 @@ def op6_merged_bwt_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
 
 
+def op11_repair_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return tokenfile.encode_corpus(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op12_kronecker_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, label)
+
+
+def op13_cogrouped_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = merkle.manifest(table(spark, sf_dir, "documents"), claimed=merkle.tampered())
+    return found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_feistel_shards": op4_feistel_shards,
@@ -87,6 +104,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_wrapper_main_text": op2_wrapper_main_text,
         "op9_boosted_personal_data": op9_boosted_personal_data,
         "op6_merged_bwt_repeats": op6_merged_bwt_repeats,
+        "op11_repair_token_files": op11_repair_token_files,
+        "op12_kronecker_hard_negatives": op12_kronecker_hard_negatives,
+        "op13_cogrouped_merkle": op13_cogrouped_merkle,
     }
 
 
@@ -94,4 +114,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op5_bloom_cascade_urls": urlfilter.oracle_sql(),
         "op10_prefix_decontamination": D.oracle_sql(),
+        "op12_kronecker_hard_negatives": negatives.oracle_sql(),
+        "op13_cogrouped_merkle": merkle.oracle_sql(),
     }
