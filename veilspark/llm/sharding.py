@@ -27,6 +27,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veilspark.llm.common import cut
+
 BUCKETS = 4096
 ROUNDS = 6
 
@@ -71,18 +73,23 @@ def permute_once(df: DataFrame, col: str, n: int, key: int) -> DataFrame:
 
 
 def longest_walk(spark, n: int, key: int) -> int:
-    """Steps after which every walk that starts below ``n`` is below ``n`` again."""
+    """Steps after which every walk that starts below ``n`` is below ``n`` again (none for no rows).
+
+    The positions outside are written after each step, so that the plan of a step never holds the steps before.
+    """
+    if not n:
+        return 0
     a, b = _radix(n)
     outside = spark.range(n, a * b).select(F.col("id").alias("x"))
     steps = 1
     while not outside.isEmpty():
-        outside = permute_once(outside, "x", n, key).filter(F.col("x") >= n)
+        outside = cut(permute_once(outside, "x", n, key)).filter(F.col("x") >= n)
         steps += 1
     return steps
 
 
 def permute(df: DataFrame, col: str, n: int, key: int) -> DataFrame:
-    """The keyed permutation of 0..n-1 applied to ``col``."""
+    """The keyed permutation of 0..n-1 applied to ``col``; a table without rows comes back as it is."""
     for step in range(longest_walk(df.sparkSession, n, key)):
         if step == 0:
             df = permute_once(df, col, n, key)
