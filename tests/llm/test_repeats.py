@@ -39,9 +39,10 @@ def brute(docs, n=R.LENGTH):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("hot", [R.HOT_BYTES, 1500])
-def test_equals_brute_force(frame, monkeypatch, hot):
-    monkeypatch.setattr(R, "HOT_BYTES", hot)
+@pytest.mark.parametrize("group, bits", [(R.GROUP_BYTES, 1 << 26), (1500, 1 << 26), (500, 16)])
+def test_equals_brute_force(frame, monkeypatch, group, bits):
+    monkeypatch.setattr(R, "GROUP_BYTES", group)  # small: groups are split level by level
+    monkeypatch.setattr(R.decontaminate, "FILTER_BITS", bits)  # small: semi-joins in place of bit tables
     got = R.remove_repeats(frame(DOCS, "doc_id bigint, text string"), keep_text=True)
     got = got.select("doc_id", "n_bytes", "n_removed", F.size("spans").alias("n"), "kept_sha256", "kept").collect()
     assert sorted(((*r[:5], bytes(r[5])) for r in got), key=repr) == brute(DOCS)
@@ -64,6 +65,40 @@ def test_merged_transforms_find_all_repeats():
         assert got == want
 
 
+def test_interleave_gives_order_and_common_prefixes():
+    for t in range(150):
+        depth = RNG.choice([1, 3, 8, 20])
+        shards = [[bytes(RNG.choices(b"ab" if t % 2 else b"a", k=RNG.randint(1, 30))) for _ in range(RNG.randint(1, 4))] for _ in range(RNG.randint(1, 4))]
+        built = [R.transform(s) for s in shards]
+        order, prefix = R.interleave([b for b, _ in built], depth)
+        suffixes = []
+        for (_, place), parts in zip(built, shards):
+            ends = [sum(map(len, parts[: k + 1])) for k in range(len(parts))]
+            text = b"".join(parts)
+            # the end marks come first, one per part
+            suffixes += [b""] * len(parts) + [text[p : min(e for e in ends if e > p)] for p in place[len(parts) :].tolist()]
+        merged = [suffixes[i] for i in order.tolist()]
+        assert sorted(order.tolist()) == list(range(len(suffixes)))
+        assert [m[:depth] for m in merged] == sorted(m[:depth] for m in merged)
+        for a, b, k in zip(merged, merged[1:], prefix[1:].tolist()):
+            same = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+            assert k == min(same, depth)
+
+
+def test_pieces_of_a_group_share_bytes_and_keep_equal_windows_together():
+    common = noise(60)
+    texts = [noise(RNG.randint(0, 380)) + common + noise(RNG.randint(0, 380)) for _ in range(6)]
+    texts += [t + noise(20) for t in texts]
+    for t in texts:
+        for anchor, held, _, start, _ in R.segments(t.encode()):
+            data = t.encode()[start : start + held + R.LENGTH - 1]
+            for stretch in (185, 47, 2, 1):
+                got = R.split_piece(data, held, anchor, stretch)
+                assert [(f, f + n) for _, f, n in got] == list(zip([f for _, f, _ in got], [f for _, f, _ in got][1:] + [held]))
+                if stretch == 1:
+                    assert all(n == 1 for _, _, n in got)
+
+
 def test_transform_can_be_undone():
     parts = [b"banana", b"ananas", b"\x00\xff"]
     bwt, place = R.transform(parts)

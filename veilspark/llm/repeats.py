@@ -9,20 +9,21 @@ that length are called windows here.
    occurs twice is repeated as a whole, and one whose anchor occurs once is not repeated at all
    (unless the anchor occurs twice within it). What is left, one copy of each different segment of
    a shared anchor, goes on; nothing is dropped that could match.
-   Repeated anchors are looked up in a bit table of bounded size; one that isn't repeated and passes
-   costs room, nothing else.
+   Repeated anchors are looked up in a bit table while that fits its bound (one that isn't repeated and
+   passes costs room, nothing else), and by a semi-join beyond it.
 2. Merging. Segments are dealt by anchor into buckets of about ``BUCKET_BYTES``. In a bucket they are split
    into shards of ``SHARD_BYTES``; each shard's suffixes are sorted and kept as its Burrows-Wheeler
-   transform (one end mark per segment). The shards' transforms are merged by refining their
-   interleave: rows start in blocks by their first byte; the successor function read off the
-   transforms gives the row of the rest, so each pass refines the blocks to twice the depth by the
-   block of the rest. Rows of one shard are in order already, so a pass merges sorted runs and never
-   sorts suffixes again. Where neighbours fall apart their common prefix is known; blocks of two
-   or more rows at depth ``LENGTH`` are the repeated intervals.
-3. Anchors whose different segments exceed ``HOT_BYTES`` don't fit a bucket: their windows are counted
-   by 128-bit hashes in a shuffle instead, which is exact in the same sense and splits any group.
-4. Intervals go back to every place of their segment; each document's are united.
-
+   transform (an end mark of its own per segment). The shards' transforms are merged by refining their
+   interleave: it starts with the rows dealt by first symbol, shard after shard, and each pass refines only the
+   blocks that still hold several rows, to up to twice the depth, by the block of the row that the
+   transforms' successor function leads to. Rows of one shard are in order already, so a block is refined by
+   merging the shards' runs; no suffix is compared or sorted again. Where a pass parts neighbours, their
+   common prefix is the distance jumped plus the least common prefix between the blocks they jumped to.
+   Intervals whose common prefix reaches ``LENGTH`` are the repeated intervals.
+3. An anchor whose different segments exceed ``GROUP_BYTES`` is split by further symbols: windows with the anchor in the
+   same stretch of offsets share the bytes around it that all of them hold, so these bytes are the next anchor.
+   Halving the stretch level by level, a group gets ever more bytes in common, the whole window at last, so
+   every group comes to fit. Pieces that occur twice as a whole are repeated; one of them stays to be compared.
 Defined cases: null text is empty; texts below the length lose nothing; strings never cross
 documents; overlaps within one document count; repeated rows and ids are documents of their own
 (copies repeat each other); an empty table gives an empty result; extra columns are ignored.
@@ -38,6 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veilspark.llm import decontaminate
 from veilspark.llm.common import cut
 from veilspark.llm.decontaminate import _in_table, bit_table
 
@@ -46,7 +48,7 @@ GRAM = 32
 BUCKET_BYTES = 600_000
 SHARD_BYTES = 150_000
 ROWS_AT_ONCE = 500
-HOT_BYTES = 4_000_000
+GROUP_BYTES = 1_000_000
 KEY = ["k1", "k2", "id"]
 SEGMENT = ["anchor", "windows", "content"]
 
@@ -181,20 +183,51 @@ def transform(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return before, joined
 
 
-def refine(shards: list[np.ndarray], depth: int) -> np.ndarray:
-    """Block of every row (shard after shard) when the shards' transforms are merged to ``depth`` symbols."""
-    successors, first, base = [], [], 0
+class Least:
+    """Least value of any stretch of an array."""
+
+    def __init__(self, values: np.ndarray):
+        self.tiers, k = [values], 1
+        while 2 * k <= len(values):
+            self.tiers.append(np.minimum(self.tiers[-1][:-k], self.tiers[-1][k:]))
+            k *= 2
+
+    def between(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Least of ``values[first..last]``, both included."""
+        tier = np.frexp((last - first + 1).astype("f8"))[1] - 1
+        out = np.empty(len(first), self.tiers[0].dtype)
+        for t in np.unique(tier).tolist():
+            at = np.flatnonzero(tier == t)
+            out[at] = np.minimum(self.tiers[t][first[at]], self.tiers[t][last[at] - (1 << t) + 1])
+        return out
+
+
+def interleave(shards: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The merged transforms of some shards: rows in order (numbered shard after shard) and the common
+    prefix of each row with the one before it, as far as ``depth`` symbols (the first row has 0)."""
+    successors, symbols, base = [], [], 0
     for bwt in shards:
-        nxt = np.argsort(bwt, kind="stable")
+        nxt = np.argsort(bwt, kind="stable")  # counting sort of symbols: the successor function read off a transform
         ends = int(np.count_nonzero(bwt == 0))
         nxt[:ends] = np.arange(ends)  # an end mark is followed by nothing: it stays
         successors.append(nxt + base)
-        first.append(np.sort(bwt))
+        symbols.append(bwt[nxt] if ends == 0 else np.concatenate((np.zeros(ends, bwt.dtype), bwt[nxt[ends:]])))
         base += len(bwt)
+    n, first = base, np.concatenate(symbols)
     step = {1: np.concatenate(successors)}
-    block = np.concatenate(first).astype("i8")
-    reached, n = 1, base
-    while reached < depth:
+    order = np.argsort(first, kind="stable")  # dealt by first symbol, shard after shard
+    sorted_first = first[order]
+    prefix = np.full(n, depth, "u2")
+    prefix[np.concatenate(([True], (sorted_first[1:] != sorted_first[:-1]) | (sorted_first[1:] == 0)))] = 0  # end marks are all different
+    new = prefix == 0
+    place = np.empty(n, "i8")  # of a row: the place of its block's first row
+    reached = 1
+    while True:
+        block = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+        place[order] = block
+        more = ~new | np.concatenate((~new[1:], [False]))  # in blocks of several rows
+        if reached >= depth or not more.any():
+            break
         ahead = min(reached, depth - reached)
         jump = step.get(ahead)
         if jump is None:
@@ -202,17 +235,22 @@ def refine(shards: list[np.ndarray], depth: int) -> np.ndarray:
             for bit, s in step.items():
                 if ahead & bit:
                     jump = s[jump]
-        key = block * n + block[jump]
-        order = np.argsort(key, kind="stable")  # merges the shards' sorted runs
-        key = key[order]
-        block = np.empty(n, "i8")
-        block[order] = np.cumsum(np.concatenate(([0], key[1:] != key[:-1])))
+        active = np.flatnonzero(more)
+        rows = order[active]
+        met = place[jump[rows]]
+        by = np.argsort(block[active] * n + met, kind="stable")  # merges the runs of the shards, block by block
+        rows, met = rows[by], met[by]
+        order[active] = rows
+        parted = np.flatnonzero((block[active][1:] == block[active][:-1]) & (met[1:] != met[:-1])) + 1
+        starts = np.flatnonzero(new)
+        which = np.cumsum(new) - 1  # block number of a place
+        least = Least(prefix[starts])
+        prefix[active[parted]] = ahead + least.between(which[met[parted - 1]] + 1, which[met[parted]])
+        new[active[parted]] = True
         reached += ahead
-        if int(block[order[-1]]) == n - 1:
-            break  # all rows differ
         if reached < depth and ahead == reached // 2:
             step[reached] = step[ahead][step[ahead]]
-    return block
+    return order, prefix
 
 
 def repeated_runs(parts: list[bytes], length: int = LENGTH, shard_bytes: int = SHARD_BYTES) -> list[tuple[int, int, int]]:
@@ -227,8 +265,10 @@ def repeated_runs(parts: list[bytes], length: int = LENGTH, shard_bytes: int = S
         at[-1].append(i)
         size += len(p)
     built = [transform(s) for s in shards]
-    block = refine([b for b, _ in built], length)
-    twice = np.bincount(block)[block] > 1
+    order, prefix = interleave([b for b, _ in built], length)
+    alike = prefix >= length
+    twice = np.zeros(len(order), bool)
+    twice[order[alike | np.concatenate((alike[1:], [False]))]] = True
     out, row = [], 0
     for (bwt, place), members, texts in zip(built, at, shards):
         lengths = np.array([len(t) for t in texts])
@@ -247,9 +287,12 @@ def repeated_runs(parts: list[bytes], length: int = LENGTH, shard_bytes: int = S
 
 
 def _listed_in(rows: DataFrame, columns: list[str], listed: DataFrame) -> DataFrame:
-    """Rows whose columns' hash is in the bit table of ``listed``: all that are listed, and few others
-    as long as the table isn't full. Spares the shuffle of a join; later steps drop the others."""
-    table = rows.sparkSession.sparkContext.broadcast(bit_table(listed.select(F.xxhash64(*columns).alias("h")).distinct(), "h"))
+    """Rows whose columns are in ``listed``: by a bit table while that fits its bound, which lets a few others pass
+    that later steps drop, and spares the shuffle of a join; by a semi-join beyond."""
+    hashes = listed.select(F.xxhash64(*columns).alias("h")).distinct()
+    if hashes.count() > decontaminate.FILTER_BITS // 16:
+        return rows.join(listed.select(*columns).distinct(), columns, "left_semi").select(*rows.columns)
+    table = rows.sparkSession.sparkContext.broadcast(bit_table(hashes, "h"))
 
     def run(batches):
         for batch in batches:
@@ -260,65 +303,108 @@ def _listed_in(rows: DataFrame, columns: list[str], listed: DataFrame) -> DataFr
 
 
 # --- the whole -----------------------------------------------------------------------------------
+PIECE = "grp long, anchor long, windows long, content long, first long, held long, bytes binary"
+
+
 def _cut_out(segment_rows: DataFrame) -> DataFrame:
-    """SEGMENT, n, hot, bytes from texts with the list of segments wanted of them."""
+    """PIECE from texts with the list of segments wanted of them: each segment is one piece, its anchor the group."""
 
     def run(batches):
         for batch in _few(batches):
             out = []
             for text, wanted in zip(batch.column("text").to_pylist(), batch.column("wanted").to_pylist()):
                 for w in wanted:
-                    out.append((w["anchor"], w["windows"], w["content"], w["hot"], text[w["start"] : w["start"] + w["windows"] + LENGTH - 1]))
-            columns = list(zip(*out)) if out else [[]] * 5
-            types = [pa.int64()] * 3 + [pa.bool_(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], [*SEGMENT, "hot", "bytes"])
+                    out.append((w["anchor"], w["anchor"], w["windows"], w["content"], 0, w["windows"], text[w["start"] : w["start"] + w["windows"] + LENGTH - 1]))
+            columns = list(zip(*out)) if out else [[]] * 7
+            types = [pa.int64()] * 6 + [pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["grp", *SEGMENT, "first", "held", "bytes"])
 
-    return segment_rows.select("text", "wanted").mapInArrow(run, "anchor long, windows long, content long, hot boolean, bytes binary")
+    return segment_rows.select("text", "wanted").mapInArrow(run, PIECE)
 
 
-def _in_buckets(parts: DataFrame, buckets: int) -> DataFrame:
-    """SEGMENT, first, stop of repeated windows, by merged transforms."""
+def _in_buckets(pieces: DataFrame, buckets: int) -> DataFrame:
+    """SEGMENT, first, stop of repeated windows, by merged transforms of the pieces of each bucket of groups."""
+    order = [*SEGMENT, "first"]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates(SEGMENT).sort_values(SEGMENT, ignore_index=True)
+        pdf = pdf.drop_duplicates(order).sort_values(order, ignore_index=True)
         runs = repeated_runs(list(pdf["bytes"]))
         at = [r[0] for r in runs]
-        return pd.DataFrame({**{c: pdf[c].to_numpy()[at] for c in SEGMENT}, "first": [r[1] for r in runs], "stop": [r[2] for r in runs]})
+        offset = pdf["first"].to_numpy()[at]
+        return pd.DataFrame({**{c: pdf[c].to_numpy()[at] for c in SEGMENT}, "first": offset + [r[1] for r in runs], "stop": offset + [r[2] for r in runs]})
+
+    bucket = F.pmod(F.xxhash64("grp"), F.lit(buckets)).alias("bucket")
+    return pieces.select(bucket, *order, "bytes").groupBy("bucket").applyInPandas(run, "anchor long, windows long, content long, first long, stop long")
 
-    bucket = F.pmod(F.xxhash64("anchor"), F.lit(buckets)).alias("bucket")
-    return parts.select(bucket, *SEGMENT, "bytes").groupBy("bucket").applyInPandas(run, "anchor long, windows long, content long, first long, stop long")
+
+def split_piece(data: bytes, held: int, anchor: int, stretch: int, length: int = LENGTH) -> list[tuple[int, int, int]]:
+    """(group, first, windows): the runs of a piece's windows that have ``anchor`` in the same stretch of offsets, and
+    the hash of the bytes round the anchor that every window with it there holds."""
+    from xxhash import xxh3_64_intdigest
+
+    spots = np.flatnonzero(gram_hashes(np.frombuffer(data, "u1"), GRAM) == np.uint64(anchor & (1 << 64) - 1))
+    windows = np.arange(held)
+    spot = spots[np.searchsorted(spots, windows)]  # the first one in the window
+    part = (spot - windows) // stretch
+    edge = np.flatnonzero(np.concatenate(([True], (spot[1:] != spot[:-1]) | (part[1:] != part[:-1]))))
+    out = []
+    for a, b in zip(edge.tolist(), [*edge[1:].tolist(), held]):
+        i, p = int(part[a]), int(spot[a])
+        common = data[p - i * stretch : p - (i + 1) * stretch + 1 + length]
+        out.append((xxh3_64_intdigest(common, seed=i), a, b - a))
+    return out
 
 
-def _by_hashes(parts: DataFrame, counts: DataFrame) -> DataFrame:
-    """The same for segments of hot anchors, by counting window hashes."""
+def _split(pieces: DataFrame, stretch: int) -> DataFrame:
+    """PIECE and ``own``, the hash of a piece's bytes, with groups that share more bytes."""
 
     def run(batches):
-        for batch in batches:
-            for *key, data in zip(*(batch.column(c).to_pylist() for c in (*SEGMENT, "bytes"))):
-                raw = np.frombuffer(data, "u1")
-                h1, h2 = gram_hashes(raw, LENGTH), gram_hashes(raw, LENGTH, 0xD6E8FEB86659FD93)
-                n = len(h1)
-                yield pa.RecordBatch.from_arrays(
-                    [*(pa.array(np.full(n, k, "i8")) for k in key), pa.array(np.arange(n)), pa.array(h1.view("i8")), pa.array(h2.view("i8"))],
-                    [*SEGMENT, "first", "h1", "h2"])
+        from xxhash import xxh3_64_intdigest
 
-    windows = cut(parts.dropDuplicates(SEGMENT).mapInArrow(run, "anchor long, windows long, content long, first long, h1 long, h2 long"))
-    twice = windows.join(counts, SEGMENT).groupBy("h1", "h2").agg(F.sum("n").alias("times")).filter("times > 1")
-    return windows.join(twice, ["h1", "h2"]).select(*SEGMENT, "first", (F.col("first") + 1).alias("stop"))
+        names = ["grp", *SEGMENT, "first", "held", "bytes", "own"]
+        for batch in _few(batches):
+            out = []
+            for row in batch.to_pylist():
+                for group, first, held in split_piece(row["bytes"], row["held"], row["anchor"], stretch):
+                    data = row["bytes"][first : first + held + LENGTH - 1]
+                    out.append((group, row["anchor"], row["windows"], row["content"], row["first"] + first, held, data, xxh3_64_intdigest(data)))
+            columns = list(zip(*out)) if out else [[]] * 8
+            signed = lambda c: pa.array(np.array(c, "u8").view("i8"))
+            longs = [pa.array(c, pa.int64()) for c in columns[1:6]]
+            yield pa.RecordBatch.from_arrays([signed(columns[0]), *longs, pa.array(columns[6], pa.binary()), signed(columns[7])], names)
+
+    return pieces.mapInArrow(run, PIECE + ", own long")
 
 
 def repeated_marks(cand: DataFrame, counts: DataFrame) -> DataFrame:
     """SEGMENT, first, stop: repeated windows of all different segments."""
-    anchors = counts.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.sum(F.col("windows") + LENGTH - 1).alias("size"))
+    anchors = counts.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"))
     whole = counts.filter("n > 1").select(*SEGMENT, F.lit(0).cast("long").alias("first"), F.col("windows").alias("stop"))
-    needed = cut(counts.join(anchors, "anchor").filter("kinds > 1 or (n = 1 and twice)").withColumn("hot", F.col("size") > HOT_BYTES))
-    total = needed.filter("not hot").agg(F.sum(F.col("windows") + LENGTH - 1)).first()[0] or 0
-    wanted = needed.select("at.*", F.struct(*SEGMENT, F.col("at.start").alias("start"), "hot").alias("w")).groupBy(*KEY).agg(F.collect_list("w").alias("wanted"))
-    parts = cut(_cut_out(cand.join(wanted, KEY)))
-    runs = _in_buckets(parts.filter("not hot"), max(1, -(-total // BUCKET_BYTES)))
-    if not needed.filter("hot").isEmpty():
-        runs = runs.unionByName(_by_hashes(parts.filter("hot"), counts.select(*SEGMENT, "n")))
-    single = runs.join(counts.filter("n = 1").select(*SEGMENT), SEGMENT, "left_semi")
+    needed = cut(counts.join(anchors, "anchor").filter("kinds > 1 or (n = 1 and twice)"))
+    wanted = needed.select("at.*", F.struct(*SEGMENT, F.col("at.start").alias("start")).alias("w")).groupBy(*KEY).agg(F.collect_list("w").alias("wanted"))
+    pieces = cut(_cut_out(cand.join(wanted, KEY)).dropDuplicates(SEGMENT))
+    runs, stretch = [], LENGTH - GRAM + 1
+    while True:
+        sizes = cut(pieces.groupBy("grp").agg(F.sum(F.octet_length("bytes")).alias("size")))
+        large = sizes.filter(F.col("size") > GROUP_BYTES).select("grp") if stretch > 1 else sizes.filter("false").select("grp")
+        total = sizes.agg(F.sum("size")).first()[0] or 0
+        split = not large.isEmpty()
+        fitting = pieces.join(large, "grp", "left_anti") if split else pieces
+        runs.append(_in_buckets(fitting, max(1, -(-total // BUCKET_BYTES))))
+        if not split:
+            break
+        stretch = -(-stretch // 2)
+        finer = cut(_split(pieces.join(large, "grp", "left_semi").select(*pieces.columns), stretch))
+        same = ["grp", "held", "own"]
+        alike = cut(finer.groupBy(*same).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*SEGMENT, "first")).alias("one")))
+        runs.append(finer.join(alike.filter("n > 1").select(*same), same, "left_semi").select(*SEGMENT, "first", (F.col("first") + F.col("held")).alias("stop")))
+        several = alike.groupBy("grp").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("grp")
+        kept = alike.join(several, "grp", "left_semi").select("grp", "one.*")
+        pieces = cut(finer.drop("own").join(kept, ["grp", *SEGMENT, "first"], "left_semi").select(*pieces.columns))
+    found = runs[0]
+    for more in runs[1:]:
+        found = found.unionByName(more)
+    single = found.join(counts.filter("n = 1").select(*SEGMENT), SEGMENT, "left_semi")
     return whole.unionByName(single)
 
 

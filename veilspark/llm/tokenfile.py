@@ -46,14 +46,14 @@ from veilspark.llm.common import shared_folder
 SHARD_TOKENS = 1 << 18
 MIN_USES = 8
 LEAST_GAIN = 0.05
-BLOCK_BYTES = 24 << 20
-CACHE_PIECES = 1_500_000
+BLOCK_BYTES = 6 << 20
+CACHE_PIECES = 300_000
 HEADER = struct.Struct("<4sIQQQ")
 
 
 # --- ids -------------------------------------------------------------------------------------------
 class PieceIds(dict):
-    """Piece of a text (with the blank before it) -> uint32 ids as bytes; emptied when it holds too many.
+    """Piece of a text (with the blank before it) -> uint32 ids as bytes; a cache of two generations.
 
     Texts are parted at single blanks between two other characters, where the pre-tokenizer always
     starts a new pre-token. None marks a piece with white space at an edge: there the blanks are not single.
@@ -74,6 +74,7 @@ class PieceIds(dict):
         rest = [b for b in range(256) if b not in set(plain)]
         self.letters = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
         self.blank = self.letters[32]
+        self.before: dict[str, bytes | None] = {}
         self.ends = {sign: self._model(sign) for sign in ".,;:!?"}
 
     def _model(self, token: str) -> bytes:
@@ -86,8 +87,11 @@ class PieceIds(dict):
 
     def __missing__(self, piece: str) -> bytes | None:
         if len(self) >= CACHE_PIECES:
+            self.before = dict(self)  # the frequent ones come back from there
             self.clear()
-        if piece.isalpha():  # letters are one pre-token
+        if piece in self.before:
+            data = self.before[piece]
+        elif piece.isalpha():  # one pre-token
             letters = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
             data = array("I", [t.id for t in self.model.tokenize(self.blank + letters)]).tobytes()
         elif piece[:-1].isalpha() and (end := self.ends.get(piece[-1])):
