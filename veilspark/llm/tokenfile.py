@@ -46,7 +46,7 @@ from veilspark.llm.common import shared_folder
 SHARD_TOKENS = 1 << 18
 MIN_USES = 8
 LEAST_GAIN = 0.05
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 8 << 20
 CACHE_PIECES = 300_000
 HEADER = struct.Struct("<4sIQQQ")
 
@@ -75,6 +75,7 @@ class PieceIds(dict):
         self.letters = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
         self.blank = self.letters[32]
         self.before: dict[str, bytes | None] = {}
+        self.signs: dict[str, bytes] = {}
         self.ends = {sign: self._model(sign) for sign in ".,;:!?"}
 
     def _model(self, token: str) -> bytes:
@@ -82,8 +83,19 @@ class PieceIds(dict):
             token = token.encode().decode("latin-1").translate(self.letters)
         return array("I", [t.id for t in self.model.tokenize(token)]).tobytes()
 
+    def _token(self, token: str) -> bytes:
+        """Ids of a pre-token: words with a blank are pieces; the others, mostly signs, have a table of their own."""
+        if token[0] == " " and token[1:].isalpha():
+            return self[token[1:]]
+        data = self.signs.get(token)
+        if data is None:
+            if len(self.signs) >= CACHE_PIECES // 4:
+                self.signs.clear()
+            data = self.signs[token] = self._model(token)
+        return data
+
     def text(self, text: str) -> bytes:
-        return b"".join([self._model(t) for t in self.pre_tokens(text)])
+        return b"".join([self._token(t) for t in self.pre_tokens(text)])
 
     def __missing__(self, piece: str) -> bytes | None:
         if len(self) >= CACHE_PIECES:
@@ -129,7 +141,7 @@ def token_ids(texts: pa.Array, known: PieceIds, end_id: int) -> tuple[np.ndarray
     lists = pc.split_pattern(texts, " ")
     offsets = np.asarray(lists.offsets).astype("i8")
     coded = lists.flatten().dictionary_encode()
-    pieces, code = coded.dictionary.to_pylist(), np.asarray(coded.indices).astype("i8")
+    pieces, code = coded.dictionary.to_pylist(), np.asarray(coded.indices).astype("i4")
     data = [known[p] for p in pieces]
     edged = np.array([d is None for d in data], bool)
     owner = np.repeat(np.arange(len(texts)), np.diff(offsets))
@@ -142,23 +154,24 @@ def token_ids(texts: pa.Array, known: PieceIds, end_id: int) -> tuple[np.ndarray
     code[offsets[:-1]] = n + 2 + np.arange(len(own))
     code = np.insert(code, offsets[1:], n + 1)
     data = [d or b"" for d in data] + [b"", np.array([end_id], "<u4").tobytes()] + own
-    size = np.array([len(d) // 4 for d in data], "i8")
-    start = np.cumsum(size) - size
+    # numbers of 32 bits: a block, or a text of its own, has fewer ids
+    size = np.array([len(d) for d in data], "i4") >> 2
+    start = np.cumsum(size, dtype="i4") - size
     each = size[code]
-    at = np.cumsum(each) - each
-    ids = np.frombuffer(b"".join(data), "<u4")[np.repeat(start[code] - at, each) + np.arange(int(each.sum()))]
-    return ids, np.add.reduceat(each, offsets[:-1] + np.arange(len(texts)))
+    at = np.cumsum(each, dtype="i4") - each
+    ids = np.frombuffer(b"".join(data), "<u4")[np.repeat(start[code] - at, each) + np.arange(int(at[-1] + each[-1]), dtype="i4")]
+    return ids, np.add.reduceat(each.astype("i8"), offsets[:-1] + np.arange(len(texts)))
 
 
 # --- grammar ---------------------------------------------------------------------------------------
 def _chosen(seq: np.ndarray, closing: np.ndarray, min_uses: int) -> np.ndarray:
     """Places of pairs to replace, no two overlapping: the locally most frequent ones.
 
-    Frequencies are counted by a 20-bit hash, which only orders the pairs; rules are made by exact counts.
+    Frequencies are counted by an 18-bit hash, which only orders the pairs; rules are made by exact counts.
     """
     mixed = (seq[:-1] * np.uint32(0x9E3779B1)) ^ (seq[1:] * np.uint32(0x85EBCA77))
-    h = (mixed >> np.uint32(12)).astype("i4")
-    c = np.bincount(h, minlength=1 << 20).astype("i4")[h]
+    h = (mixed >> np.uint32(14)).astype("i8")
+    c = np.bincount(h, minlength=1 << 18).astype("i4")[h]
     c[closing[:-1] | (c < min_uses)] = 0
     n = len(c)
     before, after = np.concatenate(([0], c[:-1])), np.concatenate((c[1:], [0]))
