@@ -48,7 +48,7 @@ GRAM = 32
 BUCKET_BYTES = 600_000
 SHARD_BYTES = 150_000
 ROWS_AT_ONCE = 500
-GROUP_BYTES = 1_000_000
+GROUP_BYTES = 2_000_000
 KEY = ["k1", "k2", "id"]
 SEGMENT = ["anchor", "windows", "content"]
 
@@ -307,19 +307,20 @@ PIECE = "grp long, anchor long, windows long, content long, first long, held lon
 
 
 def _cut_out(segment_rows: DataFrame) -> DataFrame:
-    """PIECE from texts with the list of segments wanted of them: each segment is one piece, its anchor the group."""
+    """PIECE and ``hot`` from texts with the list of segments wanted of them: each segment is one piece, its anchor the group."""
 
     def run(batches):
         for batch in _few(batches):
             out = []
             for text, wanted in zip(batch.column("text").to_pylist(), batch.column("wanted").to_pylist()):
                 for w in wanted:
-                    out.append((w["anchor"], w["anchor"], w["windows"], w["content"], 0, w["windows"], text[w["start"] : w["start"] + w["windows"] + LENGTH - 1]))
-            columns = list(zip(*out)) if out else [[]] * 7
-            types = [pa.int64()] * 6 + [pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["grp", *SEGMENT, "first", "held", "bytes"])
+                    data = text[w["start"] : w["start"] + w["windows"] + LENGTH - 1]
+                    out.append((w["anchor"], w["anchor"], w["windows"], w["content"], 0, w["windows"], data, w["hot"]))
+            columns = list(zip(*out)) if out else [[]] * 8
+            types = [pa.int64()] * 6 + [pa.binary(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["grp", *SEGMENT, "first", "held", "bytes", "hot"])
 
-    return segment_rows.select("text", "wanted").mapInArrow(run, PIECE)
+    return segment_rows.select("text", "wanted").mapInArrow(run, PIECE + ", hot boolean")
 
 
 def _in_buckets(pieces: DataFrame, buckets: int) -> DataFrame:
@@ -378,29 +379,30 @@ def _split(pieces: DataFrame, stretch: int) -> DataFrame:
 
 def repeated_marks(cand: DataFrame, counts: DataFrame) -> DataFrame:
     """SEGMENT, first, stop: repeated windows of all different segments."""
-    anchors = counts.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"))
+    size = F.sum(F.col("windows") + LENGTH - 1)
+    anchors = counts.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), size.alias("size"))
     whole = counts.filter("n > 1").select(*SEGMENT, F.lit(0).cast("long").alias("first"), F.col("windows").alias("stop"))
-    needed = cut(counts.join(anchors, "anchor").filter("kinds > 1 or (n = 1 and twice)"))
-    wanted = needed.select("at.*", F.struct(*SEGMENT, F.col("at.start").alias("start")).alias("w")).groupBy(*KEY).agg(F.collect_list("w").alias("wanted"))
-    pieces = cut(_cut_out(cand.join(wanted, KEY)).dropDuplicates(SEGMENT))
-    runs, stretch = [], LENGTH - GRAM + 1
-    while True:
-        sizes = cut(pieces.groupBy("grp").agg(F.sum(F.octet_length("bytes")).alias("size")))
-        large = sizes.filter(F.col("size") > GROUP_BYTES).select("grp") if stretch > 1 else sizes.filter("false").select("grp")
-        total = sizes.agg(F.sum("size")).first()[0] or 0
-        split = not large.isEmpty()
-        fitting = pieces.join(large, "grp", "left_anti") if split else pieces
-        runs.append(_in_buckets(fitting, max(1, -(-total // BUCKET_BYTES))))
-        if not split:
-            break
+    needed = cut(counts.join(anchors, "anchor").filter("kinds > 1 or (n = 1 and twice)").withColumn("hot", F.col("size") > GROUP_BYTES))
+    total = needed.filter("not hot").agg(size).first()[0] or 0
+    one = F.struct(*SEGMENT, F.col("at.start").alias("start"), "hot").alias("w")
+    wanted = needed.select("at.*", one).groupBy(*KEY).agg(F.collect_list("w").alias("wanted"))
+    pieces = cut(_cut_out(cand.join(wanted, KEY)))
+    runs, stretch = [_in_buckets(pieces.filter("not hot"), max(1, -(-total // BUCKET_BYTES)))], LENGTH - GRAM + 1
+    large = None if needed.filter("hot").isEmpty() else pieces.filter("hot").drop("hot")
+    while large is not None:
         stretch = -(-stretch // 2)
-        finer = cut(_split(pieces.join(large, "grp", "left_semi").select(*pieces.columns), stretch))
+        finer = cut(_split(large, stretch).dropDuplicates(["grp", *SEGMENT, "first"]))
         same = ["grp", "held", "own"]
         alike = cut(finer.groupBy(*same).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*SEGMENT, "first")).alias("one")))
         runs.append(finer.join(alike.filter("n > 1").select(*same), same, "left_semi").select(*SEGMENT, "first", (F.col("first") + F.col("held")).alias("stop")))
-        several = alike.groupBy("grp").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("grp")
-        kept = alike.join(several, "grp", "left_semi").select("grp", "one.*")
-        pieces = cut(finer.drop("own").join(kept, ["grp", *SEGMENT, "first"], "left_semi").select(*pieces.columns))
+        # of equal pieces one stays, and groups of a single piece have nothing to compare
+        groups = alike.groupBy("grp").agg(F.count(F.lit(1)).alias("kinds"), F.sum(F.col("held") + LENGTH - 1).alias("size")).filter("kinds > 1")
+        hot = F.col("size") > (GROUP_BYTES if stretch > 1 else 1 << 62)
+        kept = cut(alike.join(groups, "grp").select("grp", "one.*", hot.alias("hot"), (F.col("held") + LENGTH - 1).alias("bytes")))
+        total = kept.filter("not hot").agg(F.sum("bytes")).first()[0] or 0
+        left = cut(finer.drop("own").join(kept.drop("bytes"), ["grp", *SEGMENT, "first"]).select("grp", *SEGMENT, "first", "held", "bytes", "hot"))
+        runs.append(_in_buckets(left.filter("not hot"), max(1, -(-total // BUCKET_BYTES))))
+        large = None if kept.filter("hot").isEmpty() else left.filter("hot").drop("hot")
     found = runs[0]
     for more in runs[1:]:
         found = found.unionByName(more)
