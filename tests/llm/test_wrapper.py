@@ -113,3 +113,36 @@ def test_elements_below_the_depth_limit_end_where_they_end(frame):
     pages = [(i, f"http://deep.example.net/{i}", f"<body><div><article><h1>T{i}</h1>{deep.format(i)}<p>After {i}</p></article></div><div>Around {i}</div></body>") for i in range(4)]
     for (i, _), v in texts(frame, pages).items():
         assert v == f"T{i}\nDeep {i}\nDeeper {i}\nAfter {i}"
+
+
+def neutral(i, rng, host="http://plain.example.net/"):
+    """A page whose parts have names that say nothing; its article is the longest part, its menu is links."""
+    words = lambda n: " ".join("".join(rng.choices("abcdefgh", k=rng.randint(2, 8))) for _ in range(n))
+    menu = "".join(f"<div><a href=/{k}>{words(1)}</a></div>" for k in range(rng.randint(3, 7)))
+    title, body = words(5), [words(rng.randint(10, 60)) for _ in range(rng.randint(2, 6))]
+    parts = [f"<div class=c1>{menu}</div>", "<div class=c2>Our shop is open on all days of the week</div>", f"<div class=c3>{words(6)}</div>",
+             f"<div class=c4><h1>{title}</h1>{''.join(f'<p>{b}</p>' for b in body)}</div>", f"<div class=c5>{words(4)}</div>"]
+    return (i, f"{host}{i}", f"<html><body>{''.join(parts)}</body></html>"), "\n".join([title, *body])
+
+
+def test_induction_alone_finds_the_content_of_neutral_pages(frame):
+    import random
+
+    rng = random.Random(2)
+    made = [neutral(i, rng, f"http://h{i % 5}.example.net/") for i in range(200)]
+    for names in (True, False):
+        got = {r["page_id"]: r["text"] for r in W.main_text(frame([p for p, _ in made], "page_id bigint, url string, html string"), names=names).collect()}
+        right = sum(got[p[0]] == text for p, text in made)
+        assert right > 0.95 * len(made), right
+
+
+def test_content_named_as_boilerplate_is_not_taken_for_its_length(frame):
+    pages = [(i, f"http://c.example.net/{i}", f"<body><article><h1>T{i}</h1><p>Short {i}</p></article><div id=comments>{''.join(f'<p>long reader comment {i} {k}</p>' for k in range(40))}</div></body>") for i in range(6)]
+    assert texts(frame, pages) == {(i, f"http://c.example.net/{i}"): f"T{i}\nShort {i}" for i in range(6)}
+
+
+def test_many_skeletons_merge_in_rounds_and_lists_need_no_broadcast(frame, monkeypatch):
+    monkeypatch.setattr(W, "FAN", 2)
+    monkeypatch.setattr(W, "KEEP_BYTES", 0)
+    pages = [(i, f"http://r.example.net/{i}", f"<body><nav>Menu</nav><article class=k{'abcdefghijklm'[i % 13]}><h1>A{i}</h1><p>Text of article {i}</p></article></body>") for i in range(26)]
+    assert texts(frame, pages) == {(i, f"http://r.example.net/{i}"): f"A{i}\nText of article {i}" for i in range(26)}

@@ -8,17 +8,20 @@ share it. Per host:
    characters, characters in links); summaries are made in the task first, so a host with a third
    of all pages is still a few rows;
 2. skeletons are aligned by simple tree matching (the largest matching of two ordered trees that
-   keeps labels, order and parents) and merged into the host's template, in two steps so that no
-   group is large: within parts of a host's skeletons, then the parts' templates;
+   keeps labels, order and parents) and merged into the host's template, in rounds of ``FAN`` trees a
+   group, so that no group grows with the host;
 3. template nodes whose text is the same on all pages that have them, these being all pages of
    their template and with ``MIN_PAGES`` different contents at least, are template; the others are
-   slots. The content is the subtree that holds most of the slots' text outside of navigation, headers,
-   footers, asides, forms, adverts, notices and comments (told by element and by the names in class,
-   id and role, see ``bar``);
+   slots. The slots' text decides on the content first: it is the subtree that 80 % of the text outside of
+   links leads to, step by step. Names (of elements, and in class, id and role, see ``bar``) decide where
+   there is no such subtree below the page's body, or where it is named as boilerplate, and on what inside of
+   the content is navigation, advert, notice, form or comment;
 4. each skeleton is aligned with its host's template, which tells its constant nodes and the host's
    usual content subtree; a skeleton with less than half of its text there (another template on
    the same host, or unrelated pages of the empty host) gets a content subtree of its own. Pages
-   are read again and joined with the nodes to keep by host and skeleton (a few rows per host).
+   are read again and joined with the nodes to keep by host and skeleton: these lists are broadcast while they
+   are at most ``KEEP_BYTES``, so no page is shuffled and a hot host is no task of its own; beyond, the join deals
+   the pages out by host and skeleton and leaves hot pairs to Spark's split of skewed joins.
 
 Defined cases: null html is an empty page with empty text; a null url or one without ``://`` has
 the empty host; copies of a content count once, and a host with fewer than ``MIN_PAGES`` different
@@ -47,7 +50,8 @@ MIN_PAGES = 3
 MAX_DEPTH = 100
 #: Constant text is copied content if it is so many times the varying text of its page.
 COPIED = 4
-PARTS = 16
+FAN = 64
+KEEP_BYTES = 32 << 20
 FLUSH_SKELETONS = 20_000
 
 RAW = "script|style|title|textarea|noscript|iframe|template|svg|math|select|object|canvas|audio|video"
@@ -56,6 +60,7 @@ TOKEN = re.compile(
     r"|<(?P<end>/?)(?P<tag>[a-z][^\s/>]*)(?P<rest>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)>"
     r"|<(?P<end2>/?)(?P<tag2>[a-z][^\s/>]*)(?P<rest2>[^>]*)>|<[!?/][^>]*>", re.S | re.I)
 ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+NAME = re.compile(r"[a-z]+(?:[0-9]{1,2}(?![0-9]))?")
 FLOW = set("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption hr address details summary".split())
 BOXES = set("html head body div section article main nav aside header footer form fieldset menu dialog center".split())
 VOID = set("hr".split())
@@ -90,13 +95,14 @@ class Node:
 
 
 def label_of(tag: str, rest: str) -> str:
-    """Element with the names of its class, id and role, their words joined by ``-`` without digits."""
+    """Element with the names of its class, id and role, their words joined by ``-``; numbers
+    are left out but for one or two digits right behind letters, as in ``col2`` (not ``post-12``)."""
     words = set()
     if rest and not rest.isspace():
         for name, value in ATTRIBUTE.findall(rest):
             name, value = name.lower(), value.strip("\"'").lower()
             if name in ("class", "id", "role"):
-                words.update(w for w in ("-".join(re.findall("[a-z]+", x)) for x in value.split()) if w)
+                words.update(w for w in ("-".join(NAME.findall(x)) for x in value.split()) if w)
             elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
                 words.add("hidden")
     return ".".join([tag, *sorted(words)])
@@ -207,7 +213,7 @@ def naming(label: str) -> tuple[str, frozenset[str], bool]:
     tag, *names = label.split(".")
     found, content = set(), False
     for name in names:
-        words = name.split("-")
+        words = [w.rstrip("0123456789") for w in name.split("-")]
         while len(words) > 1 and words[-1] in NEUTRAL and BOILERPLATE_WORDS & set(words[:-1]):
             words.pop()
         last = words[-1]
@@ -387,42 +393,59 @@ def in_order(tree: dict) -> list[dict]:
     return [tree, *(x for k in tree["kids"] for x in in_order(k))]
 
 
-def choose(nodes: list[dict], offered: dict | None = None) -> dict:
+def _weigh(nodes: list[dict], free: str) -> None:
+    """Sets ``mass``, the text outside of links in the free nodes of each subtree."""
+    for x in reversed(nodes):
+        x["mass"] = (max(0, x["chars"] - 2 * x["links"]) if x[free] else 0) + sum(k["mass"] for k in x["kids"])
+
+
+def _steps(top: dict) -> dict:
+    """From ``top`` into the child that holds 80 % of the mass, as long as there is one that is a box."""
+    while True:
+        heavy = [k for k in top["kids"] if 10 * k["mass"] >= 8 * top["mass"] > 0 and k["label"].split(".")[0] in BOXES]
+        if not heavy:
+            return top
+        top = heavy[0]
+
+
+def choose(nodes: list[dict], offered: dict | None = None, names: bool = True) -> dict:
     """The content subtree: ``offered`` or the first named so, if it holds half of the free text; else by steps into the child with 80%."""
+    _weigh(nodes, "free")
+    named = [x for x in nodes if names and not x["barred"] and (naming(x["label"])[0] in ("article", "main") or naming(x["label"])[2])]
+    top = next((x for x in ([offered] if offered else []) + named if 2 * x["mass"] >= nodes[0]["mass"] and x["mass"]), None)
+    return top or _steps(nodes[0])
 
-    def mass(node: dict) -> int:
-        own = max(0, node["chars"] - 2 * node["links"]) if node["free"] else 0
-        node["mass"] = own + sum(mass(k) for k in node["kids"])
-        return node["mass"]
-
-    total = mass(nodes[0])
-    named = [x for x in nodes if not x["barred"] and (naming(x["label"])[0] in ("article", "main") or naming(x["label"])[2])]
-    top = next((x for x in ([offered] if offered else []) + named if 2 * x["mass"] >= total and x["mass"]), None)
-    if top is None:
-        top = nodes[0]
-        while True:
-            heavy = [k for k in top["kids"] if 10 * k["mass"] >= 8 * top["mass"] > 0 and k["label"].split(".")[0] in BOXES]
-            if not heavy:
-                break
-            top = heavy[0]
-    return top
+
+def bare(nodes: list[dict]) -> None:
+    """Without names only the page's head is boilerplate."""
+    for x in nodes:
+        x["barred"] = x.get("barred", False) or x["label"] == "head"
+        for k in x["kids"]:
+            k["barred"] = x["barred"]
 
 
-def mark_content(template: dict) -> dict:
-    """Sets ``constant`` (equal wherever it is, in ``MIN_PAGES`` different contents) and ``top`` (the host's usual content subtree) on the template's nodes."""
+def mark_content(template: dict, names: bool = True) -> dict:
+    """Sets ``constant`` (equal wherever it is, in ``MIN_PAGES`` different contents) and ``top`` (the host's usual content subtree) on the template's nodes.
+
+    The subtree is found without names; they decide where that ends at the page's body, or at boilerplate.
+    """
     nodes = in_order(template)
-    set_barred(nodes)
+    (set_barred if names else bare)(nodes)
     for x in nodes:
         x["constant"] = bool(len(x["seen"]) >= MIN_PAGES and x["low"] == x["high"] and x["chars"])
+        x["slot"] = not x["constant"] and 2 * x["links"] <= x["chars"] and x["label"] != "head"
         x["free"] = not x["barred"] and not x["constant"]
-    top = choose(nodes)
+    _weigh(nodes, "slot")
+    top = _steps(nodes[0])
+    if names and (top["barred"] or top["label"].split(".")[0] in ("", "html", "body")):
+        top = choose(nodes)
     for x in nodes:
         x["top"] = x is top
         del x["seen"]
     return template
 
 
-def kept_nodes(template: dict, tree: dict) -> tuple[list[int], list[int]]:
+def kept_nodes(template: dict, tree: dict, names: bool = True) -> tuple[list[int], list[int]]:
     """Numbers of a skeleton's nodes to keep, those of its own content subtree that are neither boilerplate nor constant,
     and of all that are not boilerplate, for pages without text in the former.
 
@@ -433,7 +456,7 @@ def kept_nodes(template: dict, tree: dict) -> tuple[list[int], list[int]]:
     content in which something small varies, and nothing is constant.
     """
     nodes = in_order(tree)
-    set_barred(nodes)
+    (set_barred if names else bare)(nodes)
     memo: dict = {}
 
     def walk(t: dict, s: dict) -> None:
@@ -453,44 +476,57 @@ def kept_nodes(template: dict, tree: dict) -> tuple[list[int], list[int]]:
     if sum(x["chars"] for x in nodes if id(x) in same) > COPIED * sum(x["chars"] for x in nodes if not x["barred"] and id(x) not in same):
         same = set()
     for x in nodes:
-        x["free"] = not x["barred"] and id(x) not in same
-    top = choose(nodes, next((x for x in nodes if "partner" in x and x["partner"]["top"]), None))
+        x["free"] = not x["barred"] and id(x) not in same and (names or 2 * x["links"] <= x["chars"])
+    top = choose(nodes, next((x for x in nodes if "partner" in x and x["partner"]["top"]), None), names)
     return [x["number"] for x in in_order(top) if x["free"]], [x["number"] for x in nodes if not x["barred"]]
 
 
-def induce(pages: DataFrame) -> DataFrame:
+def induce(pages: DataFrame, names: bool = True) -> DataFrame:
     """(host, skeleton, keep, spare) for all skeletons of all hosts."""
     value = F.struct("node", F.struct("n", "low", "high", "chars", "links", "seen").alias("v"))
     stats = cut(summarise(pages).groupBy("host", "skeleton").agg(F.transform(F.array_sort(F.collect_list(value)), lambda x: x.v).alias("values")))
-    names = ("n", "low", "high", "chars", "links")
+    counted = ("n", "low", "high", "chars", "links")
 
     def tree(shape: str, values) -> dict:
         seen = [int(x) for x in values[0]["seen"]]
-        return tree_of(shape, [{k: int(x[k]) for k in names} | {"seen": seen} for x in values])
+        return tree_of(shape, [{k: int(x[k]) for k in counted} | {"seen": seen} for x in values])
 
-    def first(pdf: pd.DataFrame) -> pd.DataFrame:
-        trees = [tree(s, v) for s, v in zip(pdf["skeleton"], pdf["values"])]
-        return pd.DataFrame({"host": [pdf["host"].iloc[0]], "template": [json.dumps(merge_all(trees))]})
+    def planted(frames):
+        for pdf in frames:
+            yield pd.DataFrame({"host": pdf["host"], "template": [json.dumps(tree(s, v)) for s, v in zip(pdf["skeleton"], pdf["values"])]})
 
-    def second(pdf: pd.DataFrame) -> pd.DataFrame:
-        whole = mark_content(merge_all([json.loads(t) for t in pdf["template"]]))
-        return pd.DataFrame({"host": [pdf["host"].iloc[0]], "template": [json.dumps(whole)]})
+    def merged(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"host": [pdf["host"].iloc[0]], "template": [json.dumps(merge_all([json.loads(t) for t in pdf["template"]]))]})
+
+    def marked(frames):
+        for pdf in frames:
+            yield pd.DataFrame({"host": pdf["host"], "template": [json.dumps(mark_content(json.loads(t), names)) for t in pdf["template"]]})
 
     def align(frames):
         for pdf in frames:
-            keep = [kept_nodes(json.loads(t), tree(s, v)) for t, s, v in zip(pdf["template"], pdf["skeleton"], pdf["values"])]
+            keep = [kept_nodes(json.loads(t), tree(s, v), names) for t, s, v in zip(pdf["template"], pdf["skeleton"], pdf["values"])]
             yield pd.DataFrame({"host": pdf["host"], "skeleton": pdf["skeleton"], "keep": [k for k, _ in keep], "spare": [k for _, k in keep]})
 
-    part = F.pmod(F.xxhash64("skeleton"), F.lit(PARTS)).alias("part")
-    partial = stats.select("host", part, "skeleton", "values").groupBy("host", "part").applyInPandas(first, "host string, template string")
-    templates = partial.groupBy("host").applyInPandas(second, "host string, template string")
-    return stats.join(templates, "host").mapInPandas(align, "host string, skeleton string, keep array<int>, spare array<int>")
-
-
-def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Per row: id, url, host, text."""
+    templates = stats.select("host", "skeleton", "values").mapInPandas(planted, "host string, template string")
+    while True:
+        # a host's trees are dealt into groups of about FAN, until each host has one
+        groups = templates.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / FAN).cast("int").alias("groups"))
+        dealt = templates.join(groups, "host").withColumn("part", F.pmod(F.xxhash64("template"), F.col("groups")))
+        several = not groups.filter("groups > 1").isEmpty()
+        templates = dealt.select("host", "part", "template").groupBy("host", "part").applyInPandas(merged, "host string, template string")
+        if not several:
+            break
+        templates = cut(templates)
+    return stats.join(templates.mapInPandas(marked, "host string, template string"), "host").mapInPandas(align, "host string, skeleton string, keep array<int>, spare array<int>")
+
+
+def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", names: bool = True) -> DataFrame:
+    """Per row: id, url, host, text. ``names=False`` goes by the induced templates alone."""
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
-    keep = cut(induce(rows)).withColumn("skeleton", F.xxhash64("skeleton"))
+    keep = cut(induce(rows, names)).withColumn("skeleton", F.xxhash64("skeleton"))
+    size = keep.agg(F.sum(F.length("host") + 4 * (F.size("keep") + F.size("spare")) + 64)).first()[0] or 0
+    if size <= KEEP_BYTES:
+        keep = F.broadcast(keep)
 
     def read(batches):
         for batch in batches:
