@@ -95,3 +95,33 @@ def test_a_rare_kind_is_judged_by_its_own_spans(frame, monkeypatch):
         if 2000 <= r["row"]["doc_id"] < 3000:
             t = r["row"]["text"]
             assert [(t[x["s"] : x["e"]], x["kind"]) for x in r["spans"]] == [(t[5:22], 3), (t[23:39], 2)]
+
+
+def obfuscated(kind):
+    d = card()
+    v = {
+        0: RNG.choice([f"{mail().split('.')[0]} [at] corp.example.org", f"{RNG.choice(['ann', 'joe'])}{RNG.randint(1, 99)}(at)site(dot)example(dot)com"]),
+        1: "[.]".join(str(RNG.randint(0, 255)) for _ in range(4)),
+        2: RNG.choice([".".join(d[i : i + 4] for i in range(0, 16, 4))]),
+        3: RNG.choice([f"({RNG.randint(200, 999)}) 555-{RNG.randint(1000, 9999)}", f"001 {RNG.randint(200, 999)} 555 {RNG.randint(1000, 9999)}"]),
+    }[kind]
+    return obfuscated(kind) if base(v) else v
+
+
+CUE = ["please write to", "the server at", "charge my card", "call me on"]
+CLEAN = ["on 2024-01-15 we sold 1234567 items at 12.50", "we met [at] noon and left", "order number 4111-1111-1111-1112 came", "see version 1.2.3 of it",
+         "from 1999 to 2004, pages 12-17 and 101-150", "x [at] 4.b is no address", "invoice 12/03/2021 no 88 77 66", "time 10:30:00 to 11:45:00", "weights 0.25 0.50 0.75 1.00"]
+
+
+def test_recall_of_planted_spans_that_the_base_misses(frame):
+    rows = [(i, f"Some words {CUE[k]} {[mail, ip, card, phone][k]()} and more {CLEAN[i % len(CLEAN)]}.") for i in range(800) for k in (i % 4,)]
+    planted = [(10_000 + i, i % 4, obfuscated(i % 4)) for i in range(200)]
+    rows += [(d, f"Hello, {CUE[k]} {v} if you can.") for d, k, v in planted]
+    clean = [(20_000 + i, f"A text {i}: {CLEAN[i % len(CLEAN)]}, that is all.") for i in range(180)]
+    got = {r["row"]["doc_id"]: r for r in P.find_personal(frame(rows + clean, "doc_id bigint, text string")).collect()}
+    for kind in range(4):
+        caught = [any(x["kind"] == kind and got[d]["row"]["text"][x["s"] : x["e"]] == v for x in got[d]["spans"]) for d, k, v in planted if k == kind]
+        assert not any(got[d]["base"] for d, k, v in planted if k == kind)
+        assert sum(caught) >= 0.9 * len(caught), (kind, sum(caught), len(caught))
+    wrong = [got[d]["row"]["text"] for d, _ in clean if got[d]["spans"]]
+    assert len(wrong) <= 0.02 * len(clean), wrong[:5]

@@ -6,18 +6,21 @@ base match that failed (a phone number with a card number after it). Boosted tre
 candidate from its format (digits, groups, checksum, neighbours) and its context (cue words before
 it); a candidate above its kind's threshold that overlaps no span taken before it is added.
 
-The trees are fitted on the driver from a bounded sample per kind: base spans of the ``TRAIN_DOCS``
+The trees are fitted on the driver from a bounded sample per kind: spans of the ``TRAIN_DOCS``
 texts with the smallest hashes among those that have the kind, ``TRAIN_ROWS`` rows at most for all
-kinds. Base spans are the positive rows; the same spans made wrong (checksum broken, part too large,
-digits cut, glued to a word) the negative ones. The thresholds, the lowest with ``PRECISION``, come
-from the spans of all documents. The trees are written out as one SQL expression, so scoring runs
-inside Spark's own functions.
+kinds. Positive rows are base spans, as they are and restated as the generators would meet them (``a [at] b``,
+``1[.]2``, dots in a card, a phone number without its plus). Negative rows are the same spans made wrong in both
+forms (checksum broken, part too large, digits cut, ending of one letter or a host of digits, glued to a word) and
+what stands in the documents' prose: hits of the generators and runs of digits (dates, amounts, order numbers)
+that fail their kind's check. The thresholds, the lowest with ``PRECISION``, come from the spans of all documents. The
+trees are written out as one SQL expression, so scoring runs inside Spark's own functions.
 
 The patterns are stated so that Java's matcher neither recurses nor rescans: a repeated group
 becomes a class over a copy of the text in which doubled separators are masked (same length).
 
 Defined cases: null text is an empty one; offsets are code points; repeated rows and null ids give
-one row each; an empty table, or one without base spans of a kind, adds nothing of that kind.
+one row each; a kind without base spans takes the highest threshold of the others; an empty table, or one
+without any base span, adds nothing.
 """
 
 from __future__ import annotations
@@ -61,6 +64,8 @@ GENERATORS = [
     (1, r"(?<![0-9.])[0-9]{1,3}(?:[\[(]\.[\])][0-9]{1,3}){3}(?![0-9])", "contains(t, '.]') or contains(t, '.)')"),
     (1, rf"(?<![0-9A-Fa-f:]){IP6}(?![0-9A-Fa-f:])", rf"t rlike '{IP6}'"),
 ]
+#: Digits with separators, as they stand in dates, amounts, order and article numbers.
+NUMBERS = r"(?<![0-9])[0-9][0-9 ().:/-]{5,40}[0-9](?![0-9])"
 #: Words before a span that tell its kind, in KINDS' order.
 CUES = ["e-?mail|contact|write|courriel|correo", "ip|server|host|address|adresse", "card|visa|master|credit|karte|carte|tarjeta", "tel|phone|call|mobile|fax|anruf"]
 FEATURES = ["kind", "digits", "length", "luhn", "plus", "groups", "longest", "glued_before", "glued_after", "digit_before", "bracket", "parts", "cue", "letters", "ending"]
@@ -124,30 +129,66 @@ def features(kind: Column, value: Column, before: Column, after: Column) -> Colu
     return F.array(*[n.cast("int") for n in numbers])
 
 
-def base_spans(docs: DataFrame, text_col: str) -> DataFrame:
-    """h (hash of the text), s, kind, v, before, after: the base spans of all different texts, written once."""
-    rows = with_base(docs.filter(F.col(text_col).isNotNull()).select(text_col), text_col).filter(F.size("base") > 0)
-    spans = rows.select(F.xxhash64("t").alias("h"), "t", F.inline("base"))
+def known_spans(docs: DataFrame, text_col: str) -> DataFrame:
+    """h (hash of the text), s, kind, base, v, before, after: the base spans of all different texts, and spans beside
+    them that fail their kind's check (base false). Written once."""
+    rows = with_base(docs.filter(F.col(text_col).isNotNull()).select(text_col), text_col)
+    runs = gated_spans(F.col("t"), NUMBERS, F.col("t").rlike("[0-9][0-9 ().:/-]{5}"))
+    beside = F.concat(*[_spans("t", p, gate, kind) for kind, p, gate in GENERATORS],
+                      *[F.transform(runs, lambda m, k=k: F.struct(m["start"].alias("s"), F.lit(k).alias("kind"), m["end"].alias("e"))) for k in (2, 3)])
+    rows = rows.withColumn("beside", F.array_distinct(beside))
+    spans = F.expr("""concat(transform(base, x -> named_struct('s', x.s, 'kind', x.kind, 'e', x.e, 'base', true)),
+        transform(filter(beside, x -> not exists(base, b -> b.s < x.e and x.s < b.e)), x -> named_struct('s', x.s, 'kind', x.kind, 'e', x.e, 'base', false)))""")
+    rows = rows.select(F.xxhash64("t").alias("h"), "t", spans.alias("all")).filter(F.size("all") > 0).select("h", "t", F.inline("all"))
     context = [F.expr("lower(substring(t, greatest(s - 30, 0) + 1, least(s, 30)))").alias("before"), F.expr("substring(t, e + 1, 1)").alias("after")]
-    return cut(spans.select("h", "s", "kind", F.expr("substring(t, s + 1, e - s)").alias("v"), *context).distinct())
+    named = rows.select("h", "s", "kind", "base", F.expr("substring(t, s + 1, e - s)").alias("v"), *context)
+    return cut(named.filter(F.col("base") | fails(F.col("kind"), F.col("v"))).distinct())
+
+
+def fails(kind: Column, value: Column) -> Column:
+    """Whether a span can't be of its kind, by the check of the kind's digits or ending."""
+    digits = F.regexp_replace(value, "[^0-9]", "")
+    address = F.regexp_replace(value, r"[\[\]()]", "")
+    date = value.rlike(r"^[0-9]{4}[-/. ][0-9]{1,2}[-/. ][0-9]{1,2}\b|^[0-9]{1,2}[-/.][0-9]{1,2}[-/.][0-9]{2,4}\b|[0-9]:[0-9]")
+    return (
+        F.when(kind == 0, ~value.rlike(r"[\])\. ][A-Za-z]{2,}$"))
+        .when(kind == 1, ~(address.rlike(IP_PARTS) | value.rlike(f"^{IP6}$")))
+        .when(kind == 2, ~(F.length(digits).between(12, 19) & F.coalesce(F.call_function("luhn_check", digits), F.lit(False))))
+        .otherwise(date | ~F.length(digits).between(9, 15)))
+
+
+def restated(kind: Column, value: Column, odd: Column) -> Column:
+    """A base span's text as the further generators would meet it, in one of two ways."""
+    email = F.when(odd, F.regexp_replace(value, "@", " [at] ")).otherwise(F.regexp_replace(F.regexp_replace(value, "@", "(at)"), r"\.([A-Za-z0-9-]+)$", "(dot)$1"))
+    bare = F.regexp_replace(value, "[ -]", "")
+    card = F.when(odd, F.regexp_replace(bare, "([0-9]{4})(?=[0-9])", "$1.")).otherwise(bare)
+    phone = F.when(odd, F.regexp_replace(value, r"^\+", "00")).otherwise(F.regexp_replace(value, r"^\+[0-9]{1,3}[ .-]?", ""))
+    return F.when(kind == 0, email).when(kind == 1, F.regexp_replace(value, r"\.", "[.]")).when(kind == 2, card).otherwise(phone)
 
 
 def judged_rows(spans: DataFrame) -> DataFrame:
-    """h, s, kind, y (1 base span, 0 base span made wrong), f and whether the row is held back."""
+    """h, s, kind, y (1 base span, 0 made wrong or failing its check), f and whether the row is held back."""
     v, kind, context = F.col("v"), F.col("kind"), [F.col("before"), F.col("after")]
-    turned = F.concat(F.expr("substring(v, 1, length(v) - 1)"), ((F.expr("right(v, 1)").cast("int") + 1) % 10).cast("string"))
-    wrong = F.when(kind == 1, F.regexp_replace(v, "^[0-9]+", "777")).when(kind == 2, turned).when(kind == 3, F.expr("substring(v, 1, 7)"))
-    glued = F.when((kind == 2) | (kind == 1) | (kind == 3), v)
-    return spans.select("h", "s", "kind", (F.pmod(F.xxhash64("h", "s"), F.lit(10)) < 3).alias("held"), F.explode(F.array(
+    odd = F.pmod(F.xxhash64("h", "s", F.lit(1)), F.lit(2)) == 0
+    turned = F.concat(F.expr("substring(v, 1, length(v) - 1)"), ((F.expr("try_cast(right(v, 1) as int)") + 1) % 10).cast("string"))
+    ending = F.when(odd, F.regexp_replace(v, r"\.[^.]*$", ".q")).otherwise(F.regexp_replace(v, "@.*$", "@17.4"))
+    wrong = F.when(kind == 0, ending).when(kind == 1, F.regexp_replace(v, "^[0-9]+", "777")).when(kind == 2, turned).otherwise(F.expr("substring(v, 1, 7)"))
+    wrong = F.coalesce(wrong, F.lit("?"))
+    made = F.array(
         F.struct(F.lit(1).alias("y"), features(kind, v, *context).alias("f")),
-        F.struct(F.lit(0).alias("y"), F.when(wrong.isNotNull(), features(kind, F.coalesce(wrong, v), *context)).alias("f")),
-        F.struct(F.lit(0).alias("y"), F.when(glued.isNotNull(), features(kind, v, F.lit("a"), F.lit("a"))).alias("f")),
-    )).alias("r")).select("h", "s", "kind", "held", "r.y", "r.f").filter("f is not null")
+        F.struct(F.lit(1).alias("y"), features(kind, restated(kind, v, odd), *context).alias("f")),
+        F.struct(F.lit(0).alias("y"), features(kind, wrong, *context).alias("f")),
+        F.struct(F.lit(0).alias("y"), features(kind, restated(kind, wrong, odd), *context).alias("f")),
+        F.struct(F.lit(0).alias("y"), F.when(kind > 0, features(kind, v, F.lit("a"), F.lit("a"))).alias("f")))
+    prose = F.array(F.struct(F.lit(0).alias("y"), features(kind, v, *context).alias("f")))
+    rows = F.when(F.col("base"), made).otherwise(prose)
+    return spans.select("h", "s", "kind", (F.pmod(F.xxhash64("h", "s"), F.lit(10)) < 3).alias("held"), F.explode(rows).alias("r")).select(
+        "h", "s", "kind", "held", "r.y", "r.f").filter("f is not null")
 
 
 def training_rows(spans: DataFrame) -> tuple[np.ndarray, np.ndarray, list[int | None]]:
     """Features and labels of rows not held back, and per kind the last hash of its sample (None: no such span)."""
-    lasts = [spans.filter(F.col("kind") == k).select("h").distinct().orderBy("h").limit(TRAIN_DOCS).agg(F.max("h")).first()[0] for k in range(len(KINDS))]
+    lasts = [spans.filter("base").filter(F.col("kind") == k).select("h").distinct().orderBy("h").limit(TRAIN_DOCS).agg(F.max("h")).first()[0] for k in range(len(KINDS))]
     got = []
     for k, last in enumerate(lasts):
         if last is not None:
@@ -206,7 +247,7 @@ def limits_of(spans: DataFrame, trees: list, lasts: list[int | None]) -> list[fl
     counts = bins.groupBy("kind", "learnt", "bin").agg(F.sum("y").alias("good"), F.count("*").alias("all")).collect()
     limits: list[float | None] = []
     for kind in range(len(KINDS)):
-        of = [r for r in counts if r["kind"] == kind]
+        of = [r for r in counts if r["kind"] == kind] if lasts[kind] is not None else []
         fresh = [r for r in of if not r["learnt"]]
         if sum(r["good"] for r in fresh) * (1 - PRECISION) >= 1:
             of = fresh
@@ -221,7 +262,9 @@ def limits_of(spans: DataFrame, trees: list, lasts: list[int | None]) -> list[fl
         # half way to the next lower bin seen
         below = -1.0 if lowest is None or lowest + 1 == len(levels) else (levels[lowest + 1] + 1) / BINS
         limits.append(None if lowest is None else max(0.0, (levels[lowest] / BINS + below) / 2))
-    return limits
+    # without base spans there is nothing to calibrate on: as strict as the strictest kind
+    known = [m for m in limits if m is not None]
+    return [max(known) if m is None and known and lasts[k] is None else m for k, m in enumerate(limits)]
 
 
 def _sql(tree) -> str:
@@ -237,7 +280,7 @@ def margin_of(trees: list) -> str:
 
 def find_personal(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """row (all columns of ``docs``), t (its text), base and spans: arrays of (s, kind, e) in order."""
-    known = base_spans(docs, text_col)
+    known = known_spans(docs, text_col)
     x, y, lasts = training_rows(known)
     trees = fit(x, y)
     limits = limits_of(known, trees, lasts) if any(v is not None for v in lasts) else [None] * len(KINDS)
@@ -248,7 +291,10 @@ def find_personal(docs: DataFrame, text_col: str = "text") -> DataFrame:
         limit = "cast(null as double)"
     scored = F.expr(f"transform(filter(cands, c -> not c.base), x -> named_struct('m', -({margin}), 'ok', ({margin}) >= {limit}, 's', x.s, 'kind', x.kind, 'e', x.e))")
     rows = rows.withColumn("scored", scored)
-    added = F.expr("""aggregate(array_sort(filter(scored, x -> x.ok)), base, (taken, x) ->
+    # of spans of one kind inside each other the longest stands for all
+    rows = rows.withColumn("passed", F.expr("filter(scored, x -> x.ok)")).withColumn("passed", F.expr(
+        "filter(passed, x -> not exists(passed, y -> y.kind = x.kind and y.s <= x.s and y.e >= x.e and y.e - y.s > x.e - x.s))"))
+    added = F.expr("""aggregate(array_sort(passed), base, (taken, x) ->
         if(exists(taken, y -> y.s < x.e and x.s < y.e), taken, array_append(taken, named_struct('s', x.s, 'kind', x.kind, 'e', x.e))))""")
     return rows.select("row", "t", "base", F.array_sort(added).alias("spans"))
 
