@@ -4,6 +4,8 @@ from xxhash import xxh64_intdigest
 
 from pyspark.sql import functions as F
 
+import pytest
+
 from veilspark.llm import simhash as S
 from veilspark.llm.components import components
 
@@ -52,7 +54,8 @@ def test_empty_table(frame):
     assert S.near_duplicates(frame([], "doc_id bigint, text string")).collect() == []
 
 
-def test_no_pair_is_lost(spark):
+@pytest.mark.parametrize("chain", [S.CHAIN, S.LONG_CHAIN])
+def test_no_pair_is_lost(spark, chain):
     prints = [RNG.getrandbits(64) for _ in range(60)]
     for p in prints[:60]:
         for k in range(1, 6):
@@ -61,7 +64,7 @@ def test_no_pair_is_lost(spark):
                 q ^= 1 << b
             prints.append(q)
     signed = sorted({S._long(p) for p in prints})
-    got = {tuple(r) for r in S.near_pairs(spark.createDataFrame([(p,) for p in signed], "fp bigint")).collect()}
+    got = {tuple(r) for r in S.near_pairs(spark.createDataFrame([(p,) for p in signed], "fp bigint"), chain=chain).collect()}
     want = {(a, b) for i, a in enumerate(signed) for b in signed[i + 1 :] if ((a ^ b) & (2**64 - 1)).bit_count() <= 4}
     assert got == want
 

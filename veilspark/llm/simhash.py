@@ -6,7 +6,9 @@ then from some segment on every chain of l consecutive segments differs in at mo
 0, 1, 1, 2, 2, 3, 4. Candidates come from an equi-join on chains of three segments (27 or 28 bits):
 one side gives its chain as it is, the other also with each zero bit of the second and third
 segment set, so that the pair is found whichever side has the differing bit. Then the chain is
-checked over all lengths, and what is left by the full Hamming distance.
+checked over all lengths, and what is left by the full Hamming distance. Beyond ``MANY`` fingerprints, where chance
+alone would fill a key of 27 bits, the chains have five segments (45 bits) and may differ in two bits: one side
+gives each of them with any one bit turned, the other with any one zero bit set, so that they meet half way.
 
 Only distinct fingerprints take part (copies are one row), links go through ``components`` and
 every document gets the smallest id reachable.
@@ -30,6 +32,8 @@ SHINGLE = 4
 DISTANCE = 4
 SEGMENTS = 7
 CHAIN = 3
+LONG_CHAIN = 5
+MANY = 1 << 29
 SEED = 42
 #: Bits of a byte, highest first.
 BITS = np.unpackbits(np.arange(256, dtype="u1")[:, None], axis=1).astype("i8")
@@ -91,22 +95,23 @@ def near_pairs(prints: DataFrame, distance: int = DISTANCE, segments: int = SEGM
     """Pairs (u, v), u < v, of the distinct longs in column ``fp`` within the distance.
 
     The join key is the chain's bits in place plus the number of its first segment. The chain's
-    budget must allow one differing bit at most, and none in its first segment.
+    budget must allow two differing bits at most, and none in its first segment.
     """
     parts, budget = ring(segments), [k * distance // segments for k in range(segments + 1)]
-    if budget[1] != 0 or budget[chain] != 1:
-        raise ValueError("the chain must allow one differing bit, and none in its first segment")
+    if budget[1] != 0 or budget[chain] > 2:
+        raise ValueError("the chain may allow two differing bits, and none in its first segment")
     fp = F.col("fp")
     plain, probes = [], []
     for i in range(segments):
         kept = fp.bitwiseAND(F.lit(_long(_mask(parts, i, chain))))
-        plain.append(F.struct(F.lit(i).alias("i"), kept.alias("bits")))
-        free = [b for k in range(1, chain) for b in range(*(lambda s: (s[0], s[0] + s[1]))(parts[(i + k) % segments]))]
-        probes.append(plain[-1])
-        for b in free:
-            bit = F.lit(_long(1 << b))
-            unset = fp.bitwiseAND(bit) == 0
-            probes.append(F.when(unset, F.struct(F.lit(i).alias("i"), kept.bitwiseOR(bit).alias("bits"))))
+        key = lambda bits: F.struct(F.lit(i).alias("i"), bits.alias("bits"))  # noqa: B023, E731
+        free = [F.lit(_long(1 << b)) for k in range(1, chain) for b in range(*(lambda s: (s[0], s[0] + s[1]))(parts[(i + k) % segments]))]
+        plain.append(key(kept))
+        probes.append(key(kept))
+        if budget[chain] == 2:
+            plain += [key(kept.bitwiseXOR(bit)) for bit in free]
+        if budget[chain]:
+            probes += [F.when(fp.bitwiseAND(bit) == 0, key(kept.bitwiseOR(bit))) for bit in free]
     have = prints.select(fp.alias("v"), F.inline(F.array(*plain)))
     ask = prints.select(fp.alias("u"), F.inline(F.array_compact(F.array(*probes))))
     found = ask.join(have, ["i", "bits"]).filter("u <> v").withColumn("x", F.col("u").bitwiseXOR(F.col("v")))
@@ -126,7 +131,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     and component_id (the smallest id in it)."""
     rows = cut(docs.select(F.col(id_col).alias(id_col), *(more or []), fingerprint(F.col(text_col), shingle).alias("fp")))
     prints = cut(rows.groupBy("fp").agg(F.min(id_col).alias("least")))
-    roots = components(near_pairs(prints.select("fp"), distance))
+    chain = CHAIN if prints.count() <= MANY else LONG_CHAIN
+    roots = components(near_pairs(prints.select("fp"), distance, chain=chain))
     grouped = prints.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("group", F.coalesce("root", "fp"))
     ids = grouped.groupBy("group").agg(F.min("least").alias("component_id"))
     classes = grouped.select("fp", "group").join(ids, "group")
