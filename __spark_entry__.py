@@ -20,7 +20,7 @@ from veilspark.operators.detect import (
     detect,
     pattern_only,
 )
-from veilspark.operators.policy import Policy
+from veilspark.operators.policy import BLOCK, REDACT, TYPE_CATEGORY, Policy, ToolRule, decide_actions_df, normalize_action, normalize_type
 from veilspark.plans import oracles as O
 from veilspark.plans.sanitize import Firewall
 from veilspark.sources.fixtures import planted
@@ -128,20 +128,42 @@ def q_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_backend_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """P1 + P10: block decision and action counts per planted template under the backend policy."""
-    fw = Firewall(SECRET, policy=Policy.default_backend(), use_nfkc=False, scan_base64=False)
-    p = planted(spark, sf_dir).select("doc_id", "template", "text")
-    out = fw.sanitize(p, "text", "doc_id")
-    return out.groupBy("template").agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        F.sum(F.col("blocked").cast("long")).alias("n_blocked"),
-    )
+    """The backend policy's decision for every pattern entity of the corpus, for four destinations."""
+    ents = detect(_corpus(spark, sf_dir), "text", ["doc_id"], pattern_only(KINDS))
+    ents = ents.withColumn("tool", F.expr(DESTINATION))
+    out = decide_actions_df(ents, "tool", Policy.default_backend())
+    return out.groupBy("tool", "pii_type", "category", "action").agg(F.count(F.lit(1)).alias("n"))
+
+
+DESTINATION = "CASE doc_id % 4 WHEN 0 THEN '*' WHEN 1 THEN 'vault_service' WHEN 2 THEN 'send_email' ELSE 'crm' END"
+
+
+#: One rule for all tools in which every action occurs; the oracles restate it as SQL.
+RULES = {"PHONE": "MASK", "SSN": "REDACT", "IP_ADDRESS": "PASS", "PAN_CARD": "MASK", "AADHAAR": "MASK", "EMAIL": "TOKENIZE"}
+BLOCKED = "CREDIT_CARD"
+KINDS = ["EMAIL", "PHONE", "SSN", "CREDIT_CARD", "IP_ADDRESS", "API_KEY", "PAN_CARD", "AADHAAR"]
+
+
+def _ruled() -> Policy:
+    return Policy(rules={"*": ToolRule("*", {k: normalize_action(v) for k, v in RULES.items()}, {BLOCKED})})
+
+
+def _carriers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of every customer with an address inside a base64 run, from one SQL text that the oracle runs too."""
+    cust = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    text = F.concat(F.lit("see "), F.base64(F.encode(F.expr(CARRIED), "UTF-8")), F.lit(" twice "), F.expr(CARRIED_PLAIN))
+    return cust.select((-F.col("c_custkey") - 10_000_000).cast("long").alias("doc_id"), text.alias("text"))
+
+
+CARRIED = "concat('write to u', cast(c_custkey as string), '@example.org today, please')"
+CARRIED_PLAIN = "concat('v', cast(c_custkey as string), '@example.org')"
 
 
 def _doc_sanitized(spark: SparkSession, sf_dir: str, cut: bool = False):
-    fw = Firewall(SECRET, detectors=pattern_only(FLAGSHIP_KINDS), use_nfkc=False, scan_base64=False)
-    docs = _docs(spark, sf_dir).select(F.col("doc_id").cast("string").alias("request_id"), "text")
-    out = fw.sanitize(docs, "text", "request_id")
+    """The whole chain with NFKC, base64 carriers and the eight pattern detectors, all actions and blocks."""
+    fw = Firewall(SECRET, policy=_ruled(), detectors=pattern_only(KINDS))
+    texts = _corpus(spark, sf_dir).unionByName(_carriers(spark, sf_dir))
+    out = fw.sanitize(texts.select(F.col("doc_id").cast("string").alias("request_id"), "text"), "text", "request_id")
     if cut:
         # used twice (vault + responses): materialise once in the shared checkpoint folder
         from veilspark.session import ensure_checkpoint_dir
@@ -151,42 +173,114 @@ def _doc_sanitized(spark: SparkSession, sf_dir: str, cut: bool = False):
     return out
 
 
+def q_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rewritten text of every document, with blocks, counts and tokens."""
+    return _doc_sanitized(spark, sf_dir).select(
+        F.col("request_id").cast("long").alias("doc_id"), "sanitized", "blocked", "block_reason", F.col("total_detected").alias("n_entities"),
+        F.size("vault").cast("long").alias("n_tokens"), "leaks")
+
+
 def q_restore_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """D8 + E11: an echo tool returns the sanitised text; restoring it with the vault gives the
-    original text back, counting every token restored."""
+    """D8 + E11: an echo tool returns the sanitised text; restoring it gives the tokenised values back, and leaves
+    what was masked or redacted as it is."""
     from veilspark.operators.restore import restore_text
 
     san = _doc_sanitized(spark, sf_dir, cut=True)
     vault = Firewall.vault_rows(san, "request_id")
-    resp = san.select("request_id", F.col("sanitized").alias("response"), F.col("clean"))
-    out = restore_text(resp, vault, "request_id", "response")
-    return out.select(
-        F.col("request_id").cast("long").alias("doc_id"),
-        "restored_count",
-        F.col("restored").eqNullSafe(F.col("clean")).alias("round_trip_ok"),
-    )
+    out = restore_text(san.select("request_id", F.col("sanitized").alias("response")), vault, "request_id", "response")
+    return out.select(F.col("request_id").cast("long").alias("doc_id"), "restored", "restored_count")
 
 
 def q_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """G1: audit event per document (raw-value free columns only)."""
+    """Audit event per document (raw-value free columns only)."""
     from veilspark.operators.restore import audit_events
 
     ev = audit_events(_doc_sanitized(spark, sf_dir), "request_id")
     return ev.select(
-        F.col("request_id").cast("long").alias("doc_id"), "action", "total_entities_secured", "blocked",
-        "verification_passed",
-    )
+        F.col("request_id").cast("long").alias("doc_id"), "tool_name", "action", "total_entities_secured", "blocked", "verification_passed", "error_type",
+        "sanitized_payload_sha256")
+
+
+def q_audit_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E5: events and entities secured, by action."""
+    from veilspark.operators.restore import audit_events, audit_totals
+
+    return audit_totals(audit_events(_doc_sanitized(spark, sf_dir), "request_id"))
 
 
 def q_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """D7 relational: vault values still present in the sanitised text, per document."""
+    """D7 relational: every fourth answer is sent with the first half of its original text behind it."""
     from veilspark.operators.restore import verify_no_leak
 
     san = _doc_sanitized(spark, sf_dir, cut=True)
-    res = verify_no_leak(san, Firewall.vault_rows(san, "request_id"), "request_id", "sanitized")
+    half = F.expr("substring(clean, 1, cast(length(clean) / 2 as int))")
+    sent = san.withColumn("sent", F.when(F.col("request_id").cast("long") % 4 == 0, F.concat("sanitized", F.lit(" "), half)).otherwise(F.col("sanitized")))
+    res = verify_no_leak(sent, Firewall.vault_rows(san, "request_id"), "request_id", "sent")
     return res.select(F.col("request_id").cast("long").alias("doc_id"), "leak_count", "verification_passed")
 
 
+def q_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every address's token in nested answers, restored by key, dotted path and ancestor."""
+    from veilspark.plans.requests import restore_fields
+
+    vault = _email_vault(spark, sf_dir)
+    t = F.col("token")
+    answer = F.struct(
+        F.struct(t.alias("email"), F.concat(F.lit("x "), t).alias("name")).alias("user"), F.array(F.struct(t.alias("email"), F.array(t).alias("cc"))).alias("list"),
+        F.struct(F.struct(t.alias("email")).alias("user")).alias("other"), t.alias("email"))
+    rows = vault.select("request_id", t.alias("t"), F.to_json(answer).alias("response"))
+    out = restore_fields(rows, vault, fields=["user.email", "list", "other"])
+    at = lambda path, name: F.get_json_object("restored", path).alias(name)
+    return out.select(
+        F.col("request_id").cast("long").alias("doc_id"), "t", at("$.user.email", "by_path"), at("$.user.name", "beside_it"), at("$.list[0].email", "in_list"),
+        at("$.list[0].cc[0]", "deeper"), at("$.other.user.email", "below"), at("$.email", "not_named"), "restored_count")
+
+
+def q_fail_closed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A detector that fails on some texts, in a strict and a lenient job."""
+    from veilspark.operators.custom import function_detector
+
+    def moody(text: str) -> list:
+        if len(text) % 7 == 0:
+            raise LookupError(f"length {len(text)}")
+        return []
+
+    docs = _docs(spark, sf_dir).select(F.col("doc_id").cast("string").alias("request_id"), "text")
+    parts = []
+    for strict in (True, False):
+        fw = Firewall(SECRET, detectors=DetectorSet([function_detector("PIN", moody, on_error="fail")]), strict=strict, scan_base64=False)
+        out = fw.sanitize(docs, "text", "request_id")
+        parts.append(out.select(F.col("request_id").cast("long").alias("doc_id"), F.lit(strict).alias("strict"), "blocked", "action", "error_type", "block_reason",
+                                F.col("sanitized").isNull().alias("nothing_sent")))
+    return parts[0].unionByName(parts[1])
+
+
+def q_wire(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which of the texts sent (every third one as it was) hold any address that any document held."""
+    from veilspark.operators.restore import audit_wire
+
+    sent = _docs(spark, sf_dir).select("doc_id", F.expr("CASE WHEN doc_id % 3 = 0 THEN text ELSE 'nothing' END").alias("payload"))
+    return audit_wire(sent, _email_vault(spark, sf_dir).select(F.col("value").alias("secret"))).select("doc_id")
+
+
+def q_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules from every customer in three versions over the built-in ones, in their spellings."""
+    from veilspark.operators.policy import current_rules, default_rules, upsert_rules
+
+    cust = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    rules = default_rules(spark)
+    for version in range(3):
+        rules = upsert_rules(rules, cust.select(
+            F.expr(RULE_TOOL).alias("tool"), F.expr(RULE_TYPE).alias("type_name"), F.expr(RULE_ACTION).alias("action"), F.col("c_custkey").alias("item"),
+        ).filter(F.col("item") % 3 == version))
+    return current_rules(rules)
+
+
+RULE_TOOL = "CASE c_custkey % 50 WHEN 0 THEN '*' ELSE concat('tool', cast(c_custkey % 50 as string)) END"
+RULE_TYPE = "CASE cast(floor(c_custkey / 50) as int) % 6 WHEN 0 THEN 'mobile' WHEN 1 THEN ' Phone' WHEN 2 THEN 'EMAIL' WHEN 3 THEN 'ssn' WHEN 4 THEN 'My_Type' ELSE 'IP_ADDRESS' END"
+RULE_ACTION = "CASE c_custkey % 7 WHEN 0 THEN 'mask it' WHEN 1 THEN 'Redacted' WHEN 2 THEN 'BLOCK' WHEN 3 THEN 'allow' WHEN 4 THEN ' pass' WHEN 5 THEN 'what' ELSE 'tokenise' END"
+
+
 def q_intent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Transmission intent (send verb + external target + first credential/business phrase)."""
     ents = detect(_corpus(spark, sf_dir), "text", ["doc_id"],
@@ -356,6 +450,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p04_tokens": q_tokens,
         "d11_restore_clients": q_restore_clients,
         "d07_leaks": q_leaks,
+        "p12_policies": q_policies,
+        "e05_audit_totals": q_audit_totals,
+        "d09_fields": q_fields,
+        "p11_fail_closed": q_fail_closed,
+        "d12_audit_wire": q_wire,
+        "p03_rules": q_rules,
+        "c13_cvv": _context_query("CVV"),
     }
     if training_data is not None:
         qs |= training_data.queries()
@@ -592,19 +693,137 @@ WHERE t IS NOT NULL
 """
 
 
+def _entities_sql(src: str) -> str:
+    parts = {"EMAIL": (_email_sql, 0.98), "PHONE": (_phone_sql, 0.95), "SSN": (_ssn_sql, 0.99), "CREDIT_CARD": (_card_sql, 0.99), "IP_ADDRESS": (_ip_sql, 0.97),
+             "API_KEY": (_api_sql, 0.99), "PAN_CARD": (_pan_sql, 0.99), "AADHAAR": (_aadhaar_sql, 0.98)}
+    return " UNION ALL ".join(
+        f"SELECT doc_id, CAST(start AS BIGINT) AS start, CAST(\"end\" AS BIGINT) AS stop, value, '{k}' AS kind, {conf} AS conf, {i} AS rnk FROM ({sql(src)}) s{i}"
+        for i, (k, (sql, conf)) in enumerate(parts.items()))
+
+
+CARRIERS_SQL = (f"(SELECT -c_custkey - 10000000 AS doc_id, 'see ' || base64(encode({CARRIED})) || ' twice ' || {CARRIED_PLAIN} AS text, "
+                f"base64(encode({CARRIED})) AS carrier, regexp_extract({CARRIED}, '[^ ]+@[^ ]+') AS value FROM customer)")
+
+
+def _chain_sql(result: str) -> str:
+    """The whole chain under RULES as common tables, and ``result`` selected from them: ``done`` has doc_id, text, rewritten,
+    restored, stop (the right-most blocked entity's kind), n, n_tokens, n_restored, leaks."""
+    texts = f"(SELECT doc_id, text FROM {CORPUS_SQL} t0 UNION ALL SELECT doc_id, text FROM {CARRIERS_SQL} t1)"
+    salt = "unhex(substr(sha256(encode('correctness run' || chr(0) || doc_id)), 1, 32))"
+    token = lambda kind, value: f"'{X.TOKEN_PREFIX}' || {kind} || '_' || substr(sha256({salt} || encode({kind} || ':' || {value})), 1, 8) || '{X.TOKEN_SUFFIX}'"
+    act = "CASE kind " + " ".join(f"WHEN '{k}' THEN '{normalize_action(v)}'" for k, v in {**RULES, BLOCKED: "BLOCK"}.items()) + " ELSE 'TOKENIZE' END"
+    phone = f"CASE WHEN length({O.digits('value')}) >= 4 THEN '***-***-' || right(value, 4) ELSE '***-***-****' END"
+    mask = f"CASE kind WHEN 'PHONE' THEN {phone} WHEN 'PAN_CARD' THEN substr(value, 1, 2) || '***' || right(value, 2) ELSE 'XXXX-XXXX-' || right(value, 4) END"
+    return f"""
+WITH RECURSIVE texts AS (SELECT * FROM {texts} t), ents AS ({_entities_sql("texts")}),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY stop - start DESC, conf DESC, rnk, start) AS o FROM ents),
+greedy(doc_id, o, taken) AS (
+  SELECT DISTINCT doc_id, CAST(0 AS BIGINT), CAST([] AS STRUCT(o BIGINT, a BIGINT, b BIGINT)[]) FROM ordered
+  UNION ALL
+  SELECT g.doc_id, e.o, CASE WHEN len(list_filter(g.taken, lambda t: e.start < t.b AND t.a < e.stop)) = 0
+                             THEN list_append(g.taken, {{'o': e.o, 'a': e.start, 'b': e.stop}}) ELSE g.taken END
+  FROM greedy g JOIN ordered e ON e.doc_id = g.doc_id AND e.o = g.o + 1),
+kept AS (SELECT doc_id, unnest(arg_max(taken, o)).o AS o FROM greedy GROUP BY doc_id),
+acted AS (SELECT e.*, {act} AS act FROM ordered e JOIN kept USING (doc_id, o)),
+replaced AS (SELECT *, CASE act WHEN 'TOKENIZE' THEN {token("kind", "value")} WHEN 'REDACT' THEN '[REDACTED_' || kind || ']' WHEN 'MASK' THEN {mask} ELSE value END AS repl,
+                    coalesce(lag(stop) OVER (PARTITION BY doc_id ORDER BY start), 0) AS before FROM acted),
+built AS (SELECT doc_id, string_agg(substr(text, CAST(before + 1 AS INT), CAST(start - before AS INT)) || repl, '' ORDER BY start) || substr(any_value(text), CAST(max(stop) + 1 AS INT)) AS rewritten,
+                 string_agg(substr(text, CAST(before + 1 AS INT), CAST(start - before AS INT)) || CASE WHEN act = 'TOKENIZE' THEN value ELSE repl END, '' ORDER BY start)
+                   || substr(any_value(text), CAST(max(stop) + 1 AS INT)) AS restored,
+                 arg_max(kind, start) FILTER (act = 'BLOCK_TOOL') AS stop, count(*) AS n, count(DISTINCT kind || ':' || value) FILTER (act = 'TOKENIZE') AS n_tokens,
+                 count(*) FILTER (act = 'TOKENIZE') AS n_restored, list(DISTINCT value) FILTER (act <> 'PASS_THROUGH') AS secrets,
+                 coalesce(list(DISTINCT value) FILTER (act = 'TOKENIZE'), []) AS held
+          FROM replaced JOIN texts USING (doc_id) GROUP BY doc_id),
+carried AS (SELECT *, {token("'EMAIL'", "value")} AS token FROM {CARRIERS_SQL} c),
+done AS (SELECT t.doc_id, t.text, replace(coalesce(b.rewritten, t.text), coalesce(c.carrier, '\t\t'), coalesce(c.token, '')) AS rewritten,
+                replace(coalesce(b.restored, t.text), coalesce(c.carrier, '\t\t'), coalesce(c.value, '')) AS restored, b.stop,
+                coalesce(b.n, 0) + (c.token IS NOT NULL)::INT AS n, coalesce(b.n_tokens, 0) + (c.token IS NOT NULL)::INT AS n_tokens,
+                coalesce(b.n_restored, 0) + (c.token IS NOT NULL)::INT AS n_restored,
+                len(list_filter(coalesce(b.secrets, []), lambda v: contains(b.rewritten, v))) AS leaks, list_concat(coalesce(b.held, []), CASE WHEN c.value IS NULL THEN [] ELSE [c.value] END) AS held
+         FROM texts t LEFT JOIN built b USING (doc_id) LEFT JOIN carried c USING (doc_id))
+{result}"""
+
+
+_OUT = "stop IS NULL AND leaks = 0"
+
+
+def _policies_sql() -> str:
+    reason = ("CASE WHEN stop IS NOT NULL THEN 'policy: tool * may not get ' || stop || ' (PERSONAL_INFO)' "
+              "WHEN leaks > 0 THEN 'leak check: ' || leaks || ' value(s) left in the rewritten text' END")
+    return _chain_sql(f"SELECT doc_id, CASE WHEN {_OUT} THEN rewritten END AS sanitized, NOT ({_OUT}) AS blocked, {reason} AS block_reason, "
+                      "CAST(n AS BIGINT) AS n_entities, CAST(n_tokens AS BIGINT) AS n_tokens, CAST(leaks AS BIGINT) AS leaks FROM done")
+
+
 def _restore_sql() -> str:
-    return f"SELECT doc_id, n_entities AS restored_count, true AS round_trip_ok FROM ({_sanitize_sql()}) s"
+    return _chain_sql(f"SELECT doc_id, CASE WHEN {_OUT} THEN restored END AS restored, CAST(CASE WHEN {_OUT} AND text IS NOT NULL THEN n_restored ELSE 0 END AS BIGINT) AS restored_count FROM done")
+
+
+_ACTION = "CASE WHEN stop IS NOT NULL THEN 'BLOCKED_POLICY_VIOLATION' WHEN leaks > 0 THEN 'BLOCKED_LEAKAGE_DETECTED' ELSE 'SANITIZED_AND_FORWARDED' END"
 
 
 def _audit_sql() -> str:
-    return (
-        "SELECT doc_id, 'SANITIZED_AND_FORWARDED' AS action, n_entities AS total_entities_secured, "
-        f"false AS blocked, true AS verification_passed FROM ({_sanitize_sql()}) s"
-    )
+    error = "CASE WHEN stop IS NOT NULL THEN 'FirewallBlockedError' WHEN leaks > 0 THEN 'PIILeakageDetectedError' END"
+    return _chain_sql(
+        f"SELECT doc_id, '*' AS tool_name, {_ACTION} AS action, CAST(CASE WHEN {_OUT} THEN n ELSE 0 END AS BIGINT) AS total_entities_secured, NOT ({_OUT}) AS blocked, "
+        f"{_OUT} AS verification_passed, {error} AS error_type, coalesce(CASE WHEN {_OUT} THEN sha256(rewritten) END, '') AS sanitized_payload_sha256 FROM done")
+
+
+def _audit_totals_sql() -> str:
+    return _chain_sql(f"SELECT {_ACTION} AS action, count(*) AS events, CAST(sum(CASE WHEN {_OUT} THEN n ELSE 0 END) AS BIGINT) AS entities_secured FROM done GROUP BY 1")
 
 
 def _verify_sql() -> str:
-    return f"SELECT doc_id, CAST(0 AS BIGINT) AS leak_count, true AS verification_passed FROM ({_sanitize_sql()}) s"
+    sent = f"CASE WHEN NOT ({_OUT}) THEN '' WHEN doc_id % 4 = 0 THEN rewritten || ' ' || substr(text, 1, CAST(length(text) // 2 AS INT)) ELSE rewritten END"
+    count = f"CASE WHEN {_OUT} THEN len(list_filter(list_distinct(held), lambda v: contains(sent, v))) ELSE 0 END"
+    return _chain_sql(f", sends AS (SELECT *, {sent} AS sent FROM done) SELECT doc_id, CAST({count} AS BIGINT) AS leak_count, {count} = 0 AS verification_passed FROM sends")
+
+
+def _backend_sql() -> str:
+    """P1 in SQL: the ordered decision, with the backend's rules, categories and allowlists as tables of values."""
+    rows = lambda pairs: "(VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in pairs) + ")"
+    rules = rows({normalize_type(k): normalize_action(v) for k, v in X.DEFAULT_RULES.items()}.items())  # the last spelling holds
+    allowed = rows((c, t) for c, ts in X.DEFAULT_ALLOWLISTS.items() for t in ts)
+    strict = ", ".join(f"'{t}'" for t in X.STRICT_TYPES)
+    return f"""
+WITH e AS (SELECT {DESTINATION} AS tool, kind FROM ({_entities_sql(CORPUS_SQL)}) x),
+c AS (SELECT e.tool, e.kind, coalesce(k.category, '{X.PERSONAL_INFO}') AS category, r.action AS rule,
+             EXISTS (SELECT 1 FROM {allowed} a(category, tool) WHERE a.category = k.category AND a.tool IN (e.tool, '*')) AS allowed
+      FROM e LEFT JOIN {rows(TYPE_CATEGORY.items())} k(kind, category) ON k.kind = e.kind LEFT JOIN {rules} r(kind, action) ON r.kind = e.kind),
+d AS (SELECT tool, kind, category, CASE
+        WHEN category = '{X.CREDENTIAL}' AND NOT allowed AND (kind IN ({strict}) OR (tool <> '*' AND rule IS NULL)) THEN '{BLOCK}'
+        WHEN category = '{X.BUSINESS_CONFIDENTIAL}' AND NOT allowed THEN '{BLOCK}' ELSE coalesce(rule, 'TOKENIZE') END AS action FROM c)
+SELECT tool, kind AS pii_type, category, action, count(*) AS n FROM d GROUP BY ALL"""
+
+
+def _fields_sql() -> str:
+    return f"""SELECT doc_id, token AS t, value AS by_path, 'x ' || token AS beside_it, value AS in_list, value AS deeper, value AS below, token AS not_named,
+       CAST(4 AS BIGINT) AS restored_count FROM ({_tokens_sql()}) v"""
+
+
+def _fail_closed_sql() -> str:
+    bad = "coalesce(length(text) > 0 AND length(text) % 7 = 0, false)"
+    why = f"CASE WHEN {bad} THEN CASE WHEN strict THEN 'inspection failed: LookupError' ELSE 'LookupError: length ' || length(text) END END"
+    return f"""SELECT doc_id, strict, {bad} AS blocked, CASE WHEN {bad} THEN 'BLOCKED_INTERNAL_ERROR' ELSE 'SANITIZED_AND_FORWARDED' END AS action,
+       CASE WHEN {bad} THEN 'LookupError' END AS error_type, {why} AS block_reason, {bad} OR text IS NULL AS nothing_sent
+FROM documents, (VALUES (true), (false)) s(strict)"""
+
+
+def _wire_sql() -> str:
+    return f"""SELECT d.doc_id FROM documents d WHERE d.doc_id % 3 = 0
+  AND EXISTS (SELECT 1 FROM (SELECT DISTINCT value FROM ({_email_sql("documents")}) e) v WHERE contains(d.text, v.value))"""
+
+
+def _rules_sql() -> str:
+    """The built-in rules and the customers' ones, newest first, names and actions brought to their standard forms by a table."""
+    names = {w: normalize_type(w) for w in ("mobile", " Phone", "EMAIL", "ssn", "My_Type", "IP_ADDRESS")}
+    acts = {w: normalize_action(w) for w in ("mask it", "Redacted", "BLOCK", "allow", " pass", "what", "tokenise")}
+    case = lambda expr, table: f"CASE {expr} " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in table.items()) + " END"
+    built = ", ".join(f"('*', '{normalize_type(k)}', '{normalize_action(a)}', -1, {i})" for i, (k, a) in enumerate(X.DEFAULT_RULES.items()))
+    return f"""
+WITH r(tool, type_name, action, version, item) AS (
+  VALUES {built} UNION ALL
+  SELECT {RULE_TOOL}, {case(RULE_TYPE, names)}, {case(RULE_ACTION, acts)}, c_custkey % 3, c_custkey FROM customer)
+SELECT tool, type_name, action FROM r QUALIFY row_number() OVER (PARTITION BY tool, type_name ORDER BY version DESC, item DESC) = 1"""
 
 
 def _leaves_sql() -> str:
@@ -654,6 +873,15 @@ def _planted_sql(template: int, value: str, where: str = "true") -> str:
 FROM {O.PLANTED} p WHERE template = {template} AND {where}"""
 
 
+def _cvv_sql() -> str:
+    """The code of a planted card, and the groups of its number, which are words of three or four digits near the cue too."""
+    words = [("instr(text, 'with cvv ') + 9", "substr(text, instr(text, 'with cvv ') + 9, 3)")]
+    words += [(f"instr(text, 'card ') + {5 + 5 * i}", f"split_part(substr(text, instr(text, 'card ') + {5 + 5 * i}), ' ', 1)") for i in range(4)]
+    return " UNION ALL ".join(
+        f"SELECT -doc_id - 1 AS doc_id, CAST({at} - 1 AS BIGINT) AS start, CAST({at} - 1 + length({value}) AS BIGINT) AS \"end\", {value} AS value "
+        f"FROM {O.PLANTED} p WHERE template = 2" for at, value in words)
+
+
 def _tokens_sql() -> str:
     salt = "unhex(substr(sha256(encode('correctness run' || chr(0) || doc_id)), 1, 32))"
     h = f"substr(sha256({salt} || encode('EMAIL:' || value)), 1, 8)"
@@ -734,8 +962,12 @@ def oracle_sql() -> dict[str, str]:
         "p04_tokens": _tokens_sql(),
         "d11_restore_clients": _restore_clients_sql(),
         "d07_leaks": _leaks_sql(),
-        "p01_backend_policy": (
-            f"SELECT template, count(*) AS n_rows, CAST(sum(CASE WHEN template IN (1, 2, 3, 5, 6, 8, 9) THEN 1 ELSE 0 END) AS BIGINT) "
-            f"AS n_blocked FROM {O.PLANTED} p GROUP BY template"
-        ),
+        "p01_backend_policy": _backend_sql(),
+        "p12_policies": _policies_sql(),
+        "e05_audit_totals": _audit_totals_sql(),
+        "d09_fields": _fields_sql(),
+        "p11_fail_closed": _fail_closed_sql(),
+        "d12_audit_wire": _wire_sql(),
+        "p03_rules": _rules_sql(),
+        "c13_cvv": _cvv_sql(),
     }

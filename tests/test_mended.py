@@ -123,8 +123,9 @@ def test_streams_equal_batches(spark, tmp_path):
 
 
 def test_live_vaults_in_stream_state(spark, tmp_path):
-    from veilspark.streaming.jobs import audit_stream, vault_state
+    from veilspark.streaming.jobs import audit_stream, use_rocksdb, vault_state
 
+    use_rocksdb(spark)
     schema = "request_id string, kind string, seq long, text string, vault map<string,string>"
     token = "⟦EMAIL_0000000a⟧"
     batches = [

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from bisect import bisect_left
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -192,8 +195,39 @@ def assign_tokens(pairs: Column, salt: Column, prefix: str = X.TOKEN_PREFIX, suf
 # ---------------------------------------------------------------------------
 # Overlap resolution and splicing
 # ---------------------------------------------------------------------------
-def resolve_overlaps(entities: Column) -> Column:
-    """Order by (length desc, confidence desc, detector rank, position), keep greedily."""
+#: Up to so many entities the spans kept are compared one by one inside the row's expression.
+FEW_ENTITIES = 64
+
+
+def kept_spans(starts: list[int], ends: list[int]) -> list[int]:
+    """Indices of the spans to keep, given in order of preference: those that overlap no span kept before.
+
+    The spans kept never overlap, so sorted by start they are sorted by end too, and one binary search finds the only
+    neighbours that can meet a new one: n log n searches for any number of entities.
+    """
+    firsts: list[int] = []
+    lasts: list[int] = []
+    kept = []
+    for i, (a, b) in enumerate(zip(starts, ends)):
+        at = bisect_left(firsts, b)  # spans kept from here on start at or after b
+        if at and lasts[at - 1] > a:
+            continue
+        firsts.insert(at, a)
+        lasts.insert(at, b)
+        kept.append(i)
+    return kept
+
+
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _kept_spans(starts: pd.Series, ends: pd.Series) -> pd.Series:
+    return pd.Series([None if a is None else kept_spans(a.tolist(), b.tolist()) for a, b in zip(starts, ends)], dtype=object)
+
+
+_kept_spans = _kept_spans.asNondeterministic()  # keeps the call out of array functions, where it can't run
+
+
+def ordered_entities(entities: Column) -> Column:
+    """by length and confidence, both descending, then detector rank and position."""
     keyed = F.transform(
         entities,
         lambda e: F.struct(
@@ -204,7 +238,11 @@ def resolve_overlaps(entities: Column) -> Column:
             e.alias("e"),
         ),
     )
-    ordered = F.transform(F.array_sort(keyed), lambda x: x["e"])
+    return F.transform(F.array_sort(keyed), lambda x: x["e"])
+
+
+def keep_greedily(ordered: Column) -> Column:
+    """Entities in order of preference that overlap none kept before, each compared with all kept."""
     init = F.array().cast(T.ArrayType(ENTITY_STRUCT))
     return F.aggregate(
         ordered,
@@ -213,6 +251,25 @@ def resolve_overlaps(entities: Column) -> Column:
     )
 
 
+def resolve_overlaps(entities: Column) -> Column:
+    """Order by (length desc, confidence desc, detector rank, position), keep greedily."""
+    return keep_greedily(ordered_entities(entities))
+
+
+def with_resolved(df: DataFrame, found_col: str, out_col: str) -> DataFrame:
+    """D6 for tables whose texts may hold thousands of entities.
+
+    Texts of up to FEW_ENTITIES entities are settled in the JVM; the spans of longer lists cross to an
+    Arrow function as two arrays of numbers and come back as the indices to keep.
+    """
+    df = df.withColumn("__ordered", ordered_entities(F.col(found_col)))
+    many = F.size("__ordered") > FEW_ENTITIES
+    starts, ends = F.transform("__ordered", lambda e: e["start"]), F.transform("__ordered", lambda e: e["end"])
+    df = df.withColumn("__keep", _kept_spans(F.when(many, starts), F.when(many, ends)))
+    chosen = F.transform("__keep", lambda i: F.get(F.col("__ordered"), i))
+    return df.withColumn(out_col, F.when(many, chosen).otherwise(keep_greedily(F.col("__ordered")))).drop("__ordered", "__keep")
+
+
 def by_start(arr: Column) -> Column:
     keyed = F.transform(arr, lambda e: F.struct(e["start"].alias("s"), e.alias("e")))
     return F.transform(F.array_sort(keyed), lambda x: x["e"])

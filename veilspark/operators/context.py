@@ -17,7 +17,8 @@ from pyspark.sql import types as T
 from veilspark.functions import checks
 from veilspark.functions import fixed as X
 from veilspark.functions.entity import contains_span, empty_entities, make_entity
-from veilspark.functions.spans import first_span, let, spans
+from veilspark.functions.spans import first_span, let
+from veilspark.functions.spans import marked_spans as spans
 
 W = X.CONTEXT_WINDOW_CHARS
 

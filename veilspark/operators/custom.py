@@ -23,7 +23,8 @@ from pyspark.sql import types as T
 
 from veilspark.functions import fixed as X
 from veilspark.functions.entity import empty_entities, make_entity
-from veilspark.functions.spans import SPAN_TYPE, _starts, spans
+from veilspark.functions.spans import SPAN_TYPE, _starts
+from veilspark.functions.spans import marked_spans as spans
 from veilspark.operators.detect import Detector
 from veilspark.operators.policy import category_col
 
@@ -107,8 +108,16 @@ FOUND = T.ArrayType(
 )
 
 
-def function_detector(pii_type: str, detector: Callable, confidence: float = 1.0, name: str | None = None) -> Detector:
-    """Per-text Python callback (Arrow batches), normalised to entity spans."""
+READ = T.StructType([T.StructField("found", FOUND), T.StructField("type", T.StringType()), T.StructField("text", T.StringType())])
+
+
+def span_reader(detector: Callable, confidence: float, on_error: str) -> Callable:
+    """text -> (spans, error): what the callable returned, brought into one shape.
+
+    Items may be (start, end[, value[, confidence]]), dicts or plain strings (every occurrence). The
+    callable's own error gives no spans, and an item that can't be read is left out (``on_error="skip"``), or
+    either is passed on as the text's error (``"fail"``).
+    """
 
     def from_parts(text: str, item) -> list[tuple]:
         start, end, *rest = item
@@ -124,32 +133,73 @@ def function_detector(pii_type: str, detector: Callable, confidence: float = 1.0
 
     shapes = {tuple: from_parts, list: from_parts, dict: from_fields, str: from_word}
 
-    def normalise(text: str) -> list[tuple]:
-        """Spans of whatever the callable returned; an item that can't be read is left out."""
+    def read(text: str | None) -> tuple[list[tuple], Exception | None]:
         try:
             items = list(detector(text) or []) if text else []
-        except Exception:
-            return []
+        except Exception as e:
+            return [], e if on_error == "fail" else None
         out = []
         for item in items:
-            read = next((f for kind, f in shapes.items() if isinstance(item, kind)), None)
+            shape = next((f for kind, f in shapes.items() if isinstance(item, kind)), None)
             try:
-                out += read(text, item) if read else []
-            except (KeyError, TypeError, ValueError):
-                continue
-        return out
+                out += shape(text, item) if shape else []
+            except (KeyError, TypeError, ValueError, IndexError) as e:
+                if on_error == "fail":
+                    return [], e
+        return out, None
+
+    return read
+
 
-    @F.pandas_udf(FOUND)
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [dict(start=s, end=e, value=v, confidence=c) for s, e, v, c in normalise(t)])
+def function_detector(pii_type: str, detector: Callable, confidence: float = 1.0, name: str | None = None, on_error: str = "skip") -> Detector:
+    """Per-text Python callback (Arrow batches), normalised to entity spans; errors go by row to
+    the chain's error column (P11), see ``span_reader``."""
+    label = name or f"custom_fn_{pii_type}"
+    read = span_reader(detector, confidence, on_error)
+
+    @F.pandas_udf(READ)
+    def run(texts: pd.Series) -> pd.DataFrame:
+        done = [read(t) for t in texts]
+        return pd.DataFrame({
+            "found": [[dict(start=s, end=e, value=v, confidence=c) for s, e, v, c in found] for found, _ in done],
+            "type": [type(e).__name__ if e else None for _, e in done], "text": [str(e) if e else None for _, e in done]})
 
     run = run.asNondeterministic()  # keeps the call out of array functions, where it can't run
 
     def df_fn(df: DataFrame, text_col: str, out_col: str) -> DataFrame:
-        found = F.transform("__f", lambda f: make_entity(pii_type, f["start"], f["end"], f["value"], f["confidence"]))
-        return df.withColumn("__f", run(F.col(text_col))).withColumn(out_col, F.coalesce(found, empty_entities())).drop("__f")
+        error = F.when(F.col("__f.type").isNotNull(), F.struct(F.col("__f.type").alias("type"), F.col("__f.text").alias("text")))
+        found = F.transform("__f.found", lambda f: make_entity(pii_type, f["start"], f["end"], f["value"], f["confidence"]))
+        return df.withColumn("__f", run(F.col(text_col))).withColumn(f"__error_{label}", error).withColumn(out_col, F.coalesce(found, empty_entities())).drop("__f")
+
+    return Detector(label, None, (pii_type,), df_fn=df_fn, error_col=f"__error_{label}")
+
 
-    return Detector(name or f"custom_fn_{pii_type}", None, (pii_type,), df_fn=df_fn)
+def detect_udtf(df: DataFrame, text_col: str, key_col: str, pii_type: str, detector: Callable, confidence: float = 1.0) -> DataFrame:
+    """C29 as an Arrow table function over the table (key, text): one row per entity (key_col, pii_type, start, end,
+    value, confidence, error). A text that the callable fails on, or whose answer can't be read, is one row
+    with the error's type and no span. The function's schema is enforced by Arrow. (Spark 4.1 has no lateral
+    join with Arrow table functions, so the key goes through it as text.)"""
+    import pyarrow as pa
+
+    read = span_reader(detector, confidence, "fail")
+
+    @F.arrow_udtf(returnType="key string, pii_type string, start int, end int, value string, confidence double, error string")
+    class Spans:
+        def eval(self, rows: pa.RecordBatch):
+            out = []
+            for key, text in zip(rows.column("key").to_pylist(), rows.column("text").to_pylist()):
+                found, error = read(text)
+                out += [(key, pii_type, s, e, v, c, None) for s, e, v, c in found]
+                if error is not None:
+                    out.append((key, pii_type, None, None, None, None, type(error).__name__))
+            names = ["key", "pii_type", "start", "end", "value", "confidence", "error"]
+            types = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.float64(), pa.string()]
+            columns = list(zip(*out)) if out else [[]] * 7
+            yield pa.table([pa.array(c, k) for c, k in zip(columns, types)], names)
+
+    table = df.select(F.col(key_col).cast("string").alias("key"), F.col(text_col).alias("text"))
+    found = Spans(table.asTable())
+    return found.select(F.col("key").cast(df.schema[key_col].dataType).alias(key_col), *found.columns[1:])
 
 
 # ---------------------------------------------------------------------------

@@ -11,7 +11,7 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -200,17 +200,57 @@ def dim_type(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "pii_type string, category string, strict boolean")
 
 
-def read_rules(spark: SparkSession, path: str, tool: str = "*") -> DataFrame:
-    """Rules file (``PII_RULES`` object or flat map) -> rows (tool, type_name, action)."""
-    raw = spark.read.option("multiLine", "true").text(path, wholetext=True)
-    parsed = F.from_json(F.col("value"), T.MapType(T.StringType(), T.StringType()))
-    inner = F.from_json(F.get_json_object(F.col("value"), "$.PII_RULES"), T.MapType(T.StringType(), T.StringType()))
-    m = F.coalesce(inner, parsed)
-    return raw.select(F.explode(F.map_entries(m)).alias("kv")).select(
-        F.lit(tool).alias("tool"),
-        normalize_type_col(F.col("kv.key")).alias("type_name"),
-        normalize_action_col(F.col("kv.value")).alias("action"),
-    )
+RULES = "tool string, type_name string, action string, version long, item long"
+#: The version of the built-in rules: below all others.
+BUILT_IN = -1
+
+
+def default_rules(spark: SparkSession, tool: str = "*") -> DataFrame:
+    """The built-in rules as a table, at the lowest version."""
+    return spark.createDataFrame([(tool, normalize_type(k), normalize_action(a), BUILT_IN, i) for i, (k, a) in enumerate(X.DEFAULT_RULES.items())], RULES)
+
+
+def read_rules(spark: SparkSession, path: str, tool: str = "*", version: int = 0, with_defaults: bool = False) -> DataFrame:
+    """Rules files (``PII_RULES`` object or flat map) -> rows RULES, in the order of the file.
+
+    A file that can't be read as JSON, or that isn't there, has no rules. ``with_defaults`` puts the built-in ones
+    beneath: they hold where no file says otherwise.
+    """
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = folder.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(folder)
+    if found is None or not len(found):
+        rules = spark.createDataFrame([], RULES)
+    else:
+        raw = spark.read.text(path, wholetext=True)
+        pairs = T.MapType(T.StringType(), T.StringType())
+        m = F.coalesce(F.from_json(F.get_json_object("value", "$.PII_RULES"), pairs), F.from_json("value", pairs))
+        rules = raw.select(F.posexplode(F.map_entries(m)).alias("item", "kv")).filter("kv.value is not null").select(
+            F.lit(tool).alias("tool"), normalize_type_col(F.col("kv.key")).alias("type_name"), normalize_action_col(F.col("kv.value")).alias("action"),
+            F.lit(version).cast("long").alias("version"), F.col("item").cast("long").alias("item"))
+    return default_rules(spark, tool).unionByName(rules) if with_defaults else rules
+
+
+def upsert_rules(rules: DataFrame, updates: DataFrame) -> DataFrame:
+    """``updates`` (tool, type_name, action in any spelling, item) as the next version of ``rules``: what they name is
+    set, all else stays. Older versions are kept, ``current_rules`` looks through them."""
+    newest = rules.agg(F.max("version")).first()[0]
+    item = F.col("item") if "item" in updates.columns else F.lit(0)
+    return rules.unionByName(updates.select(
+        "tool", normalize_type_col(F.col("type_name")).alias("type_name"), normalize_action_col(F.col("action")).alias("action"),
+        F.lit(BUILT_IN if newest is None else newest + 1).cast("long").alias("version"), item.cast("long").alias("item")))
+
+
+def replace_rules(rules: DataFrame, updates: DataFrame) -> DataFrame:
+    """The tools named in ``updates`` get these rules and no others (whole rules are replaced)."""
+    return upsert_rules(rules.join(updates.select("tool").distinct(), "tool", "left_anti").select(*rules.columns), updates)
+
+
+def current_rules(rules: DataFrame) -> DataFrame:
+    """One action per tool and type: that of the highest version, within it of the last item, and if those
+    are equal too the strictest one (block, redact, mask, tokenise, pass)."""
+    rank = F.array_position(F.array(*[F.lit(a) for a in (BLOCK, REDACT, MASK, TOKENIZE, PASS)]), F.col("action"))
+    newest = Window.partitionBy("tool", "type_name").orderBy(F.desc("version"), F.desc("item"), rank)
+    return rules.withColumn("__nth", F.row_number().over(newest)).filter("__nth = 1").select("tool", "type_name", "action")
 
 
 def decide_actions_df(entities: DataFrame, tool_col: str, policy: Policy, field_col: str | None = None) -> DataFrame:
@@ -233,38 +273,41 @@ def decide_actions_joined(
     """P1 with the policy as tables of any size: equi-joins only, on the rule that holds (D2), the
     rule's action, blocked types, whitelisted fields, credential exceptions (D5) and the allowlist (D4).
 
-    ``policy_rules``: tool, type_name, action. ``tool_rules``: tool, blocked, whitelisted_fields,
-    credential_exceptions (arrays). ``allowlist``: category, destination. Agrees with ``Policy``.
-    """
-    named = lambda c: normalize_type_col(F.col(c))
-    rules = policy_rules.select("tool", named("type_name").alias("t"), normalize_action_col(F.col("action")).alias("__action"))
-    rules = rules.dropDuplicates(["tool", "t"])
-    tools = rules.select("tool").unionByName(tool_rules.select("tool")).distinct()
+    ``policy_rules``: tool, type_name, action, and version and item if rules may conflict (see
+    ``current_rules``). ``tool_rules``: tool, blocked, whitelisted_fields, credential_exceptions (arrays).
+    ``allowlist``: category, destination. Agrees with ``Policy``.
 
-    def members(column: str, alias: str, types: bool) -> DataFrame:
-        m = tool_rules.select("tool", F.explode(column).alias("m"))
-        return m.select("tool", (named("m") if types else F.col("m")).alias("m")).distinct().withColumn(alias, F.lit(True))
-
-    tool, kind = F.col(tool_col), F.col("pii_type")
-    e = entities.withColumn("category", category_col(kind, F.col("category"))).withColumn("__tool", tool)
+    The tables are collapsed to one row per tool (its actions as a map, its sets as arrays: bounded by the types
+    and fields there are), so the entities meet them in one join by tool. The rules of ``*`` and the categories open to
+    all are one row, which is broadcast.
+    """
+    none = lambda kind: F.array().cast(kind)
+    rules = policy_rules.select("tool", normalize_type_col(F.col("type_name")).alias("type_name"), normalize_action_col(F.col("action")).alias("action"),
+                                *[(F.col(c) if c in policy_rules.columns else F.lit(0)).cast("long").alias(c) for c in ("version", "item")])
+    actions = current_rules(rules).groupBy("tool").agg(F.map_from_entries(F.collect_list(F.struct("type_name", "action"))).alias("actions"))
+    types = lambda c: F.transform(F.coalesce(c, none("array<string>")), normalize_type_col)
+    sets = tool_rules.groupBy("tool").agg(
+        types(F.flatten(F.collect_list("blocked"))).alias("blocked"), types(F.flatten(F.collect_list("credential_exceptions"))).alias("exceptions"),
+        F.flatten(F.collect_list("whitelisted_fields")).alias("white"))
+    per_tool = actions.join(sets, "tool", "full").select("tool", F.struct("actions", "blocked", "exceptions", "white").alias("rule"))
+    star = per_tool.filter("tool = '*'").select("tool", F.col("rule").alias("__star"))
+    free = allowlist.filter("destination = '*'").groupBy(F.col("destination").alias("tool")).agg(F.collect_set("category").alias("__open"))
+    for_all = star.join(free, "tool", "full").withColumnRenamed("tool", "__any")
+    named = allowlist.groupBy(F.col("destination").alias("__tool")).agg(F.collect_set("category").alias("__named"))
+
+    kind = F.col("pii_type")
+    e = entities.withColumn("category", category_col(kind, F.col("category"))).withColumn("__tool", F.col(tool_col))
     e = e.withColumn("__field", F.col(field_col) if field_col else F.lit(None).cast("string"))
-    e = e.join(tools.select(F.col("tool").alias("__tool"), F.lit(True).alias("__own")), "__tool", "left")
-    star = tools.filter("tool = '*'").agg((F.count(F.lit(1)) > 0).alias("__star"))
-    e = e.withColumn("__one", F.lit(1)).join(star.withColumn("__one", F.lit(1)), "__one", "left").drop("__one")
-    e = e.withColumn("__rule", F.when(F.col("__own"), F.col("__tool")).when(F.col("__star"), F.lit("*")))
-    e = e.join(rules.select(F.col("tool").alias("__rule"), F.col("t").alias("pii_type"), "__action"), ["__rule", "pii_type"], "left")
-    for column, alias, key in (("blocked", "__blocked", "pii_type"), ("credential_exceptions", "__exception", "pii_type"), ("whitelisted_fields", "__white", "__field")):
-        m = members(column, alias, key == "pii_type").select(F.col("tool").alias("__rule"), F.col("m").alias(key), alias)
-        e = e.join(m, ["__rule", key], "left")
-    allowed = allowlist.select("category", F.col("destination").alias("__to")).distinct()
-    any_tool = allowed.filter("__to = '*'").select("category", F.lit(True).alias("__all"))
-    e = e.join(any_tool, "category", "left").join(allowed.select("category", F.col("__to").alias("__tool"), F.lit(True).alias("__named")), ["category", "__tool"], "left")
-    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
-    authorised, default = yes("__all") | yes("__named"), F.lit(default_action)
-    cred, biz, act = F.col("category") == X.CREDENTIAL, F.col("category") == X.BUSINESS_CONFIDENTIAL, F.col("__action")
+    tools = per_tool.select(F.col("tool").alias("__tool"), F.col("rule").alias("__own")).join(named, "__tool", "full")
+    e = e.join(tools, "__tool", "left").withColumn("__any", F.lit("*")).join(F.broadcast(for_all), "__any", "left")
+    e = e.withColumn("__rule", F.coalesce("__own", "__star"))
+    has = lambda arr, v: F.coalesce(F.array_contains(F.col(arr), v), F.lit(False))
+    act, category, default = F.element_at(F.col("__rule.actions"), kind), F.col("category"), F.lit(default_action)
+    authorised = has("__open", category) | has("__named", category)
+    cred, biz = category == X.CREDENTIAL, category == X.BUSINESS_CONFIDENTIAL
     decided = (
-        F.when(yes("__white"), F.lit(PASS)).when(yes("__blocked"), F.lit(BLOCK))
-        .when(cred & yes("__exception"), F.coalesce(act, F.lit(REDACT)))
+        F.when(has("__rule.white", F.col("__field")), F.lit(PASS)).when(has("__rule.blocked", kind), F.lit(BLOCK))
+        .when(cred & has("__rule.exceptions", kind), F.coalesce(act, F.lit(REDACT)))
         .when(cred & authorised, F.coalesce(act, default))
         .when(cred & (is_strict(kind) | ((F.col("__tool") != "*") & act.isNull())), F.lit(BLOCK))
         .when(biz & ~authorised, F.lit(BLOCK))

@@ -31,9 +31,11 @@ from veilspark.functions.rewrite import (
     resolve_overlaps,
     splice,
 )
-from veilspark.operators.detect import DetectorSet, default_detectors
+from veilspark.operators.detect import ERROR_COL, DetectorSet, default_detectors
 from veilspark.operators.policy import BLOCK, MASK, PASS, REDACT, TOKENIZE, Policy, category_col
 
+INTERNAL_ERROR = "BLOCKED_INTERNAL_ERROR"
+
 KEPT_STRUCT = T.StructType(
     ENTITY_STRUCT.fields
     + [
@@ -76,7 +78,7 @@ class Firewall:
         a value has one token and two values never share one), and every row carries it.
 
         Output columns: ``tool, clean, kept, vault, sanitized, blocked, block_reason, action,
-        counts, total_detected, leaks, verification_passed``.
+        counts, total_detected, leaks, verification_passed, error_type``.
         """
         tool_c = F.lit(tool) if isinstance(tool, str) else tool
         field_c = F.col(field_col) if field_col else F.lit(None).cast("string")
@@ -99,6 +101,7 @@ class Firewall:
 
         # C33 + D6
         df = self.detectors.apply(df, "__scan", "__found")
+        failed = F.col(ERROR_COL).isNotNull()
         df = df.withColumn("__res", resolve_overlaps(F.col("__found")))
 
         # P1 per kept entity
@@ -189,19 +192,23 @@ class Firewall:
         )
 
         leak_block = (F.col("leaks") > 0) & F.lit(self.strict)
-        blocked = F.col("__policy_block").isNotNull() | leak_block
+        blocked = failed | F.col("__policy_block").isNotNull() | leak_block
+        # Strict jobs name the kind of error only, lenient ones give its text
+        failure = F.concat(F.lit("inspection failed: "), F.col(ERROR_COL)["type"]) if self.strict else F.concat_ws(": ", F.col(ERROR_COL)["type"], F.col(ERROR_COL)["text"])
         df = (
-            df.withColumn("verification_passed", F.col("__policy_block").isNull() & (F.col("leaks") == 0))
+            df.withColumn("verification_passed", ~failed & F.col("__policy_block").isNull() & (F.col("leaks") == 0))
             .withColumn("blocked", blocked)
             .withColumn(
                 "action",
-                F.when(F.col("__policy_block").isNotNull(), F.lit("BLOCKED_POLICY_VIOLATION"))
+                F.when(failed, F.lit(INTERNAL_ERROR))
+                .when(F.col("__policy_block").isNotNull(), F.lit("BLOCKED_POLICY_VIOLATION"))
                 .when(leak_block, F.lit("BLOCKED_LEAKAGE_DETECTED"))
                 .otherwise(F.lit("SANITIZED_AND_FORWARDED")),
             )
             .withColumn(
                 "block_reason",
                 F.coalesce(
+                    F.when(failed, failure),
                     F.col("__policy_block"),
                     F.when(
                         leak_block,
@@ -211,6 +218,7 @@ class Firewall:
                     ),
                 ),
             )
+            .withColumn("error_type", F.col(ERROR_COL)["type"])
             .withColumn("sanitized", F.when(~F.col("blocked"), F.col("__rewritten")))
         )
 
@@ -227,7 +235,7 @@ class Firewall:
                 ),
             ),
         ).withColumn("total_detected", F.size(F.col("__types")).cast("long"))
-        return df.drop("__salt", "__found", "__res", "__acted", "__policy_block", "__rewritten", "__types", "__scan", "__pieces", "__b64", "__field", "__pairs")
+        return df.drop("__salt", "__found", "__res", "__acted", "__policy_block", "__rewritten", "__types", "__scan", "__pieces", "__b64", "__field", "__pairs", ERROR_COL)
 
     # ------------------------------------------------------------------
     def _base64_stage(self, df: DataFrame) -> DataFrame:

@@ -102,6 +102,38 @@ def walk_json(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"ok": [r[0] for r in rows], "leaves": [r[1] for r in rows]})
 
 
+def _above(value) -> list[list[str]]:
+    """Per string leaf, in ``_walk``'s order: the keys on the way to it and the dotted paths of its
+    ancestors and itself (list positions don't count, empty names neither)."""
+    out, todo = [], [(value, (), "")]
+    while todo:
+        v, names, path = todo.pop()
+        if isinstance(v, str):
+            out.append(list(dict.fromkeys(names)))
+        elif isinstance(v, dict):
+            for k in reversed(list(v)):
+                below = f"{path}.{k}" if path else k
+                todo.append((v[k], (*names, *(x for x in (k, below) if x)), below))
+        elif isinstance(v, list):
+            todo.extend((x, names, path) for x in reversed(v))
+    return out
+
+
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
+def ancestors(texts: pd.Series) -> pd.Series:
+    """The names above every string leaf of a JSON text (null if it can't be read)."""
+    def one(text):
+        try:
+            return _above(json.loads(text))
+        except (ValueError, RecursionError, TypeError):
+            return None
+
+    return texts.map(one)
+
+
+ancestors = ancestors.asNondeterministic()
+
+
 # Said to vary so that the optimiser doesn't move the call into an array function, where it can't run.
 walk_json = walk_json.asNondeterministic()
 
