@@ -25,17 +25,13 @@ from veilspark.functions.entity import (
     number_seq,
     sort_by_start,
 )
-from veilspark.functions.spans import INNER, MARK, SPAN_TYPE, let, without_marks
-from veilspark.functions.spans import gated_marked_spans as gated_spans
-from veilspark.functions.spans import marked_spans as spans
+from veilspark.functions.spans import SPAN_TYPE, gated_spans, let, spans
 
 SPAN_ELEM = SPAN_TYPE.elementType
 
 #: The first error of a row's detectors, as ``DetectorSet.apply`` leaves it.
 ERROR_COL = "__error"
 ERROR_TYPE = "struct<type:string,text:string>"
-#: The text that detectors scan.
-SCANNED = "__scanned"
 
 # Built column expressions: building a detector costs thousands of JVM round trips, while the
 # resulting unresolved expression can be reused by any DataFrame of the same session that has the
@@ -244,14 +240,9 @@ class DetectorSet:
         return DetectorSet(list(self.detectors), self.enabled_types)
 
     def apply(self, df: DataFrame, text_col: str, out_col: str = "entities") -> DataFrame:
-        """One concatenated entity array for all detectors (one pass, no unions).
-
-        Detectors see the text without the marks that spans are found by; values are cut from the
-        text itself where it had any.
-        """
-        given, text = F.col(text_col), F.col(SCANNED)
-        df = df.withColumn(SCANNED, without_marks(given))
-        text_col, tmp = SCANNED, []
+        """One concatenated entity array for all detectors (one pass, no unions)."""
+        text = F.col(text_col)
+        tmp = []
         for rank, det in enumerate(self.detectors):
             col = f"__det_{rank}"
             if det.df_fn is not None:
@@ -273,11 +264,9 @@ class DetectorSet:
             out = F.concat(*parts) if len(parts) > 1 else parts[0]
         failed = [det.error_col for _, det, _ in tmp if det.error_col]
         df = df.withColumn(ERROR_COL, F.coalesce(*[F.col(c) for c in failed], F.lit(None).cast(ERROR_TYPE)) if failed else F.lit(None).cast(ERROR_TYPE))
-        own = F.transform(out, lambda e: e.withField("value", F.substring(given, e["start"] + 1, e["end"] - e["start"])))
-        out = F.when(given.contains(MARK) | given.contains(INNER), own).otherwise(out)
         # Empty / null text gives no entities.
         out = F.when(F.coalesce(F.length(text), F.lit(0)) > 0, out).otherwise(empty_entities())
-        return df.withColumn(out_col, out).drop(*[c for _, _, c in tmp], *failed, SCANNED)
+        return df.withColumn(out_col, out).drop(*[c for _, _, c in tmp], *failed)
 
 
 PATTERN_DETECTORS = {
