@@ -306,11 +306,13 @@ class Firewall:
     def vault_rows(sanitized: DataFrame, key_col: str, client_col: str | None = None) -> DataFrame:
         """A10: vault table rows (request_id, pii_type, value, token, client_id, created_at).
 
-        Blocked requests keep no vault (purged at once, G5)."""
+        Blocked requests keep no vault (purged at once, G5). They are emptied in the generator: a filter on
+        ``blocked`` would be pushed to the source with a copy of the whole chain for every use in it."""
         client = F.col(client_col) if client_col else F.lit(None).cast("string")
+        kept = F.when(~F.col("blocked"), F.col("vault"))
         return (
-            sanitized.filter(~F.col("blocked"))
-            .select(F.col(key_col).alias("request_id"), client.alias("client_id"), F.inline_outer("vault"))
+            sanitized.withColumn("__kept", kept)
+            .select(F.col(key_col).alias("request_id"), client.alias("client_id"), F.inline_outer("__kept"))
             .filter(F.col("token").isNotNull())
             .select("request_id", "pii_type", "value", "token", "client_id", F.current_timestamp().alias("created_at"))
         )
