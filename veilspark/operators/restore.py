@@ -101,8 +101,10 @@ AUTOMATON_CHARS = 8_000_000
 
 
 def _secret_blocks(secrets: DataFrame, column: str, chars: int):
-    """The different secrets in blocks of about ``chars`` characters, one after the other on the driver."""
-    kept = secrets.select(F.col(column).cast("string").alias("s")).filter(F.length("s") > 0).distinct()
+    """The different secrets in blocks of about ``chars`` characters, one after the other on the driver.
+    They are materialised, as their own job would run again for the sum and for every block."""
+    ensure_checkpoint_dir(secrets.sparkSession)
+    kept = secrets.select(F.col(column).cast("string").alias("s")).filter(F.length("s") > 0).distinct().checkpoint()
     total = kept.agg(F.sum(F.length("s"))).first()[0] or 0
     blocks = -(-total // chars)
     for i in range(blocks):
