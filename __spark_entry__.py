@@ -223,7 +223,7 @@ def q_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every address's token in nested answers, restored by key, dotted path and ancestor."""
     from veilspark.plans.requests import restore_fields
 
-    vault = _email_vault(spark, sf_dir)
+    vault = _email_vault(spark, sf_dir, cut=True)
     t = F.col("token")
     answer = F.struct(
         F.struct(t.alias("email"), F.concat(F.lit("x "), t).alias("name")).alias("user"), F.array(F.struct(t.alias("email"), F.array(t).alias("cc"))).alias("list"),
@@ -312,11 +312,18 @@ def q_custom_regex(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.col("end").cast("long").alias("end"), "value")
 
 
-def _email_vault(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vault of the e-mail addresses in ``documents``: one request per document, some bound to a client."""
+def _email_vault(spark: SparkSession, sf_dir: str, cut: bool = False) -> DataFrame:
+    """Vault of the e-mail addresses in ``documents``: one request per document, some bound to a client.
+    With ``cut`` it is materialised, so that a query which uses it several times reads the documents once."""
     fw = Firewall(SECRET, detectors=pattern_only(["EMAIL"]), use_nfkc=False, scan_base64=False)
     docs = _docs(spark, sf_dir).select(F.col("doc_id").cast("string").alias("request_id"), "text", F.expr(CLIENT_OF).alias("client"))
-    return Firewall.vault_rows(fw.sanitize(docs, "text", "request_id"), "request_id", "client")
+    vault = Firewall.vault_rows(fw.sanitize(docs, "text", "request_id"), "request_id", "client")
+    if cut:
+        from veilspark.session import ensure_checkpoint_dir
+
+        ensure_checkpoint_dir(spark)
+        vault = vault.checkpoint()
+    return vault
 
 
 CLIENT_OF = "CASE doc_id % 3 WHEN 1 THEN 'Acme' WHEN 2 THEN 'beta' END"
@@ -333,7 +340,7 @@ def q_restore_clients(spark: SparkSession, sf_dir: str) -> DataFrame:
     unbound vaults, matching, other and null callers."""
     from veilspark.operators.restore import restore_text
 
-    vault = _email_vault(spark, sf_dir)
+    vault = _email_vault(spark, sf_dir, cut=True)
     first = vault.groupBy("request_id").agg(F.min("token").alias("t")).withColumn("doc_id", F.col("request_id").cast("long"))
     caller = F.expr(CALLER_OF).alias("caller")
     own = first.select("request_id", "doc_id", F.lit(1).alias("n"), F.concat(F.lit("x "), "t", F.lit(" y "), "t").alias("response"), caller)
