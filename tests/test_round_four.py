@@ -51,3 +51,16 @@ def test_queries_that_use_the_vault_often_read_the_documents_once(spark, tmp_pat
         out = query(spark, str(tmp_path))
         assert out.inputFiles() == []  # only the materialised vault is read
         assert {r["doc_id"] for r in out.collect()} >= set(range(1, 7))
+
+
+def test_python_workers_hold_few_texts_at_a_time():
+    """NFKC and user functions see slices of their batch, whatever its length, and lose nothing of it."""
+    import pyarrow as pa
+
+    from veilspark.functions.normalize import SLICE, by_slices
+
+    texts = [None if i % 5 == 0 else f"t{i}" for i in range(3 * SLICE + 7)]
+    sizes = []
+    out = by_slices(pa.array(texts), lambda part: sizes.append(len(part)) or part, pa.string())
+    assert out.to_pylist() == texts and max(sizes) == SLICE
+    assert by_slices(pa.array([], pa.string()), lambda part: part, pa.string()).to_pylist() == []

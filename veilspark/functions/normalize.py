@@ -1,6 +1,6 @@
 """Evasion defence on text.
 
-Spark has no NFKC function, so normalisation is the one Arrow-batched pandas UDF in the
+Spark has no NFKC function, so normalisation is the one Arrow UDF in the
 data path; pure-ASCII values never reach it. Dropping
 invisible code points and escaping forged token brackets are plain JVM expressions.
 """
@@ -8,18 +8,31 @@ invisible code points and escaping forged token brackets are plain JVM expressio
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veilspark.functions import fixed as X
 
+#: Texts that a Python worker holds as Python strings at a time; the rest of its batch stays in Arrow's buffers.
+SLICE = 64
 
-@F.pandas_udf(T.StringType())
-def nfkc(s: pd.Series) -> pd.Series:
-    return s.map(lambda v: v if v is None or v.isascii() else unicodedata.normalize("NFKC", v))
+
+def by_slices(texts: pa.Array, fn: Callable[[list], list], kind: pa.DataType) -> pa.Array:
+    """``fn`` over an Arrow array, slice after slice."""
+    done = [pa.array(fn(texts.slice(at, SLICE).to_pylist()), kind) for at in range(0, len(texts), SLICE)]
+    return pa.concat_arrays(done) if done else pa.array([], kind)
+
+
+@F.arrow_udf(T.StringType())
+def nfkc(texts: pa.Array) -> pa.Array:
+    def one(v: str | None) -> str | None:
+        return v if v is None or v.isascii() else unicodedata.normalize("NFKC", v)
+
+    return by_slices(texts, lambda part: [one(v) for v in part], pa.string())
 
 
 def strip_invisible(text: Column) -> Column:

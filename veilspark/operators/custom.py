@@ -3,7 +3,7 @@
 * ``regex_detector``: a pattern run with the span technique; an optional validator is a
   Column function (preferred, stays in the JVM) or a Python callable applied to the short
   array of matched values by an Arrow UDF; optional context words anywhere in the text.
-* ``function_detector``: a Python callable per text through an Arrow (pandas) UDF; its
+* ``function_detector``: a Python callable per text through an Arrow UDF, a slice of texts at a time; its
   output may be spans, (start, end[, value[, confidence]]) tuples, dicts or plain strings
   (every occurrence). A failing callable yields no entities.
 * ``locate_annotations``: entities named by an outside analyser (value, type, confidence)
@@ -17,12 +17,14 @@ import re
 from typing import Callable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veilspark.functions import fixed as X
 from veilspark.functions.entity import empty_entities, make_entity
+from veilspark.functions.normalize import by_slices
 from veilspark.functions.spans import SPAN_TYPE, _starts, spans
 from veilspark.operators.detect import Detector
 from veilspark.operators.policy import category_col
@@ -109,6 +111,10 @@ FOUND = T.ArrayType(
 
 READ = T.StructType([T.StructField("found", FOUND), T.StructField("type", T.StringType()), T.StructField("text", T.StringType())])
 
+READ_ARROW = pa.struct([
+    ("found", pa.list_(pa.field("element", pa.struct([("start", pa.int32()), ("end", pa.int32()), ("value", pa.string()), ("confidence", pa.float64())])))),
+    ("type", pa.string()), ("text", pa.string())])
+
 
 def span_reader(detector: Callable, confidence: float, on_error: str) -> Callable:
     """text -> (spans, error): what the callable returned, brought into one shape.
@@ -156,12 +162,14 @@ def function_detector(pii_type: str, detector: Callable, confidence: float = 1.0
     label = name or f"custom_fn_{pii_type}"
     read = span_reader(detector, confidence, on_error)
 
-    @F.pandas_udf(READ)
-    def run(texts: pd.Series) -> pd.DataFrame:
-        done = [read(t) for t in texts]
-        return pd.DataFrame({
-            "found": [[dict(start=s, end=e, value=v, confidence=c) for s, e, v, c in found] for found, _ in done],
-            "type": [type(e).__name__ if e else None for _, e in done], "text": [str(e) if e else None for _, e in done]})
+    @F.arrow_udf(READ)
+    def run(texts: pa.Array) -> pa.Array:
+        def one(text: str | None) -> dict:
+            found, e = read(text)
+            return {"found": [dict(start=s, end=e, value=v, confidence=c) for s, e, v, c in found],
+                    "type": type(e).__name__ if e else None, "text": str(e) if e else None}
+
+        return by_slices(texts, lambda part: [one(t) for t in part], READ_ARROW)
 
     run = run.asNondeterministic()  # keeps the call out of array functions, where it can't run
 
@@ -178,8 +186,6 @@ def detect_udtf(df: DataFrame, text_col: str, key_col: str, pii_type: str, detec
     value, confidence, error). A text that the callable fails on, or whose answer can't be read, is one row
     with the error's type and no span. The function's schema is enforced by Arrow. (Spark 4.1 has no lateral
     join with Arrow table functions, so the key goes through it as text.)"""
-    import pyarrow as pa
-
     read = span_reader(detector, confidence, "fail")
 
     @F.arrow_udtf(returnType="key string, pii_type string, start int, end int, value string, confidence double, error string")
