@@ -37,14 +37,16 @@ def nfkc(texts: pa.Array) -> pa.Array:
 
 def strip_invisible(text: Column) -> Column:
     """Drop the nine invisible code points (``translate`` with an empty target deletes)."""
-    return F.translate(text, "".join(X.INVISIBLE_CHARS), "")
+    gone = "".join(X.INVISIBLE_CHARS)
+    return F.when(text.rlike(f"[{gone}]"), F.translate(text, gone, "")).otherwise(text)
 
 
 def normalize_unicode(text: Column, use_nfkc: bool = True) -> Column:
     """NFKC (Arrow UDF) then strip invisible characters. Plain ASCII texts, which NFKC leaves as
-    they are, go to Python as nulls and so don't cross over."""
-    t = F.coalesce(nfkc(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text) if use_nfkc else text
-    return strip_invisible(t)
+    they are and which hold no invisible character, go to Python as nulls and are not walked again."""
+    odd = text.rlike(r"[^\x00-\x7F]")
+    t = F.coalesce(nfkc(F.when(odd, text)), text) if use_nfkc else text
+    return F.when(odd, strip_invisible(t)).otherwise(text)
 
 
 def escape_delimiters(text: Column, prefix: str = X.TOKEN_PREFIX, suffix: str = X.TOKEN_SUFFIX) -> Column:

@@ -242,7 +242,7 @@ class Firewall:
         """Adds ``__b64``, the entities found in the base64 carriers of ``clean``, in carrier order.
 
         Rows without a carrier pass by. The carriers of the others become rows, each decoded text is
-        scanned alone, and the entities come back by what they depend on: text, tool and field.
+        scanned alone, and the entities come back by the row's number.
         """
         if df.isStreaming:
             raise ValueError("base64 carriers are scanned in batches: use run_sanitize_stream, or scan_base64=False")
@@ -254,23 +254,27 @@ class Firewall:
             decoded, lambda d: d["txt"].isNotNull() & (F.length(d["txt"]) > 0) & F.call_function("is_valid_utf8", d["txt"]))
         # base64 runs are at least 12 characters of the alphabet
         none = F.array().cast("array<struct<carrier:string,txt:string>>")
+        # A row number beside the carriers keeps the filters on them, and with these copies of the decoding and of
+        # the text's normalisation, from being pushed below: either is worked out once per row and branch.
         df = df.withColumn("__src", F.when(clean.rlike("[A-Za-z0-9+/]{12}"), valid).otherwise(none))
-        held = F.coalesce(F.size("__src"), F.lit(0)) > 0
+        df = df.withColumn("__held", F.coalesce(F.size("__src"), F.lit(0)) > 0).withColumn("__at", F.monotonically_increasing_id())
+        held = F.col("__held") & (F.col("__at") >= 0)
         empty = F.array().cast(T.ArrayType(B64_STRUCT))
-        plain = df.filter(~held).drop("__src").withColumn("__b64", empty)
-        keys = {"__k1": F.xxhash64("clean", "tool", "__field"), "__k2": F.xxhash64(F.lit(1), "clean", "tool", "__field")}
-        rows = df.filter(held).withColumns(keys)
-        carriers = rows.select(*keys, "tool", "__field", F.posexplode("__src").alias("__n", "__c")).dropDuplicates([*keys, "__n"])
-        carriers = carriers.withColumn("__txt", F.col("__c.txt"))
+        plain = df.filter(~held).drop("__src", "__held", "__at").withColumn("__b64", empty)
+        # The row itself goes with its first carrier, so the carriers need no second reading of it and no join.
+        row = [c for c in df.columns if c not in ("__src", "__held", "__at")]
+        carriers = df.filter(held).select("tool", "__field", "__at", F.struct(*row).alias("__row"), F.posexplode("__src").alias("__n", "__c"))
+        carriers = carriers.withColumn("__row", F.when(F.col("__n") == 0, F.col("__row"))).withColumn("__txt", F.col("__c.txt"))
         found = self.detectors.apply(carriers, "__txt", "__found")
         act = lambda e: self.policy.action_col(
             F.col("tool"), e["pii_type"], F.col("__field"), category_col(e["pii_type"], e["category"]))
         ents = F.transform(F.col("__found"), lambda e: F.struct(
             *[e[f.name].alias(f.name) for f in ENTITY_STRUCT.fields], act(e).alias("action"),
             F.lit(None).cast("string").alias("repl"), F.col("__c.carrier").alias("carrier")))
-        ents = found.select(*keys, "__n", ents.alias("__e")).groupBy(*keys).agg(
+        back = found.select("__at", "__n", "__row", ents.alias("__e")).groupBy("__at").agg(
+            F.first("__row", ignorenulls=True).alias("__row"),
             F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("__n", "__e"))), lambda x: x["__e"])).alias("__b64"))
-        back = rows.join(ents, [*keys], "left").withColumn("__b64", F.coalesce("__b64", empty)).drop("__src", *keys)
+        back = back.select("__row.*", F.coalesce("__b64", empty).alias("__b64"))
         # A row number that is looked at keeps the optimiser from copying all that follows into both branches.
         both = plain.unionByName(back).withColumn("__at", F.monotonically_increasing_id())
         return both.filter("__at >= 0").drop("__at")
