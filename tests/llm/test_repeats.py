@@ -48,6 +48,18 @@ def test_equals_brute_force(frame, monkeypatch, group, bits):
     assert sorted(((*r[:5], bytes(r[5])) for r in got), key=repr) == brute(DOCS)
 
 
+def test_near_copies_make_one_row_of_marks_per_segment(frame, monkeypatch):
+    monkeypatch.setattr(R, "GROUP_BYTES", 500)
+    one, seen = noise(1000), []
+    docs = [(i, one[:at] + "Z" + one[at + 1 :]) for i, at in enumerate(range(100, 1000, 90))] + [(50, one), (51, one)]
+    marks = R.repeated_marks
+    monkeypatch.setattr(R, "repeated_marks", lambda *a: seen.append(marks(*a)) or seen[0])
+    got = R.remove_repeats(frame(docs, "doc_id bigint, text string"), keep_text=True)
+    got = got.select("doc_id", "n_bytes", "n_removed", F.size("spans").alias("n"), "kept_sha256", "kept").collect()
+    assert sorted(((*r[:5], bytes(r[5])) for r in got), key=repr) == brute(docs)
+    assert seen[0].count() == seen[0].select(*R.SEGMENT).distinct().count()
+
+
 def test_empty_table(frame):
     assert R.remove_repeats(frame([], "doc_id bigint, text string")).collect() == []
 
