@@ -391,14 +391,14 @@ def q_check_column(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_leaf_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
     """B1 + P12 + B2 + D9: planted texts as nested payloads, sanitised, answered by an echo, restored."""
-    from veilspark.plans.requests import protect
+    from veilspark.plans.requests import by_sorting, protect
 
     fw = Firewall(SECRET, detectors=pattern_only(["EMAIL", "IP_ADDRESS"]), scan_base64=False)
     text = F.col("text")
     body = F.to_json(F.struct(F.lit("crm").alias("tool"), F.struct(text.alias("body"), F.array(text, F.lit("x")).alias("list"), F.col("doc_id").alias("n")).alias("args")))
     rows = planted(spark, sf_dir).select(F.col("doc_id").cast("string").alias("request_id"), body.alias("json"))
     out = protect(fw, rows.select("request_id", F.parse_json("json").alias("payload")), lambda sent: sent.withColumnRenamed("sent", "response"))
-    out = out.join(rows, "request_id")
+    out = out.join(by_sorting(rows), "request_id")
     return out.select(F.col("request_id").cast("long").alias("doc_id"), "blocked", "total_detected", "restored_count",
                       (F.to_json(F.parse_json("restored")) == F.to_json(F.parse_json("json"))).alias("round_trip_ok"),
                       F.get_json_object("sent", "$.args.list[1]").alias("untouched"))

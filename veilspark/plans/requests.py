@@ -3,6 +3,9 @@
 All leaves of a request share one shuffle by request id: the vault is assigned over them in walking
 order, and block decision, counts and leak check are the request's. A request that can't be read, or
 that any leaf blocks, is blocked as a whole and sends nothing.
+
+Tables of requests are joined by sorting (``by_sorting``): the optimiser judges them by the size of the
+compressed input files, far below that of texts, vaults and rewritten payloads, and would broadcast them.
 """
 
 from __future__ import annotations
@@ -19,6 +22,11 @@ from veilspark.sources.requests import ancestors, as_json, replace_leaves, tool_
 UNREADABLE = INTERNAL_ERROR
 
 
+def by_sorting(requests: DataFrame) -> DataFrame:
+    """A table that grows with the requests, as one side of a join: shuffled and sorted by its key, never broadcast."""
+    return requests.hint("merge")
+
+
 def _regrouped(leaves: DataFrame, key_col: str, column: str, alias: str) -> Column:
     return F.transform(F.array_sort(F.collect_list(F.struct("n", F.col(column).alias("x")))), lambda p: p["x"]).alias(alias)
 
@@ -38,7 +46,7 @@ def sanitize_requests(fw: Firewall, df: DataFrame, key_col: str = "request_id",
     per = done.groupBy(key_col).agg(
         _regrouped(done, key_col, "rewritten", "texts"), blocked.alias("stop"), types.alias("types"),
         F.sum("leaks").alias("leaks"), F.first("vault").alias("vault"))
-    out = read.join(per, key_col, "left")
+    out = read.join(by_sorting(per), key_col, "left")
     unread = ~F.coalesce(F.col("w.ok"), F.lit(False))
     unread_type = F.when(unread, F.lit("ValueError"))
     stopped = unread | F.col("stop").isNotNull()
@@ -67,7 +75,7 @@ def restore_fields(responses: DataFrame, vault: DataFrame, key_col: str = "reque
     of its ancestors' key or path is among them (null: all leaves, none listed: no leaf).
     """
     client = F.col(client_col) if client_col else None
-    rows = responses.join(vault_maps(vault, key_col), key_col, "left").withColumn("__w", walk_json(payload_col))
+    rows = responses.join(by_sorting(vault_maps(vault, key_col)), key_col, "left").withColumn("__w", walk_json(payload_col))
     if fields is not None:
         rows = rows.withColumn("__above", ancestors(payload_col))
         allowed = F.array(*[F.lit(f) for f in fields]).cast("array<string>")
@@ -94,6 +102,6 @@ def protect(fw: Firewall, df: DataFrame, tool_fn, key_col: str = "request_id", p
     sent = done.filter("not blocked").select(key_col, F.col("sanitized").alias("sent"))
     answers = tool_fn(sent).select(key_col, "response")
     restored = restore_fields(answers, Firewall.vault_rows(done, key_col), key_col, fields=fields)
-    return done.join(restored, key_col, "left").select(
+    return done.join(by_sorting(restored), key_col, "left").select(
         key_col, "tool", F.col("sanitized").alias("sent"), F.col("response").alias("raw_response"), "restored",
         F.coalesce("restored_count", F.lit(0).cast("long")).alias("restored_count"), "blocked", "block_reason", "action", "counts", "total_detected")
