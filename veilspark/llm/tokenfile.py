@@ -68,7 +68,7 @@ class PieceIds(dict):
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        self.model = tokenizer.model
+        self.tokenize = tokenizer.model.tokenize
         self.pre_tokens = regex.compile(self.PRE_TOKENS).findall
         plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
         rest = [b for b in range(256) if b not in set(plain)]
@@ -81,7 +81,7 @@ class PieceIds(dict):
     def _model(self, token: str) -> bytes:
         if not token.isascii() or not token.isalpha():
             token = token.encode().decode("latin-1").translate(self.letters)
-        return array("I", [t.id for t in self.model.tokenize(token)]).tobytes()
+        return array("I", [t.id for t in self.tokenize(token)]).tobytes()
 
     def _token(self, token: str) -> bytes:
         """Ids of a pre-token: words with a blank are pieces; the others, mostly signs, have a table of their own."""
@@ -105,7 +105,7 @@ class PieceIds(dict):
             data = self.before[piece]
         elif piece.isalpha():  # one pre-token
             letters = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
-            data = array("I", [t.id for t in self.model.tokenize(self.blank + letters)]).tobytes()
+            data = array("I", [t.id for t in self.tokenize(self.blank + letters)]).tobytes()
         elif piece[:-1].isalpha() and (end := self.ends.get(piece[-1])):
             data = self[piece[:-1]] + end
         elif not piece or piece[0].isspace() or piece[-1].isspace():
@@ -141,7 +141,8 @@ def token_ids(texts: pa.Array, known: PieceIds, end_id: int) -> tuple[np.ndarray
     lists = pc.split_pattern(texts, " ")
     offsets = np.asarray(lists.offsets).astype("i8")
     coded = lists.flatten().dictionary_encode()
-    pieces, code = coded.dictionary.to_pylist(), np.asarray(coded.indices).astype("i4")
+    # by way of NumPy, which makes the strings in one go; Arrow's own list makes a scalar of each first
+    pieces, code = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), np.asarray(coded.indices).astype("i4")
     data = [known[p] for p in pieces]
     edged = np.array([d is None for d in data], bool)
     owner = np.repeat(np.arange(len(texts)), np.diff(offsets))
