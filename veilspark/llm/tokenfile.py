@@ -32,6 +32,7 @@ import struct
 import uuid
 import zlib
 from array import array
+from codecs import charmap_decode
 from collections.abc import Iterator
 
 import numpy as np
@@ -72,7 +73,8 @@ class PieceIds(dict):
         self.pre_tokens = regex.compile(self.PRE_TOKENS).findall
         plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
         rest = [b for b in range(256) if b not in set(plain)]
-        self.letters = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+        letters = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+        self.letters = "".join(letters[b] for b in range(256))
         self.blank = self.letters[32]
         self.before: dict[str, bytes | None] = {}
         self.signs: dict[str, bytes] = {}
@@ -80,7 +82,7 @@ class PieceIds(dict):
 
     def _model(self, token: str) -> bytes:
         if not token.isascii() or not token.isalpha():
-            token = token.encode().decode("latin-1").translate(self.letters)
+            token = charmap_decode(token.encode(), "strict", self.letters)[0]
         return array("I", [t.id for t in self.tokenize(token)]).tobytes()
 
     def _token(self, token: str) -> bytes:
@@ -104,7 +106,7 @@ class PieceIds(dict):
         if piece in self.before:
             data = self.before[piece]
         elif piece.isalpha():  # one pre-token
-            letters = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+            letters = piece if piece.isascii() else charmap_decode(piece.encode(), "strict", self.letters)[0]
             data = array("I", [t.id for t in self.tokenize(self.blank + letters)]).tobytes()
         elif piece[:-1].isalpha() and (end := self.ends.get(piece[-1])):
             data = self[piece[:-1]] + end
@@ -143,7 +145,7 @@ def token_ids(texts: pa.Array, known: PieceIds, end_id: int) -> tuple[np.ndarray
     coded = lists.flatten().dictionary_encode()
     # by way of NumPy, which makes the strings in one go; Arrow's own list makes a scalar of each first
     pieces, code = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), np.asarray(coded.indices).astype("i4")
-    data = [known[p] for p in pieces]
+    data = list(map(known.__getitem__, pieces))
     edged = np.array([d is None for d in data], bool)
     owner = np.repeat(np.arange(len(texts)), np.diff(offsets))
     odd = np.zeros(len(texts), bool)  # with blanks beside other white space
