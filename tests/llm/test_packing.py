@@ -48,6 +48,37 @@ def test_chunks_give_the_ids_of_the_whole():
         assert got == whole.encode(text, add_special_tokens=False).ids
 
 
+def test_lowered_texts_give_the_same_ids():
+    whole, ids, rng = Tokenizer.from_file(PATH), P.ChunkIds(PATH), random.Random(2)
+    plain = ["Ab", "É", "À", "Þ", "ß", "ÿ", "×", "÷", "µ", "ª", "\xa0", "\xad", "'S", "'", "(5", "%%", "_", "`~", "7", "x", " ", "\n", ".", ",", "..,"]
+    other = ["J\u030c", "İ", "Ω", "K", "<", "|", "<|ENDOFTEXT|>", "<|endoftext|>", "<|STARTOFTEXT|>", "\x00", "\x85"]
+    for n in range(4000):
+        text = "".join(rng.choices(plain + other * (n % 2), k=rng.randint(1, 12)))
+        got = np.frombuffer(b"".join([ids[c] for c in P.lowered(text.encode()).split()]), "<u4").tolist()
+        assert got == whole.encode(text, add_special_tokens=False).ids, text
+    assert P.lowered(b"<|ENDOFTEXT|>") == b"<|ENDOFTEXT|>" and P.lowered("J\u030c".encode()) == "J\u030c".encode()
+
+
+def test_model_is_asked_once_per_run_of_letters(monkeypatch):
+    ids, asked = P.ChunkIds(PATH), []
+    one = P.ChunkIds._model_ids
+    monkeypatch.setattr(P.ChunkIds, "_model_ids", lambda self, piece: asked.append(piece) or one(self, piece))
+    monkeypatch.setattr(ids, "tokenizer", None)  # none of these takes the whole tokenizer
+    text = "Word word, WORD. (word) word&&& word%%% Été été, (583) word583 word"
+    for c in P.lowered(text.encode()).split():
+        ids[c]
+    assert len(asked) == len(set(asked))
+    assert sum(p.isalpha() for p in asked) == 1 and "été".encode() in asked
+
+
+def test_full_cache_is_emptied_and_gives_the_same_ids(monkeypatch):
+    monkeypatch.setattr(P, "CACHE_CHUNKS", 3)
+    whole, ids = Tokenizer.from_file(PATH), P.ChunkIds(PATH)
+    for text in ["a, b. (c)", "d12 e' f", "a, b. (c) ééé%%"] * 2:
+        got = np.frombuffer(b"".join([ids[c] for c in text.encode().split()]), "<u4").tolist()
+        assert got == whole.encode(text, add_special_tokens=False).ids and len(ids) <= 3
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_fullest_combination_is_the_best(seed):
     rng = random.Random(seed)
